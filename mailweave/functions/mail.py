@@ -24,11 +24,11 @@ def header(headers: Column, name: str, default: str = "") -> Column:
 
 
 def decode_base64url(data: Column) -> Column:
-    """UTF-8 text of base64url data; padding may be missing.
+    """UTF-8 text of base64url data; padding may be missing, lines may be folded.
 
     Data that is no base64 at all gives null.
     """
-    standard = F.rtrim(F.translate(data, "-_", "+/"), F.lit("="))
+    standard = F.translate(data, "-_= \t\r\n", "+/")
     padded = F.rpad(standard, (F.ceil(F.length(standard) / 4) * 4).cast("int"), F.lit("="))
     raw = F.try_to_binary(padded, F.lit("base64"))
     return F.make_valid_utf8(raw.cast("string"))

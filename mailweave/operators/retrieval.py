@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,6 +171,10 @@ def _scan_once(
     return wanted.mapInArrow(score, schema)
 
 
+def _range(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _scan_blocks(
     wanted: DataFrame,
     units: DataFrame,
@@ -189,9 +193,9 @@ def _scan_blocks(
     spread = F.xxhash64(*KEY, F.spark_partition_id())
     left = units.withColumn(
         "_q", F.pmod(F.xxhash64("query_id", F.spark_partition_id()), F.lit(q_blocks))
-    ).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("bigint"))
+    ).withColumn("_c", F.explode(_range(c_blocks)))
     right = wanted.withColumn("_c", F.pmod(spread, F.lit(c_blocks))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint")
+        "_q", F.explode(_range(q_blocks))
     )
     names = schema.names
 

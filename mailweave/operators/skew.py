@@ -40,8 +40,8 @@ def split_by_keys(df: DataFrame, key: str, keys: list) -> tuple[DataFrame, DataF
     return df.where(~inside), df.where(inside)
 
 
-def _sum_or_zero(measure: Column | None) -> Column:
-    return F.sum(F.lit(0) if measure is None else measure).cast("bigint")
+def _sum(measure: Column | None) -> Column:
+    return F.sum((F.lit(0) if measure is None else measure).cast("bigint"))
 
 
 def window_positions(
@@ -53,7 +53,7 @@ def window_positions(
     return df.select(
         "*",
         F.row_number().over(by_key).cast("bigint").alias("ordinal"),
-        _sum_or_zero(measure).over(upto).alias("running"),
+        _sum(measure).over(upto).alias("running"),
     )
 
 
@@ -73,7 +73,7 @@ def ranged_positions(
         .checkpoint()
     )
     held = placed.groupBy(key, "_slice").agg(
-        F.count(F.lit(1)).alias("_rows"), _sum_or_zero(measure).alias("_sum")
+        F.count(F.lit(1)).alias("_rows"), _sum(measure).alias("_sum")
     )
     earlier = (
         Window.partitionBy(key)
@@ -91,7 +91,7 @@ def ranged_positions(
     local = placed.select(
         "*",
         F.row_number().over(inside).cast("bigint").alias("_ordinal"),
-        _sum_or_zero(measure).over(upto).alias("_running"),
+        _sum(measure).over(upto).alias("_running"),
     )
     # Keys x slices they span: at most MAX_HOT_KEYS + slices rows.
     return (

@@ -130,26 +130,29 @@ def missing_anchors(messages: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
-def segment_rows(messages: DataFrame, max_chars: int) -> DataFrame:
-    """Non-draft messages with their rendered text.
+def render(messages: DataFrame, max_chars: int) -> DataFrame:
+    """Parsed messages with their rendered text.
 
     ``tail`` is cut to the budget from the right: a longer segment can only
     ever show its last ``max_chars`` characters. ``tail_chars`` is the uncut
     length.
     """
-    parsed = message_parts(messages).where(~F.col("is_draft"))
     tail = mail.segment_tail(
         F.col("received_at"), F.col("sender"), F.col("subject"), F.col("body")
     )
-    return parsed.select(
-        "thread_id", "message_id", "api_pos", "date_ms", tail.alias("_tail")
-    ).select(
-        "thread_id",
-        "message_id",
-        "api_pos",
-        "date_ms",
-        F.right("_tail", F.lit(max_chars)).alias("tail"),
-        F.length("_tail").alias("tail_chars"),
+    return (
+        message_parts(messages)
+        .withColumn("_tail", tail)
+        .withColumn("tail", F.right("_tail", F.lit(max_chars)))
+        .withColumn("tail_chars", F.length("_tail"))
+        .drop("_tail")
+    )
+
+
+def segment_rows(rendered: DataFrame) -> DataFrame:
+    """What a transcript needs of every non-draft message."""
+    return rendered.where(~F.col("is_draft")).select(
+        "thread_id", "message_id", "api_pos", "date_ms", "tail", "tail_chars"
     )
 
 
@@ -227,7 +230,7 @@ def latest_transcripts(
     _check_budget(max_chars)
     hot = skew.hot_keys(messages, "thread_id", hot_rows)
     cold, large = skew.split_by_keys(messages, "thread_id", hot)
-    rows = segment_rows(cold if hot else messages, max_chars)
+    rows = segment_rows(render(cold if hot else messages, max_chars))
 
     whole = Window.partitionBy("thread_id")
     undated = F.max(F.col("date_ms").isNull()).over(whole)
@@ -261,7 +264,19 @@ def anchored_transcripts(
     max_chars: int = fixed.THREAD_MAX_CHARS,
     hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
-    """Transcripts through any number of ``anchors(thread_id, anchor_id)``.
+    """Transcripts through any number of ``anchors(thread_id, anchor_id)``."""
+    _check_budget(max_chars)
+    segments = segment_rows(render(messages, max_chars))
+    return transcripts_of(segments, anchors, max_chars, hot_rows)
+
+
+def transcripts_of(
+    segments: DataFrame,
+    anchors: DataFrame,
+    max_chars: int = fixed.THREAD_MAX_CHARS,
+    hot_rows: int = skew.HOT_ROWS,
+) -> DataFrame:
+    """:func:`anchored_transcripts` over rows of :func:`segment_rows`.
 
     Every segment has a start offset in its thread's full text. Offsets are cut
     into buckets of the budget's length, so the text an anchor can show lies in
@@ -270,7 +285,6 @@ def anchored_transcripts(
     texts are joined to the rows that are kept.
     """
     _check_budget(max_chars)
-    segments = segment_rows(messages, max_chars)
     placed = (
         order_messages(segments.drop("tail"), F.col("tail_chars"), hot_rows)
         .withColumn("_end", _segment_end())

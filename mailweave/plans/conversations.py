@@ -139,15 +139,14 @@ def w2(spark, sf):
 
 @query(
     "w3_through_anchor",
-    f"""{_M}, ends AS (SELECT thread_id, ordinal AS last FROM placed
-                       WHERE message_id = thread_id || ':2')
+    f"""{_M}, ends AS (SELECT thread_id, arg_max(ordinal, api_pos) AS last FROM placed
+                       WHERE role = 'user' GROUP BY thread_id)
     SELECT {_KEYS}, ordinal FROM placed JOIN ends USING (thread_id) WHERE ordinal <= last""",
 )
 def w3(spark, sf):
     mailbox = inputs.mailbox(spark, sf)
-    anchors = mailbox.where(F.col("api_pos") == 2).select(
-        "thread_id", F.col("message_id").alias("anchor_id")
-    )
+    last = F.max_by("message_id", "api_pos")
+    anchors = inbox.unread(mailbox, None).groupBy("thread_id").agg(last.alias("anchor_id"))
     return threads.through_anchor(mailbox, anchors).select("thread_id", "message_id", "ordinal")
 
 
@@ -260,13 +259,13 @@ _LOG = """
 log AS (
   SELECT conv_id || ':' || turn AS message_id,
          CASE WHEN conv_id % 2 = 0 THEN 'non_travel' END AS outcome,
-         CAST(1767225600 + conv_id AS BIGINT) AS at FROM conversations WHERE turn % 4 = 0
+         CAST(1767225600 + conv_id AS BIGINT) AS done_at FROM conversations WHERE turn % 4 = 0
   UNION ALL
   SELECT conv_id || ':' || turn, 'drafted', CAST(1767225600 + conv_id + 3600 AS BIGINT)
   FROM conversations WHERE turn % 4 = 0 AND conv_id % 4 = 0
 ),
 current AS (
-  SELECT message_id, arg_max(coalesce(outcome, 'drafted'), at) AS outcome, max(at) AS at
+  SELECT message_id, arg_max(coalesce(outcome, 'drafted'), done_at) AS outcome, max(done_at) AS done_at
   FROM log GROUP BY message_id
 )"""
 
@@ -287,11 +286,11 @@ def k5(spark, sf):
 
 @query(
     "s15_state_defaults",
-    f"WITH {_LOG} SELECT message_id, coalesce(outcome, 'drafted') AS outcome, at FROM log",
+    f"WITH {_LOG} SELECT message_id, coalesce(outcome, 'drafted') AS outcome, done_at FROM log",
 )
 def s15(spark, sf):
     rows = state.with_default_outcome(_log(spark, sf))
-    return rows.select("message_id", "outcome", F.unix_seconds("processed_at").alias("at"))
+    return rows.select("message_id", "outcome", F.unix_seconds("processed_at").alias("done_at"))
 
 
 @query("st4_state_upsert", f"WITH {_LOG} SELECT * FROM current")
@@ -300,7 +299,7 @@ def st4(spark, sf):
     state.append_outcomes(_log(spark, sf), path, 0)
     state.append_outcomes(_log(spark, sf), path, 0)
     rows = state.read_state(spark, path)
-    return rows.select("message_id", "outcome", F.unix_seconds("processed_at").alias("at"))
+    return rows.select("message_id", "outcome", F.unix_seconds("processed_at").alias("done_at"))
 
 
 @query("a8_outcome_counts", f"WITH {_LOG} SELECT outcome, count(*) AS messages FROM current GROUP BY outcome")

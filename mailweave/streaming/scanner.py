@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from mailweave.functions import fixed, mail
 from mailweave.operators import lookups, skew, threads
 from mailweave.operators.classify import Classifier, classify_topic
-from mailweave.operators.messages import message_parts
+from mailweave.session import materialize
 from mailweave.sources import state
 from mailweave.sources.inbox import thread_messages
 
@@ -41,35 +41,61 @@ def route(
     ``outcome`` is null where the classifier failed or the message is not in its
     thread; such rows carry an ``error`` and stay open for the next pass.
     """
-    candidates = lookups.unprocessed(
-        new_messages.select("message_id", "thread_id").dropDuplicates(["message_id"]),
-        processed,
+    fresh = new_messages.select("message_id", "thread_id").dropDuplicates(["message_id"])
+    candidates = materialize(lookups.unprocessed(fresh, processed), "candidates")
+    turn = F.when(F.col("body") != "", F.col("body")).otherwise(F.col("subject"))
+    # The threads concerned are read and parsed once.
+    context = materialize(
+        threads.render(thread_messages(mailbox, candidates), options.max_chars).select(
+            "thread_id",
+            "message_id",
+            "api_pos",
+            "date_ms",
+            "is_draft",
+            "tail",
+            "tail_chars",
+            "subject",
+            "sender",
+            "message_id_header",
+            "references",
+            turn.alias("turn"),
+        ),
+        "context",
     )
-    context = thread_messages(mailbox, candidates)
-    anchors = candidates.select("thread_id", F.col("message_id").alias("anchor_id"))
-    transcripts = threads.anchored_transcripts(
-        context, anchors, options.max_chars, options.hot_rows
-    ).withColumnRenamed("anchor_id", "message_id")
-    parsed = message_parts(threads.non_draft(context)).select(
+    transcripts = threads.transcripts_of(
+        threads.segment_rows(context),
+        candidates.select("thread_id", F.col("message_id").alias("anchor_id")),
+        options.max_chars,
+        options.hot_rows,
+    )
+    parsed = context.where(~F.col("is_draft")).select(
         "thread_id",
         "message_id",
         "subject",
         "sender",
         "message_id_header",
         "references",
-        F.when(F.col("body") != "", F.col("body")).otherwise(F.col("subject")).alias("turn"),
+        "turn",
     )
+    keys = ["thread_id", "message_id"]
     asked = classify_topic(
-        candidates.join(parsed, ["thread_id", "message_id"], "left").join(
-            transcripts.select("thread_id", "message_id", "transcript"),
-            ["thread_id", "message_id"],
+        candidates.join(parsed, keys, "left").join(
+            transcripts.select(
+                "thread_id", F.col("anchor_id").alias("message_id"), "transcript"
+            ),
+            keys,
             "left",
         ),
         "subject",
         "transcript",
         options.classifier,
     )
-    drafted = lookups.threads_with_draft(context).withColumn("_has_draft", F.lit(True))
+    drafted = (
+        context.where("is_draft")
+        .select("thread_id")
+        .distinct()
+        .withColumn("_has_draft", F.lit(True))
+    )
     missing = F.when(F.col("transcript").isNull(), F.lit("message not found in its thread"))
     outcome = (
         F.when(F.col("error").isNotNull(), F.lit(None))
