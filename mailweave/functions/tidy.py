@@ -22,12 +22,12 @@ def normalize_characters(c: Column) -> Column:
 
 
 def export_lines(c: Column) -> Column:
-    """Normalized lines without trailing white space."""
-    return F.transform(F.split(normalize_characters(c), "\n", -1), rstrip)
+    """Lines of a normalized text without trailing white space."""
+    return F.transform(F.split(c, "\n", -1), rstrip)
 
 
 def normalize_export(c: Column) -> Column:
-    return F.array_join(export_lines(c), "\n")
+    return F.array_join(export_lines(normalize_characters(c)), "\n")
 
 
 def is_print_title(line: Column) -> Column:
@@ -41,6 +41,10 @@ def is_print_title(line: Column) -> Column:
     )
 
 
+def may_hold_print_titles(c: Column) -> Column:
+    return F.contains(F.lower(c), F.lit(fixed.PRINT_TITLE_PREFIX))
+
+
 def elide_print_titles(lines: Column) -> Column:
     """Turn each run of print titles into one note line."""
 
@@ -56,6 +60,11 @@ def elide_print_titles(lines: Column) -> Column:
     return let(lines, marked)
 
 
+def may_hold_headers(c: Column) -> Column:
+    """Cheap test on a whole text; most texts fail it and skip the line work."""
+    return F.contains(c, F.lit("<")) & F.contains(c, F.lit(">"))
+
+
 def is_message_header(line: Column) -> Column:
     """Line that opens a new mail inside an export."""
 
@@ -71,11 +80,7 @@ def is_message_header(line: Column) -> Column:
         )
         return (F.length(s) >= fixed.HEADER_MIN_CHARS) & (english | original | spanish)
 
-    possible = (
-        (F.length(line) >= fixed.HEADER_MIN_CHARS)
-        & F.contains(line, F.lit("<"))
-        & F.contains(line, F.lit(">"))
-    )
+    possible = may_hold_headers(line) & (F.length(line) >= fixed.HEADER_MIN_CHARS)
     return F.when(possible, let(strip(line), strict)).otherwise(False)
 
 
@@ -115,14 +120,15 @@ def mark_messages(c: Column) -> Column:
                     F.lit(f"\n{fixed.MESSAGE_RULE}\n\n"),
                     line,
                 )
-                possible = F.contains(line, F.lit("<")) & F.contains(line, F.lit(">"))
-                return F.when(possible & (number > 1), banner).otherwise(line)
+                return F.when(may_hold_headers(line) & (number > 1), banner).otherwise(line)
 
             return F.array_join(F.transform(ls, one), "\n")
 
         return let(_header_positions(ls), numbered)
 
-    return F.when(is_blank(c), c).otherwise(let(F.split(c, "\n", -1), with_lines))
+    return F.when(is_blank(c) | ~may_hold_headers(c), c).otherwise(
+        let(F.split(c, "\n", -1), with_lines)
+    )
 
 
 def export_messages(c: Column) -> Column:

@@ -53,11 +53,14 @@ def _join_passes(lines: list[str]) -> list[str]:
     return lines
 
 
-def join_wrapped_headers(df: DataFrame, lines: str) -> DataFrame:
+def join_wrapped_headers(
+    df: DataFrame, lines: str, possible: Column | None = None
+) -> DataFrame:
     """Put message headers that were split over several lines back together.
 
     Each pass depends on the one before, so it runs as an Arrow function; a
     built-in test picks the rows that need it and the others send a null.
+    ``possible`` is a cheaper test made first.
     """
 
     @F.pandas_udf("array<string>")
@@ -65,7 +68,10 @@ def join_wrapped_headers(df: DataFrame, lines: str) -> DataFrame:
         for series in batches:
             yield series.map(lambda ls: _join_passes(list(ls)), na_action="ignore")
 
-    picked = F.when(tidy.has_wrapped_header(F.col(lines)), F.col(lines))
+    needed = tidy.has_wrapped_header(F.col(lines))
+    if possible is not None:
+        needed = possible & needed
+    picked = F.when(needed, F.col(lines))
     return (
         df.withColumn("_joined", join(picked))
         .withColumn(lines, F.coalesce("_joined", lines))
@@ -81,16 +87,19 @@ def tidy_export(
     messages: bool = True,
 ) -> DataFrame:
     """Readable plain text of pasted threads; '' stays ''."""
-    lines = tidy.export_lines(F.col(text))
+    out = df.withColumn("_norm", tidy.normalize_characters(F.col(text)))
+    lines = tidy.export_lines(F.col("_norm"))
     if print_titles:
-        lines = tidy.elide_print_titles(lines)
-    out = df.withColumn("_lines", lines)
+        lines = F.when(
+            tidy.may_hold_print_titles(F.col("_norm")), tidy.elide_print_titles(lines)
+        ).otherwise(lines)
+    out = out.withColumn("_lines", lines)
     if messages:
-        out = join_wrapped_headers(out, "_lines")
+        out = join_wrapped_headers(out, "_lines", tidy.may_hold_headers(F.col("_norm")))
     body = tidy.squeeze_blank_lines(F.array_join("_lines", "\n"))
     if messages:
         out = out.withColumn("_body", body)
         body = tidy.squeeze_blank_lines(tidy.mark_messages(F.col("_body")))
     empty = F.coalesce(F.col(text), F.lit("")) == ""
     done: Column = F.when(empty, F.lit("")).otherwise(F.concat(strip(body), F.lit("\n")))
-    return out.withColumn(text, done).drop("_lines", "_body")
+    return out.withColumn(text, done).drop("_norm", "_lines", "_body")

@@ -269,14 +269,14 @@ def t1(spark, sf):
     FROM runs WHERE NOT (title AND follows) GROUP BY doc_id""",
 )
 def t2(spark, sf):
-    lines = tidy.elide_print_titles(tidy.export_lines(F.col("text")))
+    lines = tidy.elide_print_titles(tidy.export_lines(tidy.normalize_characters(F.col("text"))))
     return inputs.exports(spark, sf).select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
 @query("t3_join_wrapped_headers")
 def t3(spark, sf):
     rows = inputs.exports(spark, sf).select(
-        "doc_id", tidy.export_lines(F.col("text")).alias("lines")
+        "doc_id", tidy.export_lines(tidy.normalize_characters(F.col("text"))).alias("lines")
     )
     joined = exports.join_wrapped_headers(rows, "lines")
     return joined.select("doc_id", F.array_join("lines", "\n").alias("text"))
@@ -289,7 +289,7 @@ def t3(spark, sf):
 )
 def t4(spark, sf):
     rows = inputs.exports(spark, sf).select(
-        "doc_id", F.posexplode(tidy.export_lines(F.col("text"))).alias("pos", "line")
+        "doc_id", F.posexplode(tidy.export_lines(tidy.normalize_characters(F.col("text")))).alias("pos", "line")
     )
     return rows.where(tidy.is_message_header(F.col("line")))
 
