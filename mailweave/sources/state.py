@@ -40,12 +40,20 @@ def append_outcomes(rows: DataFrame, path: str, batch: int | str) -> None:
     )
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Current outcome per message; empty when nothing was written yet."""
+def read_state(
+    spark: SparkSession, path: str, without_batch: int | str | None = None
+) -> DataFrame:
+    """Current outcome per message; empty when nothing was written yet.
+
+    ``without_batch`` leaves out one batch, so that a batch that runs again sees
+    the state it saw the first time.
+    """
     try:
         log = spark.read.schema(STATE_SCHEMA).parquet(path)
     except AnalysisException:
-        log = spark.createDataFrame([], STATE_SCHEMA)
+        return spark.createDataFrame([], STATE_SCHEMA)
+    if without_batch is not None:
+        log = log.where(F.col("batch").cast("string") != str(without_batch))
     return latest_outcomes(log.select("message_id", "outcome", "processed_at"))
 
 

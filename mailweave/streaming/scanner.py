@@ -138,13 +138,14 @@ def settled(routed: DataFrame, *, dry_run: bool) -> DataFrame:
     return done
 
 
-def _open_rows(spark: SparkSession, results: str) -> DataFrame | None:
-    """Messages that failed in an earlier batch."""
+def _open_rows(spark: SparkSession, results: str, batch_id: int) -> DataFrame | None:
+    """Messages that failed in another batch."""
     try:
         earlier = spark.read.parquet(results)
     except AnalysisException:
         return None
-    return earlier.where(F.col("outcome").isNull()).select("message_id", "thread_id")
+    others = earlier.where(F.col("batch").cast("string") != str(batch_id))
+    return others.where(F.col("outcome").isNull()).select("message_id", "thread_id")
 
 
 def process_batch(
@@ -157,17 +158,17 @@ def process_batch(
 ) -> None:
     """Route one batch, hand over reply requests, then store the outcomes.
 
-    All writes are keyed by the batch id, so a replay gives the same tables. The
-    routed rows are written once and read back for both uses. ``send`` receives
+    All writes are keyed by the batch id and what the batch itself stored before
+    is left out of its view, so a replay gives the same tables. The routed rows are written once and read back for both uses. ``send`` receives
     the reply requests and must be idempotent per batch id.
     """
     spark = batch.sparkSession
     results = f"{base}/results"
     fresh = batch.select("message_id", "thread_id")
-    open_rows = _open_rows(spark, results)
+    open_rows = _open_rows(spark, results, batch_id)
     if open_rows is not None:
         fresh = fresh.unionByName(open_rows)
-    known = state.read_state(spark, f"{base}/state")
+    known = state.read_state(spark, f"{base}/state", without_batch=batch_id)
     target = f"{results}/batch={batch_id}"
     route(fresh, mailbox, known, options).write.mode("overwrite").parquet(target)
     routed = spark.read.parquet(target)
