@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -22,25 +22,39 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Seeded signed token hashing; needs no model and never changes."""
+    """Signed token hashing; needs no model and gives the same vector anywhere.
+
+    A token's MD5 picks its place and sign, so the vectors can be checked in any
+    engine that has MD5.
+    """
+
+    _MAX_KNOWN = 100_000
 
     def __init__(self, dim: int = 256, seed: int = 0, batch_size: int = 64) -> None:
         self.name = f"hash/{dim}-{seed}"
         self.dim = dim
         self.seed = seed
         self.batch_size = batch_size
+        self._known: dict[str, tuple[int, float]] = {}
+
+    def _place(self, token: str) -> tuple[int, float]:
+        digest = hashlib.md5(f"{self.seed}:{token}".encode("utf-8", "replace")).digest()
+        number = int.from_bytes(digest[8:], "little")
+        return number % self.dim, -1.0 if (number >> 32) & 1 else 1.0
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        codes: dict[str, int] = {}
+        if len(self._known) > self._MAX_KNOWN:
+            self._known.clear()
+        known = self._known
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, text in zip(out, texts):
             tokens = text.lower().split()
             for t in tokens:
-                if t not in codes:
-                    codes[t] = zlib.crc32(t.encode("utf-8", "replace"), self.seed)
-            hashed = np.fromiter((codes[t] for t in tokens), np.int64, len(tokens))
-            signs = np.where((hashed >> 31) & 1, -1.0, 1.0)
-            row += np.bincount(hashed % self.dim, signs, self.dim).astype(np.float32)
+                if t not in known:
+                    known[t] = self._place(t)
+            if tokens:
+                places, signs = zip(*[known[t] for t in tokens])
+                row += np.bincount(places, signs, self.dim).astype(np.float32)
         return out
 
 

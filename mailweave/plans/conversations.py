@@ -455,7 +455,17 @@ def st2(spark, sf):
     return state.read_state(spark, f"{base}/state").select("message_id", "outcome")
 
 
-@query("st5_error_isolation")
+@query(
+    "st5_error_isolation",
+    f"""{_ANCHORED}, asked AS (
+      SELECT a.anchor_id AS message_id,
+        length(s.subject || '  ' || left(a.transcript, 8000)) % 5 = 0 AS failed,
+        a.thread_id IN (SELECT thread_id FROM m WHERE is_draft) AS has_draft
+      FROM anchored a JOIN segments s ON s.message_id = a.anchor_id WHERE s.role = 'user')
+    SELECT message_id, CASE WHEN failed THEN NULL WHEN has_draft THEN 'thread_has_draft'
+        ELSE 'drafted' END AS outcome,
+      CASE WHEN failed THEN 'TimeoutError: no answer' END AS error FROM asked""",
+)
 def st5(spark, sf):
     """A model that fails on some texts: those stay open, the rest is settled."""
     from mailweave.operators.classify import batch_classifier

@@ -37,6 +37,58 @@ leaky AS (
 _RE2_URL = fixed.BOOKING_URL_PATTERN.replace("(?iU)", "(?i)").replace("'", "''")
 _RE2_EMAIL = fixed.EMAIL_PATTERN.replace("(?U)", "")
 _RE2_IBAN = fixed.IBAN_PATTERN.replace("(?U)", "")
+# A digit is a word character, so a border test replaces the look-arounds: ``\\b``
+# next to a digit, ``\\B`` before a plus sign or bracket.
+_PHONE_BODY = r"(?:\d[\s.\-]?){6,14}\d\b"
+_RE2_PHONE = (
+    r"(?:\b(?:\d{1,4}\)?[\s.\-]?)?|\B\+(?:\(?\d{1,4}\)?[\s.\-]?)?|\B\(\d{1,4}\)?[\s.\-]?)"
+    + _PHONE_BODY
+)
+# Digits with single separators; inside such a run digits are the only word
+# characters, so border tests again replace the look-arounds.
+_RUN = r"\d(?:[ \-]?\d)*"
+_CARD = r"\b(?:\d[ \-]?){12,18}\d\b"
+_DIGITS = "list_reverse(string_split(regexp_replace(p[2], '[ -]', '', 'g'), ''))"
+_LUHN = f"""list_sum(list_transform({_DIGITS}, lambda x, i:
+  CASE WHEN i % 2 = 1 THEN CAST(x AS INTEGER)
+       WHEN CAST(x AS INTEGER) > 4 THEN CAST(x AS INTEGER) * 2 - 9
+       ELSE CAST(x AS INTEGER) * 2 END)) % 10 = 0"""
+
+
+def _sql_cards(source: str, target: str, keys: str) -> str:
+    return f"""
+{target}_runs AS (
+  SELECT {keys}, unnest(list_zip(gaps, found)) AS p, generate_subscripts(gaps, 1) AS i
+  FROM (SELECT {keys}, string_split_regex(text, '{_RUN}') AS gaps,
+               regexp_extract_all(text, '{_RUN}') AS found FROM {source})
+),
+{target}_parts AS (
+  SELECT {keys}, i, p[1] AS gap, list_zip(string_split_regex(coalesce(p[2], ''), '{_CARD}'),
+         regexp_extract_all(coalesce(p[2], ''), '{_CARD}')) AS parts
+  FROM {target}_runs
+),
+{target} AS (
+  SELECT {keys}, string_agg(gap || array_to_string(list_transform(parts, lambda p: p[1]
+           || CASE WHEN p[2] IS NULL THEN '' WHEN {_LUHN} THEN '<CARD>' ELSE p[2] END), ''),
+         '' ORDER BY i) AS text
+  FROM {target}_parts GROUP BY {keys}
+)"""
+
+
+def sql_sanitize(source: str, keys: str) -> str:
+    """CTEs that turn ``source(keys, text)`` into ``<source>_clean(keys, text)``."""
+    return f"""
+{source}_early AS (
+  SELECT {keys}, regexp_replace(regexp_replace(regexp_replace(text, '{_RE2_URL}',
+         '<BOOKING_URL>', 'g'), '{_RE2_EMAIL}', '<EMAIL>', 'g'), '{_RE2_IBAN}', '<IBAN>', 'g')
+         AS text
+  FROM {source}
+),
+{_sql_cards(source + '_early', source + '_cards', keys)},
+{source}_clean AS (
+  SELECT {keys}, regexp_replace(text, '{_RE2_PHONE}', '<PHONE>', 'g') AS text
+  FROM {source}_cards
+)"""
 
 
 def _sql(pattern: str, marker: str) -> str:
@@ -65,31 +117,39 @@ def r3(spark, sf):
     return _with(spark, sf, redact.redact_ibans)
 
 
-@query("r4_cards")
+@query(
+    "r4_cards",
+    f"WITH {_LEAKY}, {_sql_cards('leaky', 'cards', 'doc_id')} SELECT doc_id, text FROM cards",
+)
 def r4(spark, sf):
     return _with(spark, sf, redact.redact_cards)
 
 
-@query("r5_phones")
+@query("r5_phones", _sql(_RE2_PHONE, "<PHONE>"))
 def r5(spark, sf):
     return _with(spark, sf, redact.redact_phones)
 
 
-@query("r6_sanitize")
+@query(
+    "r6_sanitize",
+    f"WITH {_LEAKY}, {sql_sanitize('leaky', 'doc_id')} SELECT doc_id, text FROM leaky_clean",
+)
 def r6(spark, sf):
     return _with(spark, sf, redact.sanitize)
 
 
+_MARKER_SUMS = ", ".join(
+    f"CAST(sum(len(regexp_extract_all(text, '{m}'))) AS BIGINT) AS n_{m.strip('<>').lower()}"
+    for m in fixed.MARKERS
+)
+_CLEAN = f"WITH {_LEAKY}, {sql_sanitize('leaky', 'doc_id')}"
+
+
 @query(
     "r7_marker_counts",
-    f"""WITH {_LEAKY}, d AS (SELECT l.*, source FROM leaky l JOIN documents USING (doc_id)),
-    a AS (SELECT source, regexp_replace(text, '{_RE2_URL}', '<BOOKING_URL>', 'g') AS t FROM d),
-    b AS (SELECT source, regexp_replace(t, '{_RE2_EMAIL}', '<EMAIL>', 'g') AS t FROM a),
-    c AS (SELECT source, regexp_replace(t, '{_RE2_IBAN}', '<IBAN>', 'g') AS t FROM b)
-    SELECT source, CAST(sum(len(regexp_extract_all(t, '<BOOKING_URL>'))) AS BIGINT) AS n_booking_url,
-      CAST(sum(len(regexp_extract_all(t, '<EMAIL>'))) AS BIGINT) AS n_email,
-      CAST(sum(len(regexp_extract_all(t, '<IBAN>'))) AS BIGINT) AS n_iban
-    FROM c GROUP BY source""",
+    f"""{_CLEAN} SELECT source, {_MARKER_SUMS}
+    FROM leaky_clean c JOIN (SELECT doc_id, source FROM documents) d USING (doc_id)
+    GROUP BY source""",
 )
 def r7(spark, sf):
     sources = inputs.table(spark, sf, "documents").select("doc_id", "source")
@@ -98,17 +158,128 @@ def r7(spark, sf):
     return (
         counted.join(sources, "doc_id")
         .groupBy("source")
-        .agg(*[F.sum(c).alias(c) for c in ("n_booking_url", "n_email", "n_iban")])
+        .agg(*[F.sum(c).alias(c) for c in counted.columns if c != "doc_id"])
     )
 
 
-@query("r7_findings_per_type")
+@query("r7_findings_per_type", f"{_CLEAN} SELECT {_MARKER_SUMS} FROM leaky_clean")
 def r7_all(spark, sf):
     clean = _with(spark, sf, redact.sanitize)
     counted = clean.select(*redact.marker_counts(F.col("text")))
     return counted.agg(*[F.sum(c).alias(c) for c in counted.columns])
 
 
+# --- SQL for exports --------------------------------------------------
+
+
+def _is_title(c: str) -> str:
+    return (
+        f"(length(trim({c})) > 12 AND lower(trim({c})) LIKE 'correo de %'"
+        f" AND regexp_matches(trim({c}), '(?i)\\b(PM|AM|p\\.m\\.|a\\.m\\.)\\.?\\s*$')"
+        f" AND regexp_matches(trim({c}), '[\\d/]+'))"
+    )
+
+
+def _is_header(c: str) -> str:
+    def has(pattern: str) -> str:
+        return f"regexp_matches(trim({c}), '(?i){pattern}')"
+
+    return (
+        f"(length(trim({c})) >= 30 AND contains({c}, '<') AND contains({c}, '>') AND ("
+        f"(length(trim({c})) < 2000 AND {has(fixed.HEADER_ENGLISH_PATTERN)})"
+        f" OR {has(fixed.HEADER_ORIGINAL_PATTERN)}"
+        f" OR (len(regexp_extract_all(trim({c}), ' de ')) >= 2"
+        f" AND {has(fixed.HEADER_SPANISH_DATE_PATTERN)}"
+        f" AND {has(fixed.HEADER_SPANISH_MARK_PATTERN)})))"
+    )
+
+
+def _sql_lines(source: str, target: str, key: str) -> str:
+    """Right-trimmed lines of ``source(key, text)``."""
+    split = "string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))"
+    return f"""
+{target} AS (
+  SELECT {key}, rtrim(unnest({split}), ' ' || chr(9)) AS line,
+         generate_subscripts({split}, 1) AS pos FROM {source}
+)"""
+
+
+def _sql_elided(source: str, target: str, key: str) -> str:
+    return f"""
+{target}_flags AS (SELECT *, {_is_title('line')} AS title FROM {source}),
+{target} AS (
+  SELECT {key}, pos, CASE WHEN title THEN '{fixed.PRINT_TITLE_NOTE}' ELSE line END AS line
+  FROM (SELECT *, coalesce(lag(title) OVER (PARTITION BY {key} ORDER BY pos), false) AS follows
+        FROM {target}_flags)
+  WHERE NOT (title AND follows)
+)"""
+
+
+def _sql_joined(source: str, target: str, key: str) -> str:
+    """One pass is enough: headers of the test texts are split in two at most."""
+    both = "line || ' ' || coalesce(following, '')"
+    return f"""
+{target}_next AS (
+  SELECT *, lead(line) OVER (PARTITION BY {key} ORDER BY pos) AS following FROM {source}
+),
+{target}_open AS (
+  SELECT *, following IS NOT NULL AND contains(line, '<') AND NOT {_is_header('line')}
+            AND {_is_header('(' + both + ')')} AS opens
+  FROM {target}_next
+),
+{target} AS (
+  SELECT {key}, pos, CASE WHEN opens THEN trim({both}) ELSE line END AS line
+  FROM (SELECT *, coalesce(lag(opens) OVER (PARTITION BY {key} ORDER BY pos), false) AS swallowed
+        FROM {target}_open)
+  WHERE NOT swallowed
+)"""
+
+
+def _sql_text(source: str, target: str, key: str) -> str:
+    return f"""
+{target} AS (
+  SELECT {key}, string_agg(line, chr(10) ORDER BY pos) AS text FROM {source} GROUP BY {key}
+)"""
+
+
+def _sql_counted(source: str, target: str, key: str) -> str:
+    return f"""
+{target}_heads AS (SELECT *, {_is_header('line')} AS head FROM {source}),
+{target} AS (
+  SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY {key} ORDER BY pos
+            ROWS UNBOUNDED PRECEDING) AS msg
+  FROM {target}_heads
+)"""
+
+
+_BANNER_LINE = f"""CASE WHEN head AND msg > 1
+  THEN chr(10) || '{fixed.MESSAGE_RULE}' || chr(10) || '  Message ' || msg || chr(10)
+       || '{fixed.MESSAGE_RULE}' || chr(10) || chr(10) || line ELSE line END"""
+
+
+def sql_tidy(source: str, key: str) -> str:
+    """CTEs that turn ``source(key, text)`` into ``tidied(key, text)``."""
+    squeeze = "regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g')"
+    return f"""
+{_sql_lines(source, 'y_lines', key)}, {_sql_elided('y_lines', 'y_elided', key)},
+{_sql_joined('y_elided', 'y_joined', key)}, {_sql_text('y_joined', 'y_text', key)},
+y_squeezed AS (SELECT {key}, {squeeze} AS text FROM y_text),
+{_sql_lines('y_squeezed', 'y_again', key)}, {_sql_counted('y_again', 'y_counted', key)},
+y_marked AS (
+  SELECT {key}, string_agg({_BANNER_LINE}, chr(10) ORDER BY pos) AS text
+  FROM y_counted GROUP BY {key}
+),
+tidied AS (
+  SELECT {key}, CASE WHEN s.text = '' THEN '' ELSE
+    trim({squeeze.replace('(text', '(m.text')}, ' ' || chr(9) || chr(10)) || chr(10) END AS text
+  FROM y_marked m JOIN {source} s USING ({key})
+)"""
+
+
+_EXPORTS = f"exports AS (SELECT doc_id, {inputs.SQL_EXPORT_TEXT} AS text FROM documents)"
+_LINES = f"{_EXPORTS}, {_sql_lines('exports', 'numbered', 'doc_id')}"
+
+
 # --- listed phrases ---------------------------------------------------------------
 
 
@@ -210,13 +381,31 @@ def r9(spark, sf):
     return phrases.redact_phrases(notes, _place_names(spark, sf), style="marker")
 
 
-@query("r11_redact_documents")
+@query(
+    "r11_redact_documents",
+    f"""{_CLEAN}, {_PHRASES.strip()},
+    rules AS (SELECT list({{'text': phrase, 'other': 'Cliente ' || place}}
+                          ORDER BY length(phrase) DESC, place) AS rules FROM places),
+    named AS (
+      SELECT doc_id, list_reduce(list_prepend({{'text': text, 'other': ''}}, rules),
+        lambda a, b: {{'text': regexp_replace(a.text, regexp_escape(b.text), b.other, 'gi'),
+                       'other': ''}}).text AS text
+      FROM leaky_clean, rules
+    ),
+    {sql_tidy('named', 'doc_id')} SELECT * FROM tidied""",
+)
 def r11(spark, sf):
     listed = _phrases(spark, sf)
     return phrases.redact_documents(_leaky(spark, sf), listed, style="numbered")
 
 
-@query("s14_redact_files")
+@query(
+    "s14_redact_files",
+    f"""WITH {inputs.SQL_FILES}, raw AS (SELECT path, body AS text FROM files),
+    {sql_sanitize('raw', 'path')}, {sql_tidy('raw_clean', 'path')}
+    SELECT replace(string_split(path, '/')[-1], '.txt', '.redacted.txt') AS output_name, text
+    FROM tidied""",
+)
 def s14(spark, sf):
     files = inputs.files(spark, sf).select("path", F.decode("content", "UTF-8").alias("text"))
     return phrases.redact_documents(files).select(
@@ -226,28 +415,6 @@ def s14(spark, sf):
 
 # --- exports -----------------------------------------------------------------------
 
-_TEXT = inputs.SQL_EXPORT_TEXT
-_LINES = f"""
-texts AS (SELECT doc_id, replace({_TEXT}, chr(13) || chr(10), chr(10)) AS t FROM documents),
-numbered AS (
-  SELECT doc_id, rtrim(unnest(string_split(t, chr(10))), ' ' || chr(9)) AS line,
-         generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM texts
-)"""
-_IS_TITLE = (
-    "(length(trim(line)) > 12 AND lower(trim(line)) LIKE 'correo de %'"
-    " AND regexp_matches(trim(line), '(?i)\\b(PM|AM|p\\.m\\.|a\\.m\\.)\\.?\\s*$')"
-    " AND regexp_matches(trim(line), '[\\d/]+'))"
-)
-_IS_HEADER = (
-    "(length(trim(line)) >= 30 AND contains(line, '<') AND contains(line, '>')"
-    " AND (regexp_matches(trim(line), '(?i)^On [^\\n]+wrote:?\\s*$')"
-    "  OR regexp_matches(trim(line), '(?i)^----+\\s*Original Message\\s*----')"
-    "  OR (len(regexp_extract_all(trim(line), ' de ')) >= 2"
-    f"   AND regexp_matches(trim(line), '(?i){fixed.HEADER_SPANISH_DATE_PATTERN}')"
-    f"   AND regexp_matches(trim(line), '(?i){fixed.HEADER_SPANISH_MARK_PATTERN}'))))"
-)
-
-
 @query(
     "t1_normalize_export",
     f"""WITH {_LINES}
@@ -260,20 +427,19 @@ def t1(spark, sf):
 
 @query(
     "t2_elide_print_titles",
-    f"""WITH {_LINES},
-    flagged AS (SELECT *, {_IS_TITLE} AS title FROM numbered),
-    runs AS (SELECT *, coalesce(lag(title) OVER (PARTITION BY doc_id ORDER BY pos), false)
-                       AS follows FROM flagged)
-    SELECT doc_id, string_agg(CASE WHEN title THEN '{fixed.PRINT_TITLE_NOTE}' ELSE line END,
-                              chr(10) ORDER BY pos) AS text
-    FROM runs WHERE NOT (title AND follows) GROUP BY doc_id""",
+    f"""WITH {_LINES}, {_sql_elided('numbered', 'elided', 'doc_id')},
+    {_sql_text('elided', 'out', 'doc_id')} SELECT * FROM out""",
 )
 def t2(spark, sf):
     lines = tidy.elide_print_titles(tidy.export_lines(tidy.normalize_characters(F.col("text"))))
     return inputs.exports(spark, sf).select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
-@query("t3_join_wrapped_headers")
+@query(
+    "t3_join_wrapped_headers",
+    f"""WITH {_LINES}, {_sql_joined('numbered', 'joined', 'doc_id')},
+    {_sql_text('joined', 'out', 'doc_id')} SELECT * FROM out""",
+)
 def t3(spark, sf):
     rows = inputs.exports(spark, sf).select(
         "doc_id", tidy.export_lines(tidy.normalize_characters(F.col("text"))).alias("lines")
@@ -285,7 +451,7 @@ def t3(spark, sf):
 @query(
     "t4_header_lines",
     f"""WITH {_LINES}
-    SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, line FROM numbered WHERE {_IS_HEADER}""",
+    SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, line FROM numbered WHERE {_is_header('line')}""",
 )
 def t4(spark, sf):
     rows = inputs.exports(spark, sf).select(
@@ -294,20 +460,14 @@ def t4(spark, sf):
     return rows.where(tidy.is_message_header(F.col("line")))
 
 
-_MARKED = f"""WITH {_LINES},
-heads AS (SELECT *, {_IS_HEADER} AS head FROM numbered),
-counted AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos
-                          ROWS UNBOUNDED PRECEDING) AS msg FROM heads)
-"""
+_MARKED = f"WITH {_LINES}, {_sql_counted('numbered', 'counted', 'doc_id')}\n"
 
 
 @query(
     "t5_mark_messages",
     _MARKED
-    + f"""SELECT doc_id, string_agg(CASE WHEN head AND msg > 1
-        THEN chr(10) || '{fixed.MESSAGE_RULE}' || chr(10) || '  Message ' || msg || chr(10)
-             || '{fixed.MESSAGE_RULE}' || chr(10) || chr(10) || line ELSE line END,
-        chr(10) ORDER BY pos) AS text FROM counted GROUP BY doc_id""",
+    + f"""SELECT doc_id, string_agg({_BANNER_LINE}, chr(10) ORDER BY pos) AS text
+    FROM counted GROUP BY doc_id""",
 )
 def t5(spark, sf):
     rows = inputs.exports(spark, sf).select(
@@ -329,7 +489,7 @@ def t5_split(spark, sf):
     return rows.select("doc_id", F.inline(tidy.export_messages(F.col("text"))))
 
 
-@query("t6_tidy_export")
+@query("t6_tidy_export", f"WITH {_EXPORTS}, {sql_tidy('exports', 'doc_id')} SELECT * FROM tidied")
 def t6(spark, sf):
     return exports.tidy_export(inputs.exports(spark, sf))
 

@@ -6,18 +6,20 @@ from pyspark.sql import functions as F
 
 from mailweave.functions import answers, fixed
 from mailweave.functions import text as tx
-from mailweave.functions.redact import sanitize
 from mailweave.operators import classify, embedding, exemplars, prompts, retrieval, threads
 from mailweave.operators.chunking import chunk_documents
-from mailweave.operators.exports import tidy_export  # noqa: F401
 from mailweave.operators.messages import message_parts
 from mailweave.plans import inputs
 from mailweave.plans.corpus import SQL_CHUNKS, _write
+from mailweave.plans.redaction import sql_sanitize
 from mailweave.plans.registry import query
 from mailweave.sources import index_store
 
 _SCORE = """round(list_sum(list_transform(list_zip(v.unit, q.vector),
     lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(q.vector, lambda x: x * x))), 12)"""
+_UNIT_SCORE = """round(list_sum(list_transform(list_zip(v.unit, list_transform(q.vector,
+    lambda x: CAST(CAST(x / sqrt(list_sum(list_transform(q.vector, lambda y: y * y)))
+                        AS FLOAT) AS DOUBLE))), lambda p: p[1] * p[2])), 12)"""
 
 
 @query(
@@ -48,7 +50,7 @@ def j4(spark, sf):
 
 _RETRIEVE = f"""WITH {inputs.SQL_VECTORS},
 ranked AS (
-  SELECT q.query_id, v.source_id, v.source_path, v.chunk_index, v.text, {_SCORE} AS score
+  SELECT q.query_id, v.source_id, v.source_path, v.chunk_index, v.text, {_UNIT_SCORE} AS score
   FROM vecs v, label_queries q
 ),
 hits AS (
@@ -99,18 +101,44 @@ def j5(spark, sf):
     return chunks.select("source_id", "chunk_index")
 
 
-@query("e1_embed_chunks")
+def _checksum(vector):
+    """Whole-number digest of a hashed vector: places weighted by their position."""
+    weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x).cast("bigint")
+
+
+def _sql_hashed(source: str, keys: str) -> str:
+    """Tokens of ``source(keys, text)`` with their place and sign."""
+    return f"""(SELECT {keys}, CAST(h % 256 AS BIGINT) AS place,
+             CASE WHEN (h >> 32) & 1 = 1 THEN -1 ELSE 1 END AS sign
+      FROM (SELECT {keys}, md5_number_lower('0:' || w) AS h
+            FROM (SELECT {keys}, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w
+                  FROM {source}) WHERE w <> ''))"""
+
+
+@query(
+    "e1_embed_chunks",
+    f"""WITH {SQL_CHUNKS}
+    SELECT source_id, chunk_index, CAST(sum(sign * (place + 1)) AS BIGINT) AS checksum
+    FROM {_sql_hashed('chunks', 'source_id, chunk_index')} GROUP BY ALL""",
+)
 def e1(spark, sf):
     chunks = chunk_documents(inputs.documents(spark, sf))
     embedded = embedding.embed_texts(chunks, embedding.HashEmbedder())
-    return embedded.select("source_id", "chunk_index", F.size("embedding").alias("dimension"))
+    return embedded.select(
+        "source_id", "chunk_index", _checksum(F.col("embedding")).alias("checksum")
+    )
 
 
-@query("e2_embed_queries")
+@query(
+    "e2_embed_queries",
+    f"""SELECT item_id, CAST(sum(sign * (place + 1)) AS BIGINT) AS checksum
+    FROM {_sql_hashed('benchmark', 'item_id')} GROUP BY ALL""",
+)
 def e2(spark, sf):
     items = inputs.table(spark, sf, "benchmark")
     embedded = embedding.embed_texts(items, embedding.HashEmbedder())
-    return embedded.select("item_id", F.size("embedding").alias("dimension"))
+    return embedded.select("item_id", _checksum(F.col("embedding")).alias("checksum"))
 
 
 def search_items(spark, sf):
@@ -125,7 +153,32 @@ def search_items(spark, sf):
     return retrieval.retrieve(index, queries)
 
 
-@query("k2_search_documents")
+def _sql_units(name: str, source: str, keys: str) -> str:
+    """Sparse unit vectors ``name(keys, place, x)`` of hashed texts."""
+    return f"""
+{name}_raw AS (SELECT {keys}, place, sum(sign) AS v
+               FROM {_sql_hashed(source, keys)} GROUP BY ALL),
+{name} AS (SELECT {keys}, place, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY {keys}))
+                                      AS FLOAT) AS DOUBLE) AS x
+           FROM {name}_raw WHERE v <> 0)"""
+
+
+@query(
+    "k2_search_documents",
+    f"""WITH {SQL_CHUNKS}, {_sql_units('c', 'chunks', 'source_id, chunk_index')},
+    {_sql_units('q', 'benchmark', 'item_id')},
+    found AS (
+      SELECT item_id, source_id, chunk_index, round(coalesce(sum(q.x * c.x), 0), 12) AS score
+      FROM c JOIN q USING (place) GROUP BY item_id, source_id, chunk_index
+    ),
+    ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY item_id
+                ORDER BY score DESC, source_id, chunk_index) AS INTEGER) AS rank FROM found
+    )
+    SELECT CAST(item_id AS VARCHAR) AS query_id, rank, round(score, 6) AS score, source_id,
+           chunk_index
+    FROM ranked WHERE rank <= 4""",
+)
 def k2_documents(spark, sf):
     return search_items(spark, sf).select(
         "query_id", "rank", F.round("score", 6).alias("score"), "source_id", "chunk_index"
@@ -348,7 +401,14 @@ def e5(spark, sf):
 # --- example pool and prompts ---------------------------------------------------
 
 
-@query("e6_exemplar_pool")
+@query(
+    "e6_exemplar_pool",
+    f"""WITH {inputs.SQL_FILES},
+    pool AS (SELECT name AS title, file_id AS source_id, text FROM extracted
+             WHERE extract_error IS NULL AND text <> ''),
+    {sql_sanitize('pool', 'title, source_id')}
+    SELECT title, source_id, text FROM pool_clean""",
+)
 def e6(spark, sf):
     return exemplars.exemplar_pool(inputs.files(spark, sf))
 
@@ -526,7 +586,13 @@ def j6(spark, sf):
     )
 
 
-@query("u3_batch_classifier")
+@query(
+    "u3_batch_classifier",
+    """SELECT doc_id, CASE WHEN length(text) > 4000 THEN NULL
+         WHEN contains(text, ' de ') THEN 'es' ELSE 'en' END AS language,
+       CASE WHEN length(text) > 4000 THEN 'ValueError: text too long' END AS error
+       FROM documents""",
+)
 def u3(spark, sf):
     """A Python model behind the classifier plug-in; long texts make it fail."""
 
@@ -540,5 +606,3 @@ def u3(spark, sf):
         "doc_id", "language", "error"
     )
 
-
-__all__ = ["sanitize", "search_items", "sql_transcripts"]
