@@ -21,6 +21,20 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Places(dict):
+    """Token to ``2 * place + sign bit``, filled on first use."""
+
+    def __init__(self, dim: int, seed: int) -> None:
+        super().__init__()
+        self.dim, self.seed = dim, seed
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(f"{self.seed}:{token}".encode("utf-8", "replace")).digest()
+        number = int.from_bytes(digest[8:], "little")
+        self[token] = code = 2 * (number % self.dim) + ((number >> 32) & 1)
+        return code
+
+
 class HashEmbedder:
     """Signed token hashing; needs no model and gives the same vector anywhere.
 
@@ -35,26 +49,17 @@ class HashEmbedder:
         self.dim = dim
         self.seed = seed
         self.batch_size = batch_size
-        self._known: dict[str, tuple[int, float]] = {}
-
-    def _place(self, token: str) -> tuple[int, float]:
-        digest = hashlib.md5(f"{self.seed}:{token}".encode("utf-8", "replace")).digest()
-        number = int.from_bytes(digest[8:], "little")
-        return number % self.dim, -1.0 if (number >> 32) & 1 else 1.0
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        if len(self._known) > self._MAX_KNOWN:
-            self._known.clear()
-        known = self._known
+        places = self.__dict__.get("_places")
+        if places is None or len(places) > self._MAX_KNOWN:
+            places = self._places = _Places(self.dim, self.seed)
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, text in zip(out, texts):
             tokens = text.lower().split()
-            for t in tokens:
-                if t not in known:
-                    known[t] = self._place(t)
-            if tokens:
-                places, signs = zip(*[known[t] for t in tokens])
-                row += np.bincount(places, signs, self.dim).astype(np.float32)
+            codes = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
+            counts = np.bincount(codes, minlength=2 * self.dim)
+            row += counts[0::2] - counts[1::2]
         return out
 
 

@@ -59,16 +59,32 @@ def replace_phrases(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return c
 
 
+# Outside this range a letter may have more than two case forms.
+_MANY_CASES = re.compile("[^\x00-\xb4\xb6-\u012f]")
+
+
+def _lowered(text: str) -> str | None:
+    """Lower-case text for a quick search, or None where that could miss a match."""
+    return None if _MANY_CASES.search(text) else text.lower()
+
+
 def _replace_block(c: Column, block: list[tuple[str, str]]) -> Column:
     """Arrow-batched replacement for lists too long for one expression."""
 
     @F.pandas_udf("string")
     def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rules = [(re.compile(re.escape(p), re.IGNORECASE), r) for p, r in block]
+        rules = [
+            (_lowered(p), re.compile(re.escape(p), re.IGNORECASE), r) for p, r in block
+        ]
 
         def one(text: str) -> str:
-            for rule, replacement in rules:
-                text = rule.sub(lambda _, r=replacement: r, text)
+            low = _lowered(text)
+            for key, rule, replacement in rules:
+                if key is not None and low is not None and key not in low:
+                    continue
+                changed = rule.sub(lambda _, r=replacement: r, text)
+                if changed != text:
+                    text, low = changed, _lowered(changed)
             return text
 
         for series in batches:

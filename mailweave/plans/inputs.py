@@ -150,76 +150,45 @@ def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     System turns become drafts without a plain body; some threads have missing
     or broken dates, repeated headers, or no labels.
     """
-    c = table(spark, sf_dir, "conversations")
-    conv, turn = F.col("conv_id"), F.col("turn")
-    conv_s, turn_s = conv.cast("string"), turn.cast("string")
-    is_user, is_system = F.col("role") == "user", F.col("role") == "system"
-
-    def coded(text, strip_padding: bool = False):
-        data = F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_")
-        return F.rtrim(data, F.lit("=")) if strip_padding else data
+    coded = "translate(base64(encode({}, 'UTF-8')), '+/', '-_')"
+    plain = f"trim(TRAILING '=' FROM {coded.format('text')})"
+    html = coded.format("concat('<p>', text, '</p>')")
+    other = coded.format("'second plain part'")
 
-    def named(name: str, value):
-        return F.struct(F.lit(name).alias("name"), value.alias("value"))
-
-    def part(path: str, mime: str, data):
-        return F.struct(
-            F.lit(path).alias("path"), F.lit(mime).alias("mime_type"), data.alias("data")
-        )
+    def struct(path: str, mime: str, data: str) -> str:
+        return f"struct('{path}' AS path, '{mime}' AS mime_type, {data} AS data)"
 
-    date = F.lit(BASE_MS) + ((turn * 7) % 5) * 3_600_000
-    subject = (
-        F.when(conv % 4 == 0, F.concat(F.lit("Trip "), conv_s))
-        .when(conv % 4 == 1, F.concat(F.lit("  re: Trip "), conv_s))
-        .when(conv % 4 == 3, F.lit("RE: tour"))
-    )
-    sender = (
-        F.when(is_user, F.concat(F.lit("Guest <guest"), conv_s, F.lit("@example.com>")))
-        .when(is_system, F.lit("desk@agency.example"))
-        .otherwise("Desk <desk@AGENCY.example>")
-    )
-    own_id = F.concat(F.lit("<"), conv_s, F.lit("."), turn_s, F.lit("@mail.example>"))
-    previous = F.concat(
-        F.lit("<"), conv_s, F.lit(".0@mail.example>   <"), conv_s, F.lit("."),
-        (turn - 1).cast("string"), F.lit("@mail.example>"),
-    )
-    headers = F.array_compact(
-        F.array(
-            F.when(conv % 8 == 0, named("SUBJECT", F.lit("old subject"))),
-            F.when(subject.isNotNull(), named("Subject", subject)),
-            named("From", sender),
-            named("To", F.lit("desk@agency.example")),
-            named("Message-ID", own_id),
-            F.when(turn > 0, named("References", previous)),
-        )
-    )
-    html = part("0.0", "text/html", coded(F.concat(F.lit("<p>"), "text", F.lit("</p>"))))
-    parts = F.when(
-        is_system, F.array(part("0", "multipart/mixed", F.lit(None).cast("string")), html)
-    ).otherwise(
-        F.array(
-            part("0.2", "text/plain", coded(F.lit("second plain part"))),
-            html,
-            part("0.1", "text/plain", coded(F.col("text"), strip_padding=True)),
-            part("0", "multipart/alternative", F.lit(None).cast("string")),
-        )
-    )
-    labels = (
-        F.when(is_system, F.array(F.lit("DRAFT")))
-        .when(is_user, F.array(F.lit("INBOX"), F.lit("UNREAD")))
-        .when(conv % 13 != 0, F.array(F.lit("SENT")))
-    )
-    return c.select(
-        conv_s.alias("thread_id"),
-        turn.cast("int").alias("api_pos"),
-        F.concat(conv_s, F.lit(":"), turn_s).alias("message_id"),
-        F.when((conv % 10 == 3) & (turn == 1), F.lit("n/a"))
-        .when((conv % 10 == 7) & (turn == 0), F.lit(None))
-        .otherwise(date.cast("string"))
-        .alias("internal_date"),
-        labels.alias("label_ids"),
-        headers.alias("headers"),
-        parts.alias("parts"),
+    html_part = struct("0.0", "text/html", html)
+    no_data = "cast(NULL AS string)"
+    c = table(spark, sf_dir, "conversations")
+    return c.selectExpr(
+        "cast(conv_id AS string) AS thread_id",
+        "cast(turn AS int) AS api_pos",
+        "concat(conv_id, ':', turn) AS message_id",
+        f"""CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN 'n/a'
+            WHEN conv_id % 10 = 7 AND turn = 0 THEN NULL
+            ELSE cast({BASE_MS} + ((turn * 7) % 5) * 3600000 AS string) END AS internal_date""",
+        """CASE WHEN role = 'system' THEN array('DRAFT')
+            WHEN role = 'user' THEN array('INBOX', 'UNREAD')
+            WHEN conv_id % 13 <> 0 THEN array('SENT') END AS label_ids""",
+        """filter(transform(array(
+              array('SUBJECT', if(conv_id % 8 = 0, 'old subject', NULL)),
+              array('Subject', CASE conv_id % 4 WHEN 0 THEN concat('Trip ', conv_id)
+                    WHEN 1 THEN concat('  re: Trip ', conv_id) WHEN 3 THEN 'RE: tour' END),
+              array('From', CASE role WHEN 'user'
+                    THEN concat('Guest <guest', conv_id, '@example.com>')
+                    WHEN 'system' THEN 'desk@agency.example'
+                    ELSE 'Desk <desk@AGENCY.example>' END),
+              array('To', 'desk@agency.example'),
+              array('Message-ID', concat('<', conv_id, '.', turn, '@mail.example>')),
+              array('References', if(turn > 0, concat('<', conv_id, '.0@mail.example>   <',
+                    conv_id, '.', turn - 1, '@mail.example>'), NULL))),
+            h -> struct(h[0] AS name, h[1] AS value)), h -> h.value IS NOT NULL) AS headers""",
+        f"""CASE WHEN role = 'system'
+            THEN array({struct('0', 'multipart/mixed', no_data)}, {html_part})
+            ELSE array({struct('0.2', 'text/plain', other)}, {html_part},
+                       {struct('0.1', 'text/plain', plain)},
+                       {struct('0', 'multipart/alternative', no_data)}) END AS parts""",
     )
 
 

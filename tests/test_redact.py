@@ -141,8 +141,8 @@ def test_stand_ins(spark):
 
 @pytest.mark.parametrize("block", [1, 3, 5_000])
 def test_long_lists_equal_short_ones(spark, monkeypatch, block):
-    names = ["Ana Maria", "ana", "Rosa", "o'brien", "maria"]
-    values = ["ANA MARIA met Ana and O'Brien, Rosa; maria", "none", ""]
+    names = ["Ana Maria", "ana", "Rosa", "o'brien", "maria", "José Ñu", "Kim"]
+    values = ["ANA MARIA met Ana and O'Brien, Rosa; maria", "none", "", "JOSÉ ñU, \u212aim", "roſa KIM"]
     want = redacted(spark, values, names)
     monkeypatch.setattr(phrases, "INLINE_PHRASES", 0)
     monkeypatch.setattr(phrases, "PHRASE_BLOCK", block)
