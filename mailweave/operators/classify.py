@@ -26,39 +26,38 @@ STOP_WORDS: Mapping[str, Sequence[str]] = {
 TOPIC_WORDS = ("tour", "tours", "trip", "travel", "viaje", "viaggio", "cusco", "peru")
 
 
-def stop_word_language(body: Column) -> Column:
-    """Answer struct with the code of the word list that matches most often."""
+def _answer(answer: Column) -> Column:
+    return F.struct(answer.alias("answer"), F.lit(None).cast("string").alias("error"))
+
 
-    def best(tokens: Column) -> Column:
-        def hits(code: str) -> Column:
-            return F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS[code])))
+def _best_code(tokens: Column) -> Column:
+    """Code of the word list that matches most often; en, es, it on equal counts."""
 
-        ranked = F.greatest(
-            *[
-                F.struct(hits(code).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code"))
-                for i, code in enumerate(("en", "es", "it"))
-            ]
-        )
-        return ranked["code"]
+    def hits(code: str) -> Column:
+        return F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS[code])))
 
-    code = text.let(text.words(F.lower(body)), best)
-    return F.struct(code.alias("answer"), F.lit(None).cast("string").alias("error"))
+    ranked = F.greatest(
+        *[
+            F.struct(hits(code).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code"))
+            for i, code in enumerate(("en", "es", "it"))
+        ]
+    )
+    return ranked["code"]
+
+
+def stop_word_language(body: Column) -> Column:
+    """Answer with the code of the word list that fits best."""
+    return _answer(text.let(text.words(F.lower(body)), _best_code))
 
 
 def word_topic(words: Sequence[str] = TOPIC_WORDS) -> Classifier:
     """``yes xx`` when a topic word occurs, else ``no xx``."""
 
-    def classify(body: Column) -> Column:
-        found = F.arrays_overlap(
-            text.words(F.lower(body)), F.array(*[F.lit(w) for w in words])
-        )
-        answer = F.concat(
-            F.when(found, F.lit("yes ")).otherwise("no "),
-            stop_word_language(body)["answer"],
-        )
-        return F.struct(answer.alias("answer"), F.lit(None).cast("string").alias("error"))
+    def answer(tokens: Column) -> Column:
+        found = F.exists(tokens, lambda w: w.isin(*words))
+        return F.concat(F.when(found, F.lit("yes ")).otherwise("no "), _best_code(tokens))
 
-    return classify
+    return lambda body: _answer(text.let(text.words(F.lower(body)), answer))
 
 
 def batch_classifier(answer: Callable[[str], str]) -> Classifier:

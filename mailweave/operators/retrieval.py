@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailweave.functions import fixed, vectors
+from mailweave.session import materialize
 
 KEY = ("source_id", "chunk_index")
 SCORE_PLACES = 12
@@ -111,7 +112,7 @@ def _output(best: _Best, ids: np.ndarray, names: list[str]) -> pd.DataFrame:
 def _partial_schema(chunks: DataFrame, queries: DataFrame, columns: Sequence[str]):
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
     fields.append(T.StructField("score", T.DoubleType()))
-    fields += [chunks.schema[c] for c in (*KEY, *columns)]
+    fields += [chunks.schema[c] for c in columns]
     return T.StructType(fields)
 
 
@@ -138,15 +139,13 @@ def retrieve(
     units = queries.select("query_id", vectors.unit(F.col("vector")).alias("unit")).where(
         vectors.norm(F.col("unit")) > 0
     )
-    schema = _partial_schema(chunks, queries, columns)
+    schema = _partial_schema(wanted, queries, (*KEY, *columns))
     if k <= 0:
         return _ranked(wanted.sparkSession.createDataFrame([], schema), 1).limit(0)
     sample = units.limit(query_block + 1).toPandas()
     if len(sample) <= query_block:
-        partial = _scan_once(wanted, sample, k, schema)
-    else:
-        partial = _scan_blocks(wanted, units, k, schema, query_block, chunk_block)
-    return _ranked(partial, k)
+        return _ranked(_scan_once(wanted, sample, k, schema), k)
+    return _scan_blocks(wanted, units, k, columns, query_block, chunk_block)
 
 
 def _scan_once(
@@ -179,24 +178,35 @@ def _scan_blocks(
     wanted: DataFrame,
     units: DataFrame,
     k: int,
-    schema: T.StructType,
+    columns: Sequence[str],
     query_block: int,
     chunk_block: int,
 ) -> DataFrame:
     """Block matrix product: every (query block, chunk block) cell is one group.
 
-    Half-full target sizes leave room for hash unevenness. The partition number
-    is part of the hash so that copies of one chunk spread out.
+    Both sides are written once, which fixes their block and row numbers. Only
+    keys and vectors are copied to the cells; the other columns are joined to
+    the final hits by row number. Half-full target sizes leave room for hash
+    unevenness, and the row number in the hash spreads copies of one chunk.
     """
+    units = materialize(units.withColumn("_row", F.monotonically_increasing_id()), "queries")
+    table = materialize(wanted.withColumn("_row", F.monotonically_increasing_id()), "corpus")
     q_blocks = max(1, math.ceil(units.count() / (query_block / 2)))
-    c_blocks = max(1, math.ceil(wanted.count() / (chunk_block / 2)))
-    spread = F.xxhash64(*KEY, F.spark_partition_id())
-    left = units.withColumn(
-        "_q", F.pmod(F.xxhash64("query_id", F.spark_partition_id()), F.lit(q_blocks))
-    ).withColumn("_c", F.explode(_range(c_blocks)))
-    right = wanted.withColumn("_c", F.pmod(spread, F.lit(c_blocks))).withColumn(
-        "_q", F.explode(_range(q_blocks))
+    c_blocks = max(1, math.ceil(table.count() / (chunk_block / 2)))
+    left = units.select(
+        "query_id",
+        "unit",
+        F.pmod(F.xxhash64("_row"), F.lit(q_blocks)).alias("_q"),
+        F.explode(_range(c_blocks)).alias("_c"),
     )
+    right = table.select(
+        *KEY,
+        "_row",
+        "unit_embedding",
+        F.pmod(F.xxhash64("_row"), F.lit(c_blocks)).alias("_c"),
+        F.explode(_range(q_blocks)).alias("_q"),
+    )
+    schema = _partial_schema(table, units, (*KEY, "_row"))
     names = schema.names
 
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -211,11 +221,15 @@ def _scan_blocks(
             best.merge(rest.iloc[start + row].assign(_query=query, score=score))
         return _output(best, q["query_id"].to_numpy(), names)
 
-    return (
+    partial = (
         left.groupBy("_q", "_c")
         .cogroup(right.groupBy("_q", "_c"))
         .applyInPandas(cell, schema)
     )
+    hits = _ranked(partial, k)
+    if not columns:
+        return hits.drop("_row")
+    return hits.join(table.select("_row", *columns), "_row").drop("_row")
 
 
 def _ranked(partial: DataFrame, k: int) -> DataFrame:

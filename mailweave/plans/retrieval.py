@@ -429,11 +429,12 @@ def k4(spark, sf):
 def _shortest(spark, sf):
     """One example per document source and language: its shortest document."""
     d = inputs.table(spark, sf, "documents")
-    first = F.min(F.struct(F.col("n_chars"), F.col("doc_id"), F.col("text")))
-    return d.groupBy("source", "lang").agg(first.alias("d")).select(
+    first = F.min(F.struct("n_chars", "doc_id"))
+    chosen = d.groupBy("source", "lang").agg(first.alias("first"))
+    return d.join(chosen.select("first.doc_id"), "doc_id").select(
         F.concat("source", F.lit(" "), "lang").alias("title"),
-        F.col("d.text").alias("text"),
-        F.col("d.doc_id").cast("string").alias("source_id"),
+        "text",
+        F.col("doc_id").cast("string").alias("source_id"),
     )
 
 
