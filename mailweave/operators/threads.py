@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailweave.functions import fixed, mail
 from mailweave.operators import skew
 from mailweave.operators.messages import message_parts
+from mailweave.session import materialize
 
 _GAP = 2  # blank line between two segments
 
@@ -281,15 +282,17 @@ def transcripts_of(
     Every segment has a start offset in its thread's full text. Offsets are cut
     into buckets of the budget's length, so the text an anchor can show lies in
     at most two of them, and matching on ``(thread, bucket)`` never pairs an
-    anchor with far-away messages. Numbering and matching move lengths only;
-    texts are joined to the rows that are kept.
+    anchor with far-away messages. Numbering and matching move lengths only: the
+    positions, a few dozen bytes per message, are written once and read from
+    both sides of the match. Texts are joined to the rows that are kept.
     """
     _check_budget(max_chars)
-    placed = (
+    placed = materialize(
         order_messages(segments.drop("tail"), F.col("tail_chars"), hot_rows)
         .withColumn("_end", _segment_end())
         .withColumn("_start", F.col("_end") - _segment_chars() - _GAP)
-        .select("thread_id", "message_id", "ordinal", "_start", "_end")
+        .select("thread_id", "message_id", "ordinal", "_start", "_end"),
+        "positions",
     )
     # Two buckets at most: an anchor reaches back no further than the budget.
     reach = F.least(

@@ -348,12 +348,9 @@ def c4_plain(spark, sf):
 
 def _by_source(spark, sf):
     """Chunks grouped under their document's source."""
-    return c4_plain(spark, sf).join(
-        inputs.documents(spark, sf).select(
-            "source_id", F.substring_index("source_path", " / ", 1).alias("source_path")
-        ),
-        "source_id",
-    )
+    docs = inputs.documents(spark, sf)
+    source = F.substring_index("source_path", " / ", 1)
+    return chunking.chunk_documents(docs.withColumn("source_path", source))
 
 
 _SQL_BY_SOURCE = f"""WITH {SQL_CHUNKS},
