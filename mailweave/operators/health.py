@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHOWN_TITLES = 5
+
 
 def source_stats(chunks: DataFrame) -> DataFrame:
     """Chunks per source path, largest first."""
@@ -55,11 +57,19 @@ def health_report(
     configured_model: str,
     *,
     available: bool = True,
+    exemplars: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: counts, flags and the list of issues.
+    """One row: counts, flags, the example pool and the list of issues.
 
-    ``chunks`` is None when the index could not be opened.
+    ``chunks`` is None when the index could not be opened. The pool is shown by
+    its size and first titles; an empty pool is no issue.
     """
+    pool_size, titles = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    if exemplars is not None:
+        first = exemplars.orderBy(F.lower("title"), "source_id").limit(SHOWN_TITLES)
+        keyed = F.struct(F.lower("title").alias("low"), "source_id", "title")
+        pool_size = exemplars.agg(F.count(F.lit(1))).scalar()
+        titles = first.agg(F.array_sort(F.collect_list(keyed))["title"]).scalar()
     loaded = available and chunks is not None
     if loaded:
         stats = index_stats(chunks)
@@ -90,6 +100,8 @@ def health_report(
         "dimension",
         F.lit(matches).alias("model_matches"),
         (F.lit(loaded and matches) & (F.col("chunk_count") > 0)).alias("healthy"),
+        pool_size.alias("exemplar_count"),
+        titles.alias("exemplar_titles"),
         issues.alias("issues"),
     )
 

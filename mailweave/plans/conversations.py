@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailweave.functions import fixed, mail
-from mailweave.operators import health, lookups, threads
+from mailweave.operators import health, lookups, replies, threads
 from mailweave.operators.classify import word_topic
 from mailweave.operators.messages import message_parts
 from mailweave.plans import inputs
 from mailweave.plans.registry import query
-from mailweave.plans.retrieval import sql_transcripts
+from mailweave.plans.retrieval import SQL_LANGUAGE, sql_transcripts
 from mailweave.session import scratch_path
 from mailweave.sources import inbox, state
 from mailweave.streaming import scanner
@@ -231,6 +231,42 @@ def w5(spark, sf):
     )
 
 
+_WAITING = f"""{_M}, {_ANCHORS}, {sql_transcripts(BUDGET)},
+asked AS (
+  SELECT s.*, t.transcript, regexp_split_to_array(lower(t.transcript), '\\s+') AS w
+  FROM lasts l JOIN segments s ON s.message_id = l.anchor_id
+       JOIN transcripts t ON t.thread_id = l.thread_id
+  WHERE l.role = 'user'
+)"""
+
+
+@query(
+    "manual_reply_requests",
+    f"""{_WAITING}
+    SELECT thread_id, message_id AS anchor_id, sender AS reply_to,
+      CASE WHEN lower(trim(subject)) LIKE 're:%' THEN trim(subject)
+           ELSE 'Re: ' || trim(subject) END AS reply_subject,
+      message_id_header AS in_reply_to,
+      CASE WHEN refs = '' THEN message_id_header
+           ELSE regexp_replace(refs, '\\s+', ' ', 'g') || ' ' || message_id_header END
+        AS reply_references,
+      CASE body WHEN '' THEN subject ELSE body END AS turn, transcript,
+      {SQL_LANGUAGE} AS language, CAST(NULL AS VARCHAR) AS error FROM asked""",
+)
+def manual(spark, sf):
+    return replies.manual_requests(
+        inputs.mailbox(spark, sf), inputs.STAFF_DOMAINS, max_chars=BUDGET
+    )
+
+
+@query(
+    "manual_answered_threads",
+    f"{_M}, {_ANCHORS} SELECT thread_id, anchor_id FROM lasts WHERE role <> 'user'",
+)
+def manual_answered(spark, sf):
+    return replies.answered_threads(inputs.mailbox(spark, sf), inputs.STAFF_DOMAINS)
+
+
 # --- lookups ------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mailweave.functions import fixed
 from mailweave.functions import text as tx
-from mailweave.operators import chunking, health
+from mailweave.operators import chunking, exemplars, health
 from mailweave.plans import inputs
 from mailweave.plans.registry import query
 from mailweave.session import scratch_path
@@ -389,15 +389,27 @@ def a2(spark, sf):
 
 @query(
     "a3_health_report",
-    """SELECT true AS available, true AS loaded, count(*) AS chunk_count,
+    f"""WITH {inputs.SQL_FILES},
+    pool AS (SELECT name, file_id FROM extracted WHERE extract_error IS NULL AND text <> '')
+    SELECT true AS available, true AS loaded, count(*) AS chunk_count,
        count(DISTINCT vec_id) AS source_file_count,
        CAST(max(len(embedding)) AS INTEGER) AS dimension, false AS model_matches,
-       false AS healthy,
+       false AS healthy, (SELECT count(*) FROM pool) AS exemplar_count,
+       (SELECT string_agg(name, ', ' ORDER BY lower(name), file_id) FROM
+         (SELECT * FROM pool ORDER BY lower(name), file_id LIMIT 5)) AS exemplar_titles,
        'index was built with ''m/1'', not ''m/2''' AS issues FROM embeddings""",
 )
 def a3(spark, sf):
-    report = health.health_report(spark, inputs.vectors(spark, sf), "m/1", "m/2")
-    return report.withColumn("issues", F.array_join("issues", "; "))
+    pool = exemplars.exemplar_pool(inputs.files(spark, sf))
+    report = health.health_report(
+        spark, inputs.vectors(spark, sf), "m/1", "m/2", exemplars=pool
+    )
+    return report.withColumns(
+        {
+            "issues": F.array_join("issues", "; "),
+            "exemplar_titles": F.array_join("exemplar_titles", ", "),
+        }
+    )
 
 
 @query(

@@ -368,7 +368,7 @@ def _hits_sql(code: str) -> str:
     return f"len(list_filter(w, lambda x: x IN ({listed})))"
 
 
-_SQL_LANGUAGE = f"""CASE WHEN {_hits_sql('en')} >= {_hits_sql('es')}
+SQL_LANGUAGE = f"""CASE WHEN {_hits_sql('en')} >= {_hits_sql('es')}
   AND {_hits_sql('en')} >= {_hits_sql('it')} THEN 'en'
   WHEN {_hits_sql('es')} >= {_hits_sql('it')} THEN 'es' ELSE 'it' END"""
 
@@ -379,7 +379,7 @@ _SQL_LANGUAGE = f"""CASE WHEN {_hits_sql('en')} >= {_hits_sql('es')}
           CASE WHEN length(text) <= 4000 THEN text ELSE left(text, 2000)
           || '{fixed.LANGUAGE_SAMPLE_BANNER}' || right(text, 2000) END), '\\s+') AS w
         FROM documents)
-    SELECT doc_id, {_SQL_LANGUAGE} AS language FROM s""",
+    SELECT doc_id, {SQL_LANGUAGE} AS language FROM s""",
 )
 def e4(spark, sf):
     d = inputs.table(spark, sf, "documents")
@@ -391,7 +391,7 @@ def e4(spark, sf):
     f"""WITH s AS (SELECT doc_id, regexp_split_to_array(lower(
           source || chr(10) || chr(10) || left(text, 8000)), '\\s+') AS w FROM documents)
     SELECT doc_id, list_has_any(w, {list(classify.TOPIC_WORDS)!r}) AS related,
-      {_SQL_LANGUAGE} AS language FROM s""",
+      {SQL_LANGUAGE} AS language FROM s""",
 )
 def e5(spark, sf):
     d = inputs.table(spark, sf, "documents")

@@ -210,3 +210,22 @@ def test_missing_labels_count_as_sent(spark):
     df = frame(spark, [message("t", 0, "x", labels=None), message("u", 0, "x", labels=["DRAFT"])])
     assert [r.thread_id for r in threads.non_draft(df).collect()] == ["t"]
     assert [r.thread_id for r in lookups.threads_with_draft(df).collect()] == ["u"]
+
+
+def test_manual_requests(spark):
+    from mailweave.operators import replies
+
+    rows = [
+        message("a", 0, "grazie per il tour, vorrei una data", "1"),
+        message("b", 0, "hello", "1"), message("b", 1, "answer", "2", sender="d@agency.example"),
+        message("c", 0, "", "1", subject="  Just a subject"),
+        message("d", 0, "x", "1", ["DRAFT"]),
+    ]
+    df = frame(spark, rows)
+    got = {r.thread_id: r for r in replies.manual_requests(df, ["agency.example"]).collect()}
+    assert set(got) == {"a", "c"}
+    assert (got["a"].language, got["a"].anchor_id, got["a"].reply_subject) == ("it", "a:0", "Re: Hi")
+    assert got["c"].turn == "  Just a subject" and got["c"].reply_subject == "Re: Just a subject"
+    forced = replies.manual_requests(df, ["agency.example"], forced_language="es").collect()
+    assert {r.language for r in forced} == {"es"}
+    assert [r.thread_id for r in replies.answered_threads(df, ["agency.example"]).collect()] == ["b"]
