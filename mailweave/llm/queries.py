@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm import bpe, packing, token_counts
+from mailweave.llm import bpe, jaccard, packing, token_counts
 from mailweave.llm.common import hex_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
@@ -49,6 +53,7 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_jaccard_groups": op2_jaccard_groups,
     "op3_token_counts": op3_token_counts,
     "op4_pack_sequences": op4_pack_sequences,
 }
