@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm import bpe, jaccard, packing, token_counts
+from mailweave.llm import (
+    bpe,
+    jaccard,
+    packing,
+    quality_rules,
+    secrets,
+    token_counts,
+    url_filter,
+)
 from mailweave.llm.common import hex_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,10 +59,40 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        hex_digest(joined(F.filter("spans", lambda s: s["kind"] != "novel"))).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_jaccard_groups": op2_jaccard_groups,
     "op3_token_counts": op3_token_counts,
     "op4_pack_sequences": op4_pack_sequences,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_url_filter": op8_url_filter,
 }
 ORACLES: dict[str, str] = {}
