@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from mailweave.llm import (
     bpe,
+    fingerprints,
     jaccard,
+    language,
     packing,
     quality_rules,
     secrets,
@@ -86,6 +88,22 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aside = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    model = language.train(docs.where(~aside))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", aside, "lang_pred", "score")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", hex_digest(F.col("edited")).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_jaccard_groups": op2_jaccard_groups,
@@ -94,5 +112,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
     "op8_url_filter": op8_url_filter,
+    "op9_language_spans": op9_language_spans,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
