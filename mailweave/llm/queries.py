@@ -12,6 +12,7 @@ from mailweave.llm import (
     bpe,
     fingerprints,
     jaccard,
+    kneser_ney,
     language,
     packing,
     quality_rules,
@@ -84,6 +85,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -111,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op4_pack_sequences": op4_pack_sequences,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op7_kneser_ney_quality": op7_kneser_ney_quality,
     "op8_url_filter": op8_url_filter,
     "op9_language_spans": op9_language_spans,
     "op10_fingerprints": op10_fingerprints,
