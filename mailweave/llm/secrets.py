@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from mailweave.llm.common import map_slices, slices, texts_of
 
+MASK = "<SECRET>"
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
     r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -120,6 +121,39 @@ class Novelty:
         return found
 
 
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with every span, overlapping ones together, replaced by MASK."""
+    out, done = [], 0
+    for start, _, end in spans:
+        if start >= done:
+            out += [text[done:start], MASK]
+        done = max(done, end)
+    return "".join([*out, text[done:]])
+
+
+def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, with the secrets in ``text_col`` masked; null texts stay null."""
+    words = SparkSession.active().sparkContext.broadcast(identifiers(df, text_col))
+    place, schema = df.columns.index(text_col), df.schema
+
+    def run(batches):
+        novelty = Novelty(words.value)
+        for batch in batches:
+            for part in slices(batch, place):
+                texts = []
+                for text in part.column(place).to_pylist():
+                    if text:
+                        low = text.lower()
+                        found = base_spans(text, low)
+                        text = masked(text, sorted(found + novelty.spans(text, low, found)))
+                    texts.append(text)
+                columns = part.columns
+                columns[place] = pa.array(texts, part.schema.field(place).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return df.mapInArrow(run, schema)
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, spans array<struct<kind, start, end>>)`` for every row, ordered by start
     and kind."""
