@@ -11,17 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts worked on at a time inside a task; a longer single text is a slice of its own.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose values in ``column`` fit SLICE_BYTES."""
+def slices(
+    batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows whose values in ``column`` fit ``limit`` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -32,7 +32,8 @@ from mailweave.session import scratch_path
 ORDER = 4
 BLOCK_IDS = 16_384
 START = b"\n" * (ORDER - 1)
-DENSE = 1 << 25  # entries of the lookup table of a block; wider blocks are searched
+PACKET_BYTES = 4 << 20  # text of a packet, and so what a task unpacks at a time
+DENSE = 1 << 24  # entries of the lookup table of a block; wider blocks are searched
 QUANTILE, MARGIN, BASE_BYTES = 0.99, 0.5, 150.0
 MIN_TRUSTED = 50
 
@@ -43,7 +44,7 @@ def packed(df: DataFrame) -> DataFrame:
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, PACKET_BYTES):
                 table = pa.Table.from_batches([part])
                 blocks = part.column(3).to_numpy()
                 for block in np.unique(blocks).tolist():
@@ -122,7 +123,9 @@ def _tally(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     seen = np.zeros(n * n, bool)
     seen[cell] = True
     at = np.flatnonzero(seen)
-    sums = np.bincount(cell, weights, n * n)[at] if weights.any() else np.zeros(len(at))
+    place = np.zeros(n * n, np.int32)
+    place[at] = np.arange(len(at), dtype=np.int32)
+    sums = np.bincount(place[cell], weights, len(at))
     found = (names[at // n] << 16 | names[at % n]).astype(np.uint32)
     return found, sums.astype(np.int64)
 
