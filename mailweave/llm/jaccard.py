@@ -16,14 +16,16 @@ link differ in at most D places, so
 The allocation follows the cost in index rows: a band of small sets takes the second form
 (few long segments, one row per shingle), a band of large sets the first. There, segments
 of at most one shingle would be equal by chance among many documents. They are left out;
-in exchange a set that has such segments also gets the one-deletion rows of its other
-segments: if only h left-out segments are equal, at most h - 1 others differ by two or more, so
-among h others one differs by one. A set more than a third of whose segments are that
-small indexes all of them, and is met through them by anyone.
+in exchange a set that has such segments also gets the one-deletion rows of those of its first Q
+segments that are not small. If only h left-out segments are equal, at most h - 1 others differ by
+two or more, so among any h segments that are small on neither side one differs by one; where
+both sides have at most Q / 3 small segments, the first Q hold that many. A set with more small
+segments indexes all of them, and is met through them by anyone.
 
 Sets that are equal are one node. In every group of equal signatures all nodes are compared
 with one of them first, which joins groups of near copies without listing their pairs;
-afterwards only pairs from different groups that still share a signature are compared.
+afterwards only pairs from different groups that still share a signature are compared, and of
+these only pairs whose sizes and parity bits (a lower bound of their difference) allow a link.
 Every comparison reads the two texts and is exact (shingles as 64-bit hashes).
 
 Nulls and empty texts are documents of their own group. Rows with the same id are one
@@ -38,13 +40,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailweave.llm.common import map_slices, mix64, offsets
 from mailweave.session import scratch_path
 
 SMALL_SET = 64  # sets up to this size take the one-deletion form
+FIRST_SEGMENTS, FIRST_PART = 12, 16  # Q: so many segments, or one in so many if that is more
+PARITY_WORDS = 8  # 64-bit words of the parity bits
 WORD_LIMIT = 400_000  # word hashes a task remembers
 
 
@@ -113,11 +117,12 @@ def _node(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """``(id, n, node, sigs, weak)``: set size, name of the set and its signatures.
+    """``(id, n, node, sigs, weak, parity)``: set size, name of the set and its signatures.
 
     ``sigs`` is null where this task already gave the signatures of an equal set.
     The last ``weak`` signatures are those of left-out segments, of use only to sets that
-    index all their segments.
+    index all their segments. ``parity`` has a bit for each of 64 * PARITY_WORDS hash buckets:
+    whether it holds an odd number of the set's shingles; null without signatures.
     """
 
     def work():
@@ -142,9 +147,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, percent: i
             lists = pa.ListArray.from_arrays(
                 pa.array(offsets(per_row).astype(np.int32)), pa.array(sigs.view(np.int64))
             )
+            bits: list = [None] * len(sizes)
+            for i, words in zip(first, parity(values, bounds, first).tolist(), strict=True):
+                bits[i] = words
             return [
                 part.column(0), pa.array(sizes), pa.array(names.view(np.int64)), lists,
-                pa.array(weak_row),
+                pa.array(weak_row), pa.array(bits, pa.list_(pa.int64())),
             ]
 
         return handle
@@ -153,10 +161,34 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, percent: i
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     return map_slices(
         df.select(F.col(id_col).alias("id"), text), work,
-        f"id {kind}, n long, node long, sigs array<long>, weak int",
+        f"id {kind}, n long, node long, sigs array<long>, weak int, parity array<long>",
     )
 
 
+def parity(values: np.ndarray, bounds: np.ndarray, rows: list[int]) -> np.ndarray:
+    """Parity bits of the sets ``rows``, as signed 64-bit words."""
+    if not rows:
+        return np.zeros((0, PARITY_WORDS), np.int64)
+    size = 64 * PARITY_WORDS
+    picked = np.array(rows)
+    counts = np.diff(bounds)[picked]
+    where = np.repeat(bounds[picked] - (np.cumsum(counts) - counts), counts)
+    where += np.arange(len(where))
+    bucket = (mix64(values[where] + np.uint64(5)) % np.uint64(size)).astype(np.int64)
+    cell = np.repeat(np.arange(len(rows)) * size, counts) + bucket
+    odd = (np.bincount(cell, minlength=len(rows) * size) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(rows), size), axis=1).view(np.int64)
+
+
+def may_link(percent: int) -> Column:
+    """Whether sizes and parity bits of two sets (``n``, ``parity`` and ``nx``, ``px``) allow a link."""
+    differ = sum(
+        F.bit_count(F.get("parity", i).bitwiseXOR(F.get("px", i))) for i in range(PARITY_WORDS)
+    )
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("nx"))
+    return close & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
+
+
 def segment_signatures(values, bounds, rows, percent):
     """Signatures of the sets ``rows``: all in one array, how many each has, and how many
     of these, at the end, are weak."""
@@ -192,14 +224,16 @@ def segment_signatures(values, bounds, rows, percent):
         long_form = ~deletes[k]
         small = (count <= 1) & long_form[owner]
         n_small = np.bincount(owner[small], minlength=len(rows))
-        wild = n_small * 3 > m
+        near = np.maximum(FIRST_SEGMENTS, m // FIRST_PART)
+        wild = n_small * 3 > np.minimum(near, m)
         weak = small & ~wild[owner]
         owners += [owner[~weak], owner[weak]]
         found += [exact[~weak], exact[weak]]
         is_weak += [np.zeros(int((~weak).sum()), bool), np.ones(int(weak.sum()), bool)]
         use = (deletes[k] | (n_small > 0))[token_row]
         # In the long form a deletion leaves at least two shingles.
-        use &= deletes[k][token_row] | (count[cell] > 2)
+        in_first = (cell - base[token_row]) < near[token_row]
+        use &= deletes[k][token_row] | ((count[cell] > 2) & in_first)
         c = cell[use]
         rest = mix64(mix64(sums[c] - weight[use] + place[c]) + (count[c] - 1).astype(np.uint64))
         owners.append(token_row[use])
@@ -348,9 +382,16 @@ def linked_groups(
     mixed = labelled.select(
         "*", F.min("root").over(group).alias("main"), F.max("root").over(group).alias("other")
     ).where("main <> other").select("sig", "node", "root", "main")
-    outside = mixed.where("root <> main").select("sig", F.col("node").alias("x"), F.col("root").alias("rx"))
+    traits = index.where("parity is not null").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("parity").alias("parity")
+    )
+    mixed = written(mixed.join(traits, "node"), "mixed")
+    outside = mixed.where("root <> main").select(
+        "sig", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"),
+        F.col("parity").alias("px"),
+    )
     rest = outside.join(mixed, "sig").where(
-        (F.col("rx") != F.col("root"))
+        (F.col("rx") != F.col("root")) & may_link(percent)
         & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
     ).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     rest = rest.join(
