@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from mailweave.llm.common import list_array, map_slices, offsets, ragged_take, texts_of
 
 # Units a task remembers; beyond it the table starts anew.
-UNIT_LIMIT = 400_000
+UNIT_LIMIT = 200_000
 # The pre-token pattern of the byte-level vocabulary (fixed value of the format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts worked on at a time inside a task; a longer single text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(
@@ -48,6 +48,9 @@ def map_slices(
             for part in slices(batch, column):
                 arrays = handle(part)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        del handle
+        # The worker process lives on; what the task held should not stay with it.
+        pa.default_memory_pool().release_unused()
 
     names = [field.split()[0] for field in schema.split(", ")]
     return df.mapInArrow(run, schema)

@@ -49,7 +49,7 @@ from mailweave.session import scratch_path
 SMALL_SET = 64  # sets up to this size take the one-deletion form
 FIRST_SEGMENTS, FIRST_PART = 12, 16  # Q: so many segments, or one in so many if that is more
 PARITY_WORDS = 8  # 64-bit words of the parity bits
-WORD_LIMIT = 400_000  # word hashes a task remembers
+WORD_LIMIT = 200_000  # word hashes a task remembers
 
 
 class Shingles:

@@ -30,9 +30,9 @@ from mailweave.llm.common import offsets, slices
 from mailweave.session import scratch_path
 
 ORDER = 4
-BLOCK_IDS = 16_384
+BLOCK_IDS = 8_192
 START = b"\n" * (ORDER - 1)
-PACKET_BYTES = 4 << 20  # text of a packet, and so what a task unpacks at a time
+PACKET_BYTES = 2 << 20  # text of a packet, and so what a task unpacks at a time
 DENSE = 1 << 24  # entries of the lookup table of a block; wider blocks are searched
 QUANTILE, MARGIN, BASE_BYTES = 0.99, 0.5, 150.0
 MIN_TRUSTED = 50

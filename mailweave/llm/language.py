@@ -25,7 +25,7 @@ from mailweave.llm.common import map_slices, mix64, offsets, slices, texts_of
 
 BUCKETS = 1 << 15
 SWITCH = 12.0  # log-likelihood that a change of language has to gain
-WORD_LIMIT = 300_000
+WORD_LIMIT = 200_000
 UNKNOWN = "und"
 # First code point of each script range (fixed values: Unicode blocks), and its name.
 SCRIPTS = (

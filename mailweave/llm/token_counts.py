@@ -23,7 +23,7 @@ from mailweave.llm.common import map_slices, slices, text_column, texts_of
 
 FREQUENT = 32_768  # entries of the broadcast table
 SUMMARY = 4_096  # entries each task reports
-KEPT = 200_000  # entries a task counts at a time
+KEPT = 100_000  # entries a task counts at a time
 
 
 def frequent_units(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> list[str]:
