@@ -147,7 +147,7 @@ class WordScores(dict):
         score = np.zeros((len(new), self.score.shape[1]), np.float32)
         some = per > 0
         starts = (np.cumsum(per) - per)[some]
-        if len(starts):
+        if len(starts) and score.shape[1]:
             sums = np.add.reduceat(self.model["score"][bucket], starts, axis=0)
             fits = self.model["written"][script[some]]
             # A script nobody writes says nothing; otherwise only its languages stay.

@@ -123,11 +123,11 @@ def threshold(scored: DataFrame) -> DataFrame:
     )
     # At most BINS + 1 rows.
     upto, whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    errors = bins.select(
-        "bin",
-        (F.coalesce(F.sum("g").over(upto), F.lit(0)) / F.sum("g").over(whole)
-         + 1 - F.coalesce(F.sum("b").over(upto), F.lit(0)) / F.sum("b").over(whole)).alias("error"),
-    )
+    def share(side: str) -> Column:
+        before = F.coalesce(F.sum(side).over(upto), F.lit(0))
+        return F.try_divide(before, F.sum(side).over(whole))
+
+    errors = bins.select("bin", (share("g") + 1 - share("b")).alias("error"))
     at = F.expr("min_by(bin, struct(error, bin))") / BINS * 10.0 - 5.0
     return errors.where("error is not null").agg(F.coalesce(at, F.lit(0.0)).alias("limit"))
 
