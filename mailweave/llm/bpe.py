@@ -5,7 +5,7 @@ in one array and keeps an index from each mergeable pair to all its positions th
 Ranks with positions are applied in ascending order; each merge looks at all
 positions of its pair at once and files the pairs it creates under their ranks. Every
 text is then a gather of encoded units. Unit tables are bounded and start anew when
-full, which changes no result.
+full but for their most used half, which changes no result.
 
 Nulls count as empty texts; an empty text has no ids. Strings of special tokens inside
 a text become their ids, as in the library. Repeated rows give repeated results.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mailweave.llm.common import list_array, map_slices, offsets, ragged_take, texts_of
 
-# Units a task remembers; beyond it the table starts anew.
+# Units a task remembers; beyond it only the most used half stays.
 UNIT_LIMIT = 200_000
 # The pre-token pattern of the byte-level vocabulary (fixed value of the format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -211,11 +211,24 @@ class Units(dict):
         self.clear()
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.stop = np.zeros(0, np.int32), np.zeros(0, bool)
+        self.used = np.zeros(0, np.int64)
         self.new = []
         for unit in self.seed:
             self[unit]
         self.resolve()
 
+    def shrink(self) -> None:
+        """Forget all but the seed and the most used units."""
+        self.used[: len(self.seed)] += 1 << 40
+        kept = np.argsort(-self.used, kind="stable")[: len(self.seed) + self.limit // 2]
+        kept.sort()
+        names = list(self)
+        self.clear()
+        self.update(zip(map(names.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        self.flat, self.count = ragged_take(self.first, self.count, self.flat, kept)
+        self.first = np.cumsum(self.count) - self.count
+        self.stop, self.used = self.stop[kept], np.zeros(len(kept), np.int64)
+
     def __missing__(self, unit):
         number = len(self)
         self[unit] = number
@@ -239,7 +252,7 @@ class Units(dict):
         new, self.new = self.new, []
         if not new:
             return
-        numbers: dict[str, int] = {}
+        numbers = _Numbers()
         counts, members, special = [], [], {}
         for i, unit in enumerate(new):
             if isinstance(unit, tuple) and len(unit) == 2:
@@ -248,8 +261,7 @@ class Units(dict):
                 continue
             found = self.pre_tokens(unit)
             counts.append(len(found))
-            for p in found:
-                members.append(numbers.setdefault(p, len(numbers)))
+            members += map(numbers.__getitem__, found)
         flat, per = self.pairs.encode([p.encode("utf-8", "surrogatepass") for p in numbers])
         ids, taken = ragged_take(
             np.cumsum(per) - per, per, flat, np.array(members, np.int64)
@@ -292,14 +304,18 @@ class Units(dict):
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Unit numbers of all texts one after the other, and how many each has."""
         if len(self) > self.limit + len(self.seed):
-            self.restart()
+            self.shrink()
         parts = []
         for text in texts:
             units = self.split(text)
             parts.append(np.fromiter(map(self.__getitem__, units), np.int64, len(units)))
         self.resolve()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64), sizes
+        found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        used = np.bincount(found, minlength=len(self))
+        used[: len(self.used)] += self.used
+        self.used = used
+        return found, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the bounds of each text."""
@@ -308,6 +324,14 @@ class Units(dict):
         return ids, offsets(taken)[offsets(sizes)]
 
 
+class _Numbers(dict):
+    """Numbers keys in the order they come."""
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 _BLANKS = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " "]
 
 
