@@ -92,11 +92,12 @@ PRINT_TITLE_DIGIT_PATTERN = r"(?U)[\d/]+"
 PRINT_TITLE_NOTE = "--- (PDF/print page header, duplicate removed) ---"
 HEADER_MIN_CHARS = 30
 HEADER_MAX_CHARS_ENGLISH = 2_000
-# Without flags; all of them ignore case.
+# Without flags; all of them but the one named so ignore case.
 HEADER_ENGLISH_PATTERN = r"^On [^\n]+wrote:?\s*$"
 HEADER_ORIGINAL_PATTERN = r"^----+\s*Original Message\s*----"
 HEADER_SPANISH_DATE_PATTERN = r"\d{1,2} de [a-záéíóúüñA-ZÁÉÍÓÚÜÑ\.\- ]+ de 20\d{2}"
-HEADER_SPANISH_MARK_PATTERN = r"(a las|a\.\s*m\.|p\.\s*m\.|Para:)|>\s+\d{1,2} de"
+HEADER_SPANISH_MARK_PATTERN = r"(a las|a\.\s*m\.|p\.\s*m\.|Para:)"
+HEADER_SPANISH_AFTER_PATTERN_CASED = r">\s+\d{1,2} de"
 MESSAGE_RULE = "-" * 76
 WRAPPED_HEADER_PASSES = 8
 

@@ -39,7 +39,16 @@ def plain_body(parts: Column) -> Column:
     plain = F.filter(
         parts, lambda p: (p["mime_type"] == "text/plain") & (F.length(p["data"]) > 0)
     )
-    decoded = F.transform(F.array_sort(plain), lambda p: decode_base64url(p["data"]))
+    placed = F.transform(
+        plain,
+        lambda p: F.struct(
+            # Part numbers count as numbers: 0.2 comes before 0.10.
+            F.transform(F.split(p["path"], "[.]"), lambda n: n.try_cast("int")).alias("place"),
+            p["path"].alias("path"),
+            p["data"].alias("data"),
+        ),
+    )
+    decoded = F.transform(F.array_sort(placed), lambda p: decode_base64url(p["data"]))
     return F.coalesce(F.get(F.filter(decoded, lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
@@ -61,9 +70,11 @@ def is_draft(label_ids: Column) -> Column:
 
 
 def address(from_header: Column) -> Column:
-    """Bare address of a From header."""
-    bracketed = F.regexp_extract(from_header, r"<([^<>]*)>", 1)
-    return strip(F.when(bracketed != "", bracketed).otherwise(from_header))
+    """Bare address of a From header; quoted names and comments are no part of it."""
+    unquoted = F.regexp_replace(from_header, r'"(?:[^"\\]|\\.)*"', "")
+    bare = F.regexp_replace(unquoted, r"\([^()]*\)", "")
+    bracketed = F.regexp_extract(bare, r"<([^<>]*)>", 1)
+    return strip(F.when(bracketed != "", bracketed).otherwise(bare))
 
 
 def is_staff(from_header: Column, domains: Sequence[str]) -> Column:

@@ -76,7 +76,10 @@ def is_message_header(line: Column) -> Column:
         spanish = (
             (F.regexp_count(s, F.lit(" de ")) >= 2)
             & _matches(s, JAVA_FLAGS + fixed.HEADER_SPANISH_DATE_PATTERN)
-            & _matches(s, JAVA_FLAGS + fixed.HEADER_SPANISH_MARK_PATTERN)
+            & (
+                _matches(s, JAVA_FLAGS + fixed.HEADER_SPANISH_MARK_PATTERN)
+                | _matches(s, "(?U)" + fixed.HEADER_SPANISH_AFTER_PATTERN_CASED)
+            )
         )
         return (F.length(s) >= fixed.HEADER_MIN_CHARS) & (english | original | spanish)
 

@@ -16,6 +16,7 @@ _ENGLISH = re.compile(fixed.HEADER_ENGLISH_PATTERN, re.IGNORECASE)
 _ORIGINAL = re.compile(fixed.HEADER_ORIGINAL_PATTERN, re.IGNORECASE)
 _SPANISH_DATE = re.compile(fixed.HEADER_SPANISH_DATE_PATTERN, re.IGNORECASE)
 _SPANISH_MARK = re.compile(fixed.HEADER_SPANISH_MARK_PATTERN, re.IGNORECASE)
+_SPANISH_AFTER = re.compile(fixed.HEADER_SPANISH_AFTER_PATTERN_CASED)
 
 
 def _is_header(line: str) -> bool:
@@ -25,7 +26,8 @@ def _is_header(line: str) -> bool:
         return False
     if len(s) < fixed.HEADER_MAX_CHARS_ENGLISH and _ENGLISH.search(s):
         return True
-    spanish = s.count(" de ") >= 2 and _SPANISH_DATE.search(s) and _SPANISH_MARK.search(s)
+    marked = _SPANISH_MARK.search(s) or _SPANISH_AFTER.search(s)
+    spanish = s.count(" de ") >= 2 and _SPANISH_DATE.search(s) and marked
     return bool(_ORIGINAL.search(s) or spanish)
 
 

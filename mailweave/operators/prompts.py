@@ -10,12 +10,8 @@ from mailweave.functions.answers import language_name
 from mailweave.functions.text import latest_turn
 from mailweave.operators.skew import number_rows
 
-# A block is part of one prompt; pools beyond this belong in a table.
-MAX_BLOCK_CHARS = 4_000_000
-
-
 class PoolTooLargeError(ValueError):
-    """The example pool does not fit one prompt block."""
+    """The example pool is larger than the caller allows."""
 
 
 def _joined(order: str, rendered: Column) -> Column:
@@ -54,14 +50,15 @@ def numbered_examples(exemplars: DataFrame) -> DataFrame:
     )
 
 
-def example_block(exemplars: DataFrame, max_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
+def example_block(exemplars: DataFrame, max_chars: int | None = None) -> DataFrame:
     """The whole pool as one delimited block in one row; '' for an empty pool.
 
-    The size is summed first, and a pool too large for a prompt is refused.
+    ``max_chars``, where it is given, refuses a larger pool after its size was summed.
     """
-    size = exemplars.agg(F.sum(F.length("text") + F.length("title"))).first()[0] or 0
-    if size > max_chars:
-        raise PoolTooLargeError(f"example pool has {size} characters, limit {max_chars}")
+    if max_chars is not None:
+        size = exemplars.agg(F.sum(F.length("text") + F.length("title"))).first()[0] or 0
+        if size > max_chars:
+            raise PoolTooLargeError(f"example pool has {size} characters, limit {max_chars}")
     block = F.concat(
         F.lit(f"{fixed.EXAMPLES_HEADER}\n\n{fixed.EXAMPLES_OPEN}\n\n"),
         _joined("example_no", F.col("example")),

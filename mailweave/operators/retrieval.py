@@ -39,9 +39,14 @@ def top_k(
     """
     q = np.asarray(query, dtype=np.float64)
     size = float(np.linalg.norm(q))
-    scored = chunks.withColumn(
-        "score", F.round(vectors.dot(F.col("unit_embedding"), q / (size or 1.0)), SCORE_PLACES)
+    found = F.size("unit_embedding")
+    wrong = F.raise_error(
+        F.concat(F.lit(f"query has {len(q)} dimensions, a chunk has "), found.cast("string"))
     )
+    dot = vectors.dot(F.col("unit_embedding"), q / (size or 1.0))
+    # Chunks without a vector have no score.
+    score = F.when((found > 0) & (found != len(q)), wrong.cast("double")).otherwise(dot)
+    scored = chunks.withColumn("score", F.round(score, SCORE_PLACES))
     if size == 0 or k <= 0:
         return scored.limit(0)
     return scored.orderBy(F.desc("score"), *KEY).limit(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,16 +33,18 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``, else the
+    checkpoint directory of the context.
 
-    Where the cluster names none (tests, local runs) a fresh one is made. The
-    checkpoint directory of the context is pointed at it in both cases.
+    Where neither is set a local session (tests) gets a fresh folder; on a cluster that
+    would be another disk on every machine, so it is an error there.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="mailweave-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured

@@ -85,7 +85,9 @@ def current_version(spark: SparkSession, base: str) -> Row | None:
     """Newest published version, or None when nothing was published."""
     try:
         versions = spark.read.schema(META_SCHEMA).parquet(f"{base}/versions")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return versions.orderBy(F.desc("ingested_at"), F.desc("version")).first()
 

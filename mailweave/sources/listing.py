@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -94,7 +95,9 @@ def read_folder(spark: SparkSession, folder: str, *, recursive: bool = True) ->
     for suffix, known in endings.items():
         mime = F.when(ending == suffix, F.lit(known)).otherwise(mime)
     root = folder.rstrip("/").rsplit("/", 1)[-1]
-    below = F.substring_index(F.col("path"), f"/{root}/", -1)
+    # A file's path is the folder's, perhaps with a scheme before it, and what lies below.
+    prefix = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder.rstrip("/")) + "/"
+    below = F.expr("substring(path, instr(path, {p}) + length({p}))".format(p=_literal(prefix)))
     return files.select(
         F.col("path").alias("file_id"),
         name.alias("name"),
@@ -107,6 +110,11 @@ def read_folder(spark: SparkSession, folder: str, *, recursive: bool = True) ->
     )
 
 
+def _literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def union_listings(*listings: DataFrame) -> DataFrame:
     """Listings of several folders together, without removing repeats."""
     return reduce(DataFrame.unionByName, listings)

@@ -50,7 +50,9 @@ def read_state(
     """
     try:
         log = spark.read.schema(STATE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], STATE_SCHEMA)
     if without_batch is not None:
         log = log.where(F.col("batch").cast("string") != str(without_batch))
