@@ -191,7 +191,7 @@ def _is_header(c: str) -> str:
         f" OR (len(regexp_extract_all(trim({c}), ' de ')) >= 2"
         f" AND {has(fixed.HEADER_SPANISH_DATE_PATTERN)}"
         f" AND ({has(fixed.HEADER_SPANISH_MARK_PATTERN)} OR "
-        f"regexp_matches(trim({c}), '{fixed.HEADER_SPANISH_AFTER_PATTERN_CASED}'))))"
+        f"regexp_matches(trim({c}), '{fixed.HEADER_SPANISH_AFTER_PATTERN_CASED}')))))"
     )
 
 
