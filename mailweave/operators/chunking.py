@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,17 +41,23 @@ def _pieces(text: str, limit: int) -> Iterator[str]:
 
 
 def _chunks(text: str, limit: int, overlap: int) -> list[str]:
+    """Slices of the pieces joined by blank lines.
+
+    A chunk with its repeated tail is one unbroken slice of that joined text, so it
+    is enough to choose slice borders from the piece ends: the last end within
+    ``limit`` of the slice's start, but at least one piece further than before.
+    """
+    pieces = list(_pieces(text, limit))
+    whole = "\n\n".join(pieces)
+    ends = [at - 2 for at in accumulate(len(piece) + 2 for piece in pieces)]
     out: list[str] = []
-    held = ""
-    for piece in _pieces(text, limit):
-        joined = f"{held}\n\n{piece}" if held else piece
-        if held and len(joined) > limit:
-            out.append(held.strip())
-            tail = held[-overlap:] if overlap else ""
-            joined = f"{tail}\n\n{piece}" if tail else piece
-        held = joined
-    if held:
-        out.append(held.strip())
+    start = first = 0
+    while first < len(ends):
+        after = max(first + 1, bisect_right(ends, start + limit))
+        end = ends[after - 1]
+        out.append(whole[start:end].strip())
+        start = max(start, end - overlap) if overlap else end + 2
+        first = after
     return out
 
 

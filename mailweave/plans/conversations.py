@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 
 from pyspark.sql import functions as F
 
@@ -404,21 +406,32 @@ asked AS (
   FROM anchored a JOIN segments s ON s.message_id = a.anchor_id
   WHERE s.role = 'user'
 ),
+considered AS (
+  SELECT k.*, m.date_ms, m.api_pos FROM asked k JOIN m USING (message_id)
+  WHERE k.message_id NOT IN (SELECT message_id FROM seen)
+),
 routed AS (
   SELECT message_id, thread_id, CASE WHEN NOT related THEN 'non_travel'
-    WHEN has_draft THEN 'thread_has_draft' ELSE 'drafted' END AS outcome FROM asked
+    WHEN has_draft OR EXISTS (
+      SELECT 1 FROM considered o WHERE o.thread_id = c.thread_id AND o.related
+        AND (coalesce(o.date_ms, -1), o.api_pos) > (coalesce(c.date_ms, -1), c.api_pos)
+    ) THEN 'thread_has_draft' ELSE 'drafted' END AS outcome FROM considered c
 )"""
-_OPEN = "WHERE message_id NOT IN (SELECT message_id FROM current)"
+_FIRST = _ROUTED.replace("k.message_id NOT IN (SELECT message_id FROM seen)", "true")
+_ROUTED = _ROUTED.replace("FROM seen", "FROM current")
 _OPTIONS = scanner.ScanOptions(max_chars=BUDGET, classifier=TOPIC)
 
 
-def _routed(spark, sf):
+_DRY = replace(_OPTIONS, dry_run=True)
+
+
+def _routed(spark, sf, options=_OPTIONS):
     mailbox = inputs.mailbox(spark, sf)
     known = state.latest_outcomes(_log(spark, sf))
-    return scanner.route(inbox.unread(mailbox, None), mailbox, known, _OPTIONS)
+    return scanner.route(inbox.unread(mailbox, None), mailbox, known, options)
 
 
-@query("st3_route_messages", f"{_ROUTED} SELECT * FROM routed {_OPEN}")
+@query("st3_route_messages", f"{_ROUTED} SELECT * FROM routed")
 def st3(spark, sf):
     return _routed(spark, sf).select("message_id", "thread_id", "outcome")
 
@@ -432,7 +445,7 @@ def st3(spark, sf):
         CASE s.body WHEN '' THEN s.subject ELSE s.body END AS turn, a.transcript
         FROM routed r JOIN segments s USING (message_id)
         JOIN anchored a ON a.anchor_id = r.message_id
-        {_OPEN.replace('message_id NOT', 'r.message_id NOT')} AND outcome = 'drafted'""",
+        WHERE outcome = 'drafted'""",
 )
 def st3_requests(spark, sf):
     return scanner.reply_requests(_routed(spark, sf)).select(
@@ -442,10 +455,12 @@ def st3_requests(spark, sf):
 
 @query(
     "st6_dry_run",
-    f"{_ROUTED} SELECT message_id, outcome FROM routed {_OPEN} AND outcome <> 'drafted'",
+    f"""{_ROUTED} SELECT message_id, CASE WHEN related THEN 'thread_has_draft'
+        ELSE 'non_travel' END AS outcome FROM considered WHERE has_draft OR NOT related""",
 )
 def st6(spark, sf):
-    return scanner.settled(_routed(spark, sf), dry_run=True).select("message_id", "outcome")
+    routed = _routed(spark, sf, _DRY)
+    return scanner.settled(routed, dry_run=True).select("message_id", "outcome")
 
 
 def arrivals(spark, sf_dir):
@@ -469,25 +484,37 @@ def _scan(spark, sf, options=_OPTIONS):
     return base
 
 
-@query("st1_scan_once", f"{_ROUTED} SELECT message_id, outcome FROM routed")
+@query("st1_scan_once", f"{_FIRST} SELECT message_id, outcome FROM routed")
 def st1(spark, sf):
     base = _scan(spark, sf)
     return state.read_state(spark, f"{base}/state").select("message_id", "outcome")
 
 
-@query("st2_scan_loop", f"{_ROUTED} SELECT message_id, outcome FROM routed")
+@query("st6_dry_then_real", f"{_FIRST} SELECT message_id, outcome FROM routed")
+def st6_real(spark, sf):
+    """A dry pass, then a real one, which drafts what the dry one left."""
+    base = scratch_path(spark, "scan")
+    for options in (_DRY, _OPTIONS):
+        scanner.start_scan(
+            arrivals(spark, sf), lambda: inputs.mailbox(spark, sf), base, options
+        ).awaitTermination()
+    return state.read_state(spark, f"{base}/state").select("message_id", "outcome")
+
+
+@query("st2_scan_loop", f"{_FIRST} SELECT message_id, outcome FROM routed")
 def st2(spark, sf):
     """Three passes over the same progress; the first one fails to start."""
     base = scratch_path(spark, "scan")
-    mailbox = inputs.mailbox(spark, sf)
     tries = iter(range(3))
 
     def start():
         if next(tries) == 0:
             raise RuntimeError("mail store not reachable")
-        return scanner.start_scan(arrivals(spark, sf), mailbox, base, _OPTIONS)
+        return scanner.start_scan(
+            arrivals(spark, sf), lambda: inputs.mailbox(spark, sf), base, _OPTIONS
+        )
 
-    scanner.scan_loop(start, passes=3)
+    scanner.scan_loop(start, passes=3, interval_seconds=0)
     return state.read_state(spark, f"{base}/state").select("message_id", "outcome")
 
 
@@ -496,11 +523,14 @@ def st2(spark, sf):
     f"""{_ANCHORED}, asked AS (
       SELECT a.anchor_id AS message_id,
         length(s.subject || '  ' || left(a.transcript, 8000)) % 5 = 0 AS failed,
-        a.thread_id IN (SELECT thread_id FROM m WHERE is_draft) AS has_draft
-      FROM anchored a JOIN segments s ON s.message_id = a.anchor_id WHERE s.role = 'user')
-    SELECT message_id, CASE WHEN failed THEN NULL WHEN has_draft THEN 'thread_has_draft'
-        ELSE 'drafted' END AS outcome,
-      CASE WHEN failed THEN 'TimeoutError: no answer' END AS error FROM asked""",
+        a.thread_id IN (SELECT thread_id FROM m WHERE is_draft) AS has_draft,
+        s.thread_id, (coalesce(s.date_ms, -1), s.api_pos) AS place
+      FROM anchored a JOIN segments s ON s.message_id = a.anchor_id WHERE s.role = 'user'),
+    best AS (SELECT thread_id, max(place) AS place FROM asked WHERE NOT failed GROUP BY thread_id)
+    SELECT message_id, CASE WHEN failed THEN NULL
+        WHEN has_draft OR k.place < b.place THEN 'thread_has_draft' ELSE 'drafted' END AS outcome,
+      CASE WHEN failed THEN 'TimeoutError: no answer' END AS error
+    FROM asked k LEFT JOIN best b USING (thread_id)""",
 )
 def st5(spark, sf):
     """A model that fails on some texts: those stay open, the rest is settled."""
@@ -519,7 +549,7 @@ def st5(spark, sf):
 
 @query(
     "st7_duplicate_delivery",
-    f"{_ROUTED} SELECT message_id, count(*) AS rows FROM routed GROUP BY message_id",
+    f"{_FIRST} SELECT message_id, count(*) AS rows FROM routed GROUP BY message_id",
 )
 def st7(spark, sf):
     """The same batch delivered twice leaves one state row per message."""

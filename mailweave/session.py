@@ -55,12 +55,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and later steps read
-    only the columns they need.
+    only the columns they need. With ``folder`` the table is ``folder/label`` and
+    replaces what lies there; :func:`remove` deletes such a folder after its use.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    path = f"{folder}/{label}" if folder else scratch_path(df.sparkSession, label)
+    df.write.mode("overwrite" if folder else "error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

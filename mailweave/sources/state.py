@@ -60,5 +60,14 @@ def read_state(
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """One row per message into a new log folder; the caller switches over."""
-    append_outcomes(read_state(spark, path), target, "compacted")
+    """One row per message into a new log folder; the caller switches over.
+
+    A row stays in the folder of the batch that wrote it last, so a batch that runs
+    again afterwards still does not see its own outcomes.
+    """
+    log = with_default_outcome(spark.read.schema(STATE_SCHEMA).parquet(path))
+    row = F.struct("processed_at", "outcome", F.col("batch").cast("string").alias("batch"))
+    newest = log.groupBy("message_id").agg(F.max(row).alias("_last"))
+    newest.select("message_id", "_last.outcome", "_last.processed_at", "_last.batch").write.mode(
+        "overwrite"
+    ).partitionBy("batch").parquet(target)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,19 +15,29 @@ from pyspark.sql.streaming import StreamingQuery
 from mailweave.functions import fixed, mail
 from mailweave.operators import lookups, skew, threads
 from mailweave.operators.classify import Classifier, classify_topic
-from mailweave.session import materialize
+from mailweave.session import materialize, remove
 from mailweave.sources import state
 from mailweave.sources.inbox import thread_messages
 
+# A mailbox table, or a function that reads it anew for every batch.
+Mailbox = DataFrame | Callable[[], DataFrame]
+_LOG = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """Settings of a scan pass."""
+    """Settings of a scan pass.
+
+    ``remember_drafts``: a thread drafted by an earlier batch counts as having a
+    draft. Turn it off where the mailbox itself shows the drafts that ``send`` makes;
+    a thread can then get a new draft once the old one was sent or deleted.
+    """
 
     max_chars: int = fixed.THREAD_MAX_CHARS
     dry_run: bool = False
     classifier: Classifier | None = None
     hot_rows: int = skew.HOT_ROWS
+    remember_drafts: bool = True
 
 
 def route(
@@ -33,6 +45,8 @@ def route(
     mailbox: DataFrame,
     processed: DataFrame,
     options: ScanOptions = ScanOptions(),
+    drafted_threads: DataFrame | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Outcome of every new message that has none yet.
 
@@ -40,9 +54,14 @@ def route(
     counts once. Cheap tests come first: stored state, then topic, then drafts.
     ``outcome`` is null where the classifier failed or the message is not in its
     thread; such rows carry an ``error`` and stay open for the next pass.
+
+    A thread gets one draft: its newest message on the topic, in inbox order. The
+    others count as ``thread_has_draft``, as do all messages on the topic of threads in
+    ``drafted_threads`` or with a draft in the mailbox. A dry run makes no draft, so
+    there every such message would be drafted. ``folder`` takes intermediate tables.
     """
     fresh = new_messages.select("message_id", "thread_id").dropDuplicates(["message_id"])
-    candidates = materialize(lookups.unprocessed(fresh, processed), "candidates")
+    candidates = materialize(lookups.unprocessed(fresh, processed), "candidates", folder)
     turn = F.when(F.col("body") != "", F.col("body")).otherwise(F.col("subject"))
     # The threads concerned are read and parsed once.
     context = materialize(
@@ -61,6 +80,7 @@ def route(
             turn.alias("turn"),
         ),
         "context",
+        folder,
     )
     transcripts = threads.transcripts_of(
         threads.segment_rows(context),
@@ -76,6 +96,8 @@ def route(
         "message_id_header",
         "references",
         "turn",
+        "date_ms",
+        "api_pos",
     )
     keys = ["thread_id", "message_id"]
     asked = classify_topic(
@@ -90,22 +112,34 @@ def route(
         "transcript",
         options.classifier,
     )
-    drafted = (
-        context.where("is_draft")
-        .select("thread_id")
-        .distinct()
-        .withColumn("_has_draft", F.lit(True))
-    )
+    drafts = context.where("is_draft").select("thread_id")
+    if drafted_threads is not None:
+        drafts = drafts.unionByName(drafted_threads.select("thread_id"))
+    drafted = drafts.distinct().withColumn("_has_draft", F.lit(True))
     missing = F.when(F.col("transcript").isNull(), F.lit("message not found in its thread"))
+    # Written before the choice below, so that no message is classified twice.
+    judged = materialize(
+        asked.join(drafted, "thread_id", "left").withColumn(
+            "error", F.coalesce(missing, F.col("error"))
+        ),
+        "judged",
+        folder,
+    )
+    waiting = judged.where("error IS NULL AND related AND _has_draft IS NULL")
+    if not options.dry_run:
+        newest = F.max(F.struct("date_ms", "api_pos", "message_id"))
+        waiting = waiting.groupBy("thread_id").agg(newest.alias("_newest")).select(
+            F.col("_newest.message_id").alias("message_id")
+        )
+    chosen = waiting.select("message_id", F.lit(True).alias("_chosen"))
     outcome = (
         F.when(F.col("error").isNotNull(), F.lit(None))
         .when(~F.col("related"), F.lit(fixed.OUTCOME_OFF_TOPIC))
-        .when(F.col("_has_draft"), F.lit(fixed.OUTCOME_HAS_DRAFT))
-        .otherwise(F.lit(fixed.OUTCOME_DRAFTED))
+        .when(F.col("_chosen"), F.lit(fixed.OUTCOME_DRAFTED))
+        .otherwise(F.lit(fixed.OUTCOME_HAS_DRAFT))
     )
     return (
-        asked.join(drafted, "thread_id", "left")
-        .withColumn("error", F.coalesce(missing, F.col("error")))
+        judged.join(chosen, "message_id", "left")
         .withColumn("outcome", outcome)
         .select(
             "message_id",
@@ -138,20 +172,23 @@ def settled(routed: DataFrame, *, dry_run: bool) -> DataFrame:
     return done
 
 
-def _open_rows(spark: SparkSession, results: str, batch_id: int) -> DataFrame | None:
-    """Messages that failed in another batch."""
+def _earlier(spark: SparkSession, results: str, batch_id: int) -> DataFrame | None:
+    """Routed rows of all other batches."""
     try:
-        earlier = spark.read.parquet(results)
-    except AnalysisException:
+        rows = spark.read.parquet(results)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    others = earlier.where(F.col("batch").cast("string") != str(batch_id))
-    return others.where(F.col("outcome").isNull()).select("message_id", "thread_id")
+    return rows.where(F.col("batch").cast("string") != str(batch_id)).select(
+        "message_id", "thread_id", "outcome"
+    )
 
 
 def process_batch(
     batch: DataFrame,
     batch_id: int,
-    mailbox: DataFrame,
+    mailbox: Mailbox,
     base: str,
     options: ScanOptions = ScanOptions(),
     send: Callable[[DataFrame, int], None] | None = None,
@@ -159,30 +196,45 @@ def process_batch(
     """Route one batch, hand over reply requests, then store the outcomes.
 
     All writes are keyed by the batch id and what the batch itself stored before
-    is left out of its view, so a replay gives the same tables. The routed rows are written once and read back for both uses. ``send`` receives
-    the reply requests and must be idempotent per batch id.
+    is left out of its view, so a replay gives the same tables. The routed rows are
+    written once and read back for both uses. ``send`` receives the reply requests
+    and must be idempotent per batch id.
+
+    A dry run keeps results of its own (``dry-results``) and stores only the skips,
+    under batch keys of its own, so a real pass later drafts what it left.
     """
     spark = batch.sparkSession
-    results = f"{base}/results"
+    kind = "dry-" if options.dry_run else ""
+    key = f"{kind}{batch_id}"
+    results, work = f"{base}/{kind}results", f"{base}/work-{key}"
     fresh = batch.select("message_id", "thread_id")
-    open_rows = _open_rows(spark, results, batch_id)
-    if open_rows is not None:
-        fresh = fresh.unionByName(open_rows)
-    known = state.read_state(spark, f"{base}/state", without_batch=batch_id)
+    earlier = _earlier(spark, results, batch_id)
+    drafted = None
+    if earlier is not None:
+        failed = earlier.where(F.col("outcome").isNull())
+        fresh = fresh.unionByName(failed.select("message_id", "thread_id"))
+        if options.remember_drafts and not options.dry_run:
+            drafted = earlier.where(F.col("outcome") == fixed.OUTCOME_DRAFTED)
+    known = state.read_state(spark, f"{base}/state", without_batch=key)
+    messages = mailbox() if callable(mailbox) else mailbox
     target = f"{results}/batch={batch_id}"
-    route(fresh, mailbox, known, options).write.mode("overwrite").parquet(target)
+    try:
+        routed = route(fresh, messages, known, options, drafted, work)
+        routed.write.mode("overwrite").parquet(target)
+    finally:
+        remove(spark, work)
     routed = spark.read.parquet(target)
     if send is not None and not options.dry_run:
         send(reply_requests(routed), batch_id)
     rows = settled(routed, dry_run=options.dry_run)
     state.append_outcomes(
-        rows.withColumn("processed_at", F.current_timestamp()), f"{base}/state", batch_id
+        rows.withColumn("processed_at", F.current_timestamp()), f"{base}/state", key
     )
 
 
 def start_scan(
     arrivals: DataFrame,
-    mailbox: DataFrame,
+    mailbox: Mailbox,
     base: str,
     options: ScanOptions = ScanOptions(),
     send: Callable[[DataFrame, int], None] | None = None,
@@ -193,9 +245,11 @@ def start_scan(
     """Scan a stream of arriving messages.
 
     ``once`` handles what is there and stops; otherwise a pass runs every
-    ``interval_seconds``.
+    ``interval_seconds``. A long stream needs ``mailbox`` as a function, for a table
+    of files does not see mail that arrives later. A dry run has progress of its own.
     """
-    writer = arrivals.writeStream.option("checkpointLocation", f"{base}/progress")
+    kind = "dry-" if options.dry_run else ""
+    writer = arrivals.writeStream.option("checkpointLocation", f"{base}/{kind}progress")
     trigger = {"availableNow": True} if once else {"processingTime": f"{interval_seconds} seconds"}
     return (
         writer.foreachBatch(
@@ -209,18 +263,25 @@ def start_scan(
 
 
 def scan_loop(
-    start: Callable[[], StreamingQuery], *, passes: int | None = None
-) -> list[str]:
-    """Run passes one after another; a failing pass does not end the loop.
+    start: Callable[[], StreamingQuery],
+    *,
+    passes: int | None = None,
+    interval_seconds: float = fixed.SCAN_INTERVAL_SECONDS,
+) -> str | None:
+    """Run passes with a pause between them; a failing pass does not end the loop.
 
-    Returns the errors seen. ``passes`` bounds the loop; None runs forever.
+    Every error is logged and the last one returned. ``passes`` bounds the loop; None
+    runs forever.
     """
-    errors: list[str] = []
+    last: str | None = None
     done = 0
     while passes is None or done < passes:
+        if done:
+            time.sleep(interval_seconds)
         try:
             start().awaitTermination()
         except Exception as exc:  # noqa: BLE001 - the next pass retries
-            errors.append(str(exc))
+            last = str(exc)
+            _LOG.exception("scan pass failed")
         done += 1
-    return errors
+    return last

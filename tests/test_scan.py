@@ -32,7 +32,7 @@ def outcomes(spark, base):
 
 OPTIONS = scanner.ScanOptions(classifier=word_topic(("tour", "trip")))
 ALL = ("a:0", "b:0", "c:0", "d:0", "d:1")
-WANT = {"a:0": "drafted", "b:0": "non_travel", "c:0": "thread_has_draft", "d:0": "drafted", "d:1": "drafted"}
+WANT = {"a:0": "drafted", "b:0": "non_travel", "c:0": "thread_has_draft", "d:0": "thread_has_draft", "d:1": "drafted"}
 
 
 def test_route(spark):
@@ -41,6 +41,7 @@ def test_route(spark):
     got = {r.message_id: r for r in rows}
     assert len(rows) == 5 and "d:0" not in got
     assert {m: r.outcome for m, r in got.items() if m != "ghost:0"} == {k: v for k, v in WANT.items() if k != "d:0"}
+    assert sum(r.outcome == "drafted" for r in rows if r.thread_id == "d") == 1
     assert got["ghost:0"].outcome is None and got["ghost:0"].error
     # The transcript of a message ends with it; its thread's later mail is not shown.
     assert "MESSAGE 2" in got["d:1"].transcript and "MESSAGE 2" not in got["a:0"].transcript
@@ -56,7 +57,7 @@ def test_batches_are_idempotent(spark, tmp_path):
     for batch_id, names in ((0, ALL[:3]), (0, ALL[:3]), (1, ALL)):
         scanner.process_batch(ids(spark, *names), batch_id, mailbox(spark), base, OPTIONS, send)
     assert outcomes(spark, base) == WANT
-    assert sent == [(0, ["a:0"]), (0, ["a:0"]), (1, ["d:0", "d:1"])]
+    assert sent == [(0, ["a:0"]), (0, ["a:0"]), (1, ["d:1"])]
 
 
 def test_dry_run_stores_skips_only(spark, tmp_path):
@@ -70,6 +71,54 @@ def test_dry_run_stores_skips_only(spark, tmp_path):
     assert outcomes(spark, base) == {"b:0": "non_travel", "c:0": "thread_has_draft"}
 
 
+def test_dry_run_leaves_its_drafts_for_a_real_one(spark, tmp_path):
+    base, sent = str(tmp_path), []
+    dry = scanner.ScanOptions(classifier=OPTIONS.classifier, dry_run=True)
+    scanner.process_batch(ids(spark, *ALL), 0, mailbox(spark), base, dry)
+    drafts = spark.read.parquet(f"{base}/dry-results").where("outcome = 'drafted'")
+    assert sorted(r.message_id for r in drafts.collect()) == ["a:0", "d:0", "d:1"]
+
+    def send(requests, batch_id):
+        sent.extend(sorted(r.message_id for r in requests.collect()))
+
+    scanner.process_batch(ids(spark, *ALL), 0, mailbox(spark), base, OPTIONS, send)
+    assert outcomes(spark, base) == WANT and sent == ["a:0", "d:1"]
+    assert not list(tmp_path.glob("work*"))
+
+
+def test_one_draft_per_thread_over_batches(spark, tmp_path):
+    for remember, second in ((True, "thread_has_draft"), (False, "drafted")):
+        base = str(tmp_path / str(remember))
+        options = scanner.ScanOptions(classifier=OPTIONS.classifier, remember_drafts=remember)
+        for batch_id, name in enumerate(("d:0", "d:1")):
+            scanner.process_batch(ids(spark, name), batch_id, mailbox(spark), base, options)
+        assert outcomes(spark, base) == {"d:0": "drafted", "d:1": second}
+
+
+def test_compacted_state_keeps_batches(spark, tmp_path):
+    base, target = str(tmp_path / "scan"), str(tmp_path / "small")
+    for batch_id, names in enumerate((ALL[:3], ALL)):
+        scanner.process_batch(ids(spark, *names), batch_id, mailbox(spark), base, OPTIONS)
+    state.compact(spark, f"{base}/state", target)
+    rows = {r.message_id: r.outcome for r in state.read_state(spark, target).collect()}
+    assert rows == WANT
+    first = state.read_state(spark, target, without_batch=1).collect()
+    assert sorted(r.message_id for r in first) == ["a:0", "b:0", "c:0"]
+
+
+def test_mail_that_arrives_between_batches(spark, tmp_path):
+    box, base = str(tmp_path / "box"), str(tmp_path / "scan")
+
+    def read():
+        return spark.read.parquet(box)
+
+    mailbox(spark).where("thread_id = 'a'").write.parquet(box)
+    scanner.process_batch(ids(spark, "a:0"), 0, read, base, OPTIONS)
+    mailbox(spark).where("thread_id = 'd'").write.mode("append").parquet(box)
+    scanner.process_batch(ids(spark, "d:0", "d:1"), 1, read, base, OPTIONS)
+    assert outcomes(spark, base) == {k: WANT[k] for k in ("a:0", "d:0", "d:1")}
+
+
 def test_failed_messages_are_retried(spark, tmp_path):
     base = str(tmp_path)
 
@@ -131,7 +180,7 @@ def test_loop_survives_a_failing_pass():
             raise problem
         return Query()
 
-    assert scanner.scan_loop(start, passes=3) == ["down", "again"]
+    assert scanner.scan_loop(start, passes=3, interval_seconds=0) == "again"
 
 
 def test_inbox_limit(spark):
