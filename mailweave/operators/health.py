@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHOWN_TITLES = 5
+from mailweave.operators.skew import number_rows
 
 
 def source_stats(chunks: DataFrame) -> DataFrame:
@@ -62,14 +62,11 @@ def health_report(
     """One row: counts, flags, the example pool and the list of issues.
 
     ``chunks`` is None when the index could not be opened. The pool is shown by
-    its size and first titles; an empty pool is no issue.
+    its size, and by :func:`pool_titles` in full; an empty pool is no issue.
     """
-    pool_size, titles = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    pool_size = F.lit(0).cast("bigint")
     if exemplars is not None:
-        first = exemplars.orderBy(F.lower("title"), "source_id").limit(SHOWN_TITLES)
-        keyed = F.struct(F.lower("title").alias("low"), "source_id", "title")
         pool_size = exemplars.agg(F.count(F.lit(1))).scalar()
-        titles = first.agg(F.array_sort(F.collect_list(keyed))["title"]).scalar()
     loaded = available and chunks is not None
     if loaded:
         stats = index_stats(chunks)
@@ -101,11 +98,17 @@ def health_report(
         F.lit(matches).alias("model_matches"),
         (F.lit(loaded and matches) & (F.col("chunk_count") > 0)).alias("healthy"),
         pool_size.alias("exemplar_count"),
-        titles.alias("exemplar_titles"),
         issues.alias("issues"),
     )
 
 
+def pool_titles(exemplars: DataFrame) -> DataFrame:
+    """Every title of the pool with its place, one row each."""
+    keys = exemplars.select("title", "source_id", F.lower("title").alias("_title"))
+    placed = number_rows(keys, [F.col("_title"), F.col("source_id")], "place")
+    return placed.select("place", "title", "source_id")
+
+
 def outcome_counts(processed: DataFrame) -> DataFrame:
     """Messages per outcome."""
     return processed.groupBy("outcome").agg(F.count(F.lit(1)).alias("messages"))

@@ -102,19 +102,24 @@ def prompt_text(
 
 
 def prompt_table(
-    threads: DataFrame, blocks: DataFrame, examples: DataFrame | None = None
+    threads: DataFrame,
+    blocks: DataFrame,
+    examples: DataFrame | None = None,
+    system: str | None = None,
 ) -> DataFrame:
     """(thread_id, language, turn, transcript) rows to prompts.
 
     ``blocks`` is keyed by ``query_id`` = thread id; ``examples`` is the one-row
-    result of :func:`example_block`.
+    result of :func:`example_block`; ``system``, where given, is a column beside the prompt.
     """
     block = F.lit("") if examples is None else examples.select("example_block").scalar()
     joined = threads.join(
         blocks.withColumnRenamed("query_id", "thread_id"), "thread_id", "left"
     )
+    extra = [] if system is None else [F.lit(system).alias("system")]
     return joined.select(
         "thread_id",
+        *extra,
         prompt_text(
             F.col("language"),
             F.col("turn"),

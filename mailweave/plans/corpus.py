@@ -395,8 +395,6 @@ def a2(spark, sf):
        count(DISTINCT vec_id) AS source_file_count,
        CAST(max(len(embedding)) AS INTEGER) AS dimension, false AS model_matches,
        false AS healthy, (SELECT count(*) FROM pool) AS exemplar_count,
-       (SELECT string_agg(name, ', ' ORDER BY lower(name), file_id) FROM
-         (SELECT * FROM pool ORDER BY lower(name), file_id LIMIT 5)) AS exemplar_titles,
        'index was built with ''m/1'', not ''m/2''' AS issues FROM embeddings""",
 )
 def a3(spark, sf):
@@ -404,12 +402,17 @@ def a3(spark, sf):
     report = health.health_report(
         spark, inputs.vectors(spark, sf), "m/1", "m/2", exemplars=pool
     )
-    return report.withColumns(
-        {
-            "issues": F.array_join("issues", "; "),
-            "exemplar_titles": F.array_join("exemplar_titles", ", "),
-        }
-    )
+    return report.withColumn("issues", F.array_join("issues", "; "))
+
+
+@query(
+    "a3_pool_titles",
+    f"""WITH {inputs.SQL_FILES}
+    SELECT row_number() OVER (ORDER BY lower(name), file_id) AS place, name AS title,
+           file_id AS source_id FROM extracted WHERE extract_error IS NULL AND text <> ''""",
+)
+def a3_titles(spark, sf):
+    return health.pool_titles(exemplars.exemplar_pool(inputs.files(spark, sf)))
 
 
 @query(
