@@ -44,7 +44,7 @@ CONTEXT = re.compile(
 IDENTIFIER = re.compile(r"(?a:\b[A-Za-z_]{3,24}\b)")
 AROUND = 256  # code points of surrounding code on each side
 NOVEL = 0.6
-IDENTIFIERS, SUMMARY, KEPT = 4_096, 2_048, 50_000
+IDENTIFIERS, KEPT = 4_096, 50_000
 
 
 def sensitive(low: str) -> bool:
@@ -52,7 +52,16 @@ def sensitive(low: str) -> bool:
 
 
 def identifiers(df: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent plain identifiers of sensitive lines, rarest first."""
+    """The most frequent plain identifiers of sensitive lines, rarest first.
+
+    Counts are over all documents; a task only adds up what it can hold.
+    """
+
+    def counted(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
+            names=["word", "n"],
+        )
 
     def run(batches):
         held: Counter = Counter()
@@ -64,13 +73,12 @@ def identifiers(df: DataFrame, text_col: str = "text") -> list[str]:
                     for line in text.split("\n"):
                         if sensitive(line.lower()):
                             held.update(IDENTIFIER.findall(line))
+                    # A full table goes out as it is; the sum below puts all parts together.
                     if len(held) > KEPT:
-                        held = Counter(dict(held.most_common(KEPT // 2)))
+                        yield counted(held)
+                        held = Counter()
         if held:
-            words, counts = zip(*held.most_common(SUMMARY), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"]
-            )
+            yield counted(held)
 
     summaries = df.select(text_col).mapInArrow(run, "word string, n long")
     top = summaries.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
