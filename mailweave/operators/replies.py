@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.functions import fixed, mail
-from mailweave.operators import skew
 from mailweave.operators.classify import Classifier, detect_language, stop_word_language
 from mailweave.operators.messages import message_parts
 from mailweave.operators.threads import latest_anchors, latest_transcripts
@@ -29,7 +28,7 @@ def manual_requests(
     max_chars: int = fixed.THREAD_MAX_CHARS,
     forced_language: str | None = None,
     classifier: Classifier = stop_word_language,
-    hot_rows: int = skew.HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One request per thread that waits for a reply to its newest message.
 
@@ -52,10 +51,9 @@ def manual_requests(
         ),
         turn.alias("turn"),
     )
-    rows = asked.join(
-        latest_transcripts(messages, max_chars, hot_rows).select("thread_id", "transcript"),
-        "thread_id",
-    )
+    open_threads = messages.join(waiting.select("thread_id"), "thread_id", "left_semi")
+    transcripts = latest_transcripts(open_threads, max_chars, hot_rows)
+    rows = asked.join(transcripts.select("thread_id", "transcript"), "thread_id")
     if forced_language is not None:
         return rows.withColumns(
             {"language": F.lit(forced_language), "error": F.lit(None).cast("string")}

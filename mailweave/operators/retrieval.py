@@ -7,26 +7,26 @@ chunk rank the same way whatever task scored them.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailweave.functions import fixed, vectors
-from mailweave.session import materialize
+from mailweave.operators.skew import number_rows
+from mailweave.session import materialize, scratch_path
 
 KEY = ("source_id", "chunk_index")
 SCORE_PLACES = 12
-# A query block is the largest set of queries sent to every task; with 3,072
-# dimensions in double precision it is about 50 MB.
-QUERY_BLOCK = 2_048
-CHUNK_BLOCK = 50_000
-_SCORE_CELLS = 4_000_000
+# Bytes of query vectors sent to every task at a time: 2,048 queries of 3,072
+# dimensions in double precision.
+QUERY_BYTES = 50_331_648
+_SCORE_CELLS = 1_000_000
 
 
 def top_k(
@@ -88,10 +88,13 @@ class _Best:
         return max(1, _SCORE_CELLS // max(1, self.queries_t.shape[1]))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     """List column as a dense matrix, without a Python object per value."""
+    sizes = set(pc.unique(pc.list_value_length(column)).to_pylist())
+    if sizes != {dimension}:
+        raise ValueError(f"queries have {dimension} dimensions, chunks have {sorted(sizes)}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64)
+    return flat.reshape(len(column), dimension).astype(np.float64)
 
 
 def _scan_arrow(best: _Best, batches: Iterator[pa.RecordBatch]) -> None:
@@ -100,7 +103,7 @@ def _scan_arrow(best: _Best, batches: Iterator[pa.RecordBatch]) -> None:
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
             vecs = part.column(part.schema.get_field_index("unit_embedding"))
-            query, row, score = best.candidates(_matrix(vecs))
+            query, row, score = best.candidates(_matrix(vecs, len(best.queries_t)))
             if not len(row):
                 continue
             kept = pa.Table.from_batches([part]).drop_columns(["unit_embedding"])
@@ -114,11 +117,10 @@ def _output(best: _Best, ids: np.ndarray, names: list[str]) -> pd.DataFrame:
     return best.rows.assign(query_id=ids[best.rows["_query"].to_numpy()])[names]
 
 
-def _partial_schema(chunks: DataFrame, queries: DataFrame, columns: Sequence[str]):
+def _hit_schema(chunks: DataFrame, queries: DataFrame) -> T.StructType:
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
     fields.append(T.StructField("score", T.DoubleType()))
-    fields += [chunks.schema[c] for c in columns]
-    return T.StructType(fields)
+    return T.StructType(fields + [chunks.schema[c] for c in KEY])
 
 
 def retrieve(
@@ -127,44 +129,66 @@ def retrieve(
     k: int = fixed.DEFAULT_TOP_K,
     *,
     columns: Sequence[str] = ("source_name", "source_path", "text"),
-    query_block: int = QUERY_BLOCK,
-    chunk_block: int = CHUNK_BLOCK,
+    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """The k best chunks of every query: ``(query_id, rank, score, chunk columns)``.
 
-    Up to ``query_block`` queries are sent to every task and the chunk table is
-    read once, without a shuffle. Beyond that, both sides are cut into blocks
-    and each task scores one block of chunks against one block of queries. In
-    both cases a task gives out at most k rows per query. Zero query vectors
-    find nothing.
+    Queries go to the tasks in blocks of at most ``query_bytes``; for each block
+    the keys and vectors of the chunks are read once, where they lie, and a task
+    gives out at most k keys per query. The hits are written as keys and ranks;
+    ``columns`` are looked up for the hits alone. Zero query vectors find
+    nothing; repeated or null query ids and vectors of unequal length are errors.
     """
-    wanted = chunks.select(*KEY, *columns, "unit_embedding").where(
-        F.size("unit_embedding") > 0
+    wanted = chunks.where(F.size("unit_embedding") > 0)
+    schema = _hit_schema(chunks, queries)
+    spark = chunks.sparkSession
+    units = materialize(
+        queries.select("query_id", vectors.unit(F.col("vector")).alias("unit")).where(
+            vectors.norm(F.col("unit")) > 0
+        ),
+        "queries",
     )
-    units = queries.select("query_id", vectors.unit(F.col("vector")).alias("unit")).where(
-        vectors.norm(F.col("unit")) > 0
-    )
-    schema = _partial_schema(wanted, queries, (*KEY, *columns))
-    if k <= 0:
-        return _ranked(wanted.sparkSession.createDataFrame([], schema), 1).limit(0)
-    sample = units.limit(query_block + 1).toPandas()
-    if len(sample) <= query_block:
-        return _ranked(_scan_once(wanted, sample, k, schema), k)
-    return _scan_blocks(wanted, units, k, columns, query_block, chunk_block)
+    facts = units.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("query_id").alias("ids"),
+        F.min(F.size("unit")).alias("least"),
+        F.max(F.size("unit")).alias("most"),
+    ).first()
+    if facts.n != facts.ids:
+        raise ValueError("query ids must be distinct and not null")
+    if facts.least != facts.most:
+        raise ValueError(f"query vectors have {facts.least} to {facts.most} dimensions")
+    if k <= 0 or facts.n == 0:
+        empty = _ranked(spark.createDataFrame([], schema), 1)
+        return _with_columns(empty, wanted, columns, 1)
+    path = scratch_path(spark, "hits")
+    for block in _blocks(units, facts.n, max(1, query_bytes // (8 * facts.most))):
+        sent = spark.sparkContext.broadcast(
+            (block["query_id"].to_numpy(), np.vstack(block["unit"].to_numpy()))
+        )
+        found = wanted.select(*KEY, "unit_embedding").mapInArrow(_scorer(sent, k, schema), schema)
+        _ranked(found, k).write.mode("append").parquet(path)
+        sent.unpersist()
+    return _with_columns(spark.read.parquet(path), wanted, columns, k)
 
 
-def _scan_once(
-    wanted: DataFrame, sample: pd.DataFrame, k: int, schema: T.StructType
-) -> DataFrame:
-    if sample.empty:
-        return wanted.sparkSession.createDataFrame([], schema)
-    block = wanted.sparkSession.sparkContext.broadcast(
-        (sample["query_id"].to_numpy(), np.vstack(sample["unit"].to_numpy()))
-    )
+def _blocks(units: DataFrame, total: int, size: int) -> Iterator[pd.DataFrame]:
+    """The queries, at most ``size`` at a time."""
+    if total <= size:
+        yield units.toPandas()
+        return
+    placed = number_rows(units, [F.col("query_id")], "_turn")
+    for start in range(0, total, size):
+        inside = (F.col("_turn") > start) & (F.col("_turn") <= start + size)
+        yield placed.where(inside).toPandas()
+
+
+def _scorer(sent, k: int, schema: T.StructType):
+    """Task function: keys and scores of the k best rows per query."""
     names = schema.names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = block.value
+        ids, matrix = sent.value
         best = _Best(matrix, k)
         _scan_arrow(best, batches)
         if best.rows is not None:
@@ -172,73 +196,34 @@ def _scan_once(
                 _output(best, ids, names), preserve_index=False
             ).to_batches()
 
-    return wanted.mapInArrow(score, schema)
+    return score
 
 
-def _range(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+def _ranked(partial: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY)
+    ranked = partial.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "score", *KEY)
 
 
-def _scan_blocks(
-    wanted: DataFrame,
-    units: DataFrame,
-    k: int,
-    columns: Sequence[str],
-    query_block: int,
-    chunk_block: int,
+def _with_columns(
+    hits: DataFrame, wanted: DataFrame, columns: Sequence[str], k: int
 ) -> DataFrame:
-    """Block matrix product: every (query block, chunk block) cell is one group.
+    """Hits with further chunk columns, read for the chunks that were hit.
 
-    Both sides are written once, which fixes their block and row numbers. Only
-    keys and vectors are copied to the cells; the other columns are joined to
-    the final hits by row number. Half-full target sizes leave room for hash
-    unevenness, and the row number in the hash spreads copies of one chunk.
+    Where a chunk is listed more than once under its key, the n-th hit of a query
+    on the key takes the n-th of these rows.
     """
-    units = materialize(units.withColumn("_row", F.monotonically_increasing_id()), "queries")
-    table = materialize(wanted.withColumn("_row", F.monotonically_increasing_id()), "corpus")
-    q_blocks = max(1, math.ceil(units.count() / (query_block / 2)))
-    c_blocks = max(1, math.ceil(table.count() / (chunk_block / 2)))
-    left = units.select(
-        "query_id",
-        "unit",
-        F.pmod(F.xxhash64("_row"), F.lit(q_blocks)).alias("_q"),
-        F.explode(_range(c_blocks)).alias("_c"),
-    )
-    right = table.select(
-        *KEY,
-        "_row",
-        "unit_embedding",
-        F.pmod(F.xxhash64("_row"), F.lit(c_blocks)).alias("_c"),
-        F.explode(_range(q_blocks)).alias("_q"),
+    if not columns:
+        return hits
+    of_query = Window.partitionBy("query_id", *KEY).orderBy("rank")
+    of_key = Window.partitionBy(*KEY).orderBy(*columns)
+    rows = (
+        wanted.select(*KEY, *columns)
+        .join(hits.select(*KEY).distinct(), [*KEY], "left_semi")
+        .withColumn("_copy", F.row_number().over(of_key))
+        .where(F.col("_copy") <= k)
     )
-    schema = _partial_schema(table, units, (*KEY, "_row"))
-    names = schema.names
-
-    def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame(columns=names)
-        best = _Best(np.vstack(q["unit"].to_numpy()), k)
-        vecs = c["unit_embedding"].to_numpy()
-        rest = c.drop(columns=["unit_embedding", "_q", "_c"])
-        for start in range(0, len(c), best.step()):
-            part = np.vstack(vecs[start : start + best.step()]).astype(np.float64)
-            query, row, score = best.candidates(part)
-            best.merge(rest.iloc[start + row].assign(_query=query, score=score))
-        return _output(best, q["query_id"].to_numpy(), names)
-
-    partial = (
-        left.groupBy("_q", "_c")
-        .cogroup(right.groupBy("_q", "_c"))
-        .applyInPandas(cell, schema)
+    numbered = hits.withColumn("_copy", F.row_number().over(of_query))
+    return numbered.join(rows, [*KEY, "_copy"]).select(
+        "query_id", "rank", "score", *KEY, *columns
     )
-    hits = _ranked(partial, k)
-    if not columns:
-        return hits.drop("_row")
-    return hits.join(table.select("_row", *columns), "_row").drop("_row")
-
-
-def _ranked(partial: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY)
-    ranked = partial.withColumn("rank", F.row_number().over(order))
-    rest = [c for c in partial.columns if c not in ("query_id", "score")]
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "score", *rest)

@@ -12,32 +12,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailweave.session import shared_dir
+from mailweave.session import materialize, shared_dir
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
+# Rows of (key, slice, two numbers) that may be broadcast, some 50 MB.
+SENT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """Keys with more than ``hot_rows`` rows, largest first, at most MAX_HOT_KEYS.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Table of the keys with more than ``hot_rows`` rows, None when there are none.
 
-    The list is bounded without losing anything: of N rows, a key outside the
-    MAX_HOT_KEYS largest holds at most N / MAX_HOT_KEYS of them. The count reads
-    the key column only and is pre-aggregated before its shuffle.
+    Of N rows at most N / ``hot_rows`` keys are in it; it stays a table, so any
+    number will do. The count reads the key column only and is pre-aggregated
+    before its shuffle.
     """
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = (
-        counted.where((F.col("_rows") > hot_rows) & F.col(key).isNotNull())
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-    )
-    return [row[0] for row in largest.select(key).collect()]
+    hot = counted.where((F.col("_rows") > hot_rows) & F.col(key).isNotNull()).select(key)
+    return None if hot.isEmpty() else materialize(hot, "hot-keys")
 
 
-def split_by_keys(df: DataFrame, key: str, keys: list) -> tuple[DataFrame, DataFrame]:
-    """Rows outside and inside ``keys``; rows with a null key are outside."""
-    inside = F.coalesce(F.col(key).isin(keys), F.lit(False))
-    return df.where(~inside), df.where(inside)
+def split_by_keys(
+    df: DataFrame, key: str, hot: DataFrame | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows outside and inside the keys of ``hot``; rows with a null key are outside."""
+    if hot is None:
+        return df, None
+    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 
 def _sum(measure: Column | None) -> Column:
@@ -72,8 +72,11 @@ def ranged_positions(
         .withColumn("_slice", F.spark_partition_id())
         .checkpoint()
     )
-    held = placed.groupBy(key, "_slice").agg(
-        F.count(F.lit(1)).alias("_rows"), _sum(measure).alias("_sum")
+    held = materialize(
+        placed.groupBy(key, "_slice").agg(
+            F.count(F.lit(1)).alias("_rows"), _sum(measure).alias("_sum")
+        ),
+        "slice-sums",
     )
     earlier = (
         Window.partitionBy(key)
@@ -93,9 +96,11 @@ def ranged_positions(
         F.row_number().over(inside).cast("bigint").alias("_ordinal"),
         _sum(measure).over(upto).alias("_running"),
     )
-    # Keys x slices they span: at most MAX_HOT_KEYS + slices rows.
+    # One row per key and slice it spans: at most keys + slices rows.
+    if held.count() <= SENT_ROWS:
+        carried = F.broadcast(carried)
     return (
-        local.join(F.broadcast(carried), [key, "_slice"])
+        local.join(carried, [key, "_slice"])
         .withColumn("ordinal", F.col("_ordinal") + F.col("_rows_before"))
         .withColumn("running", F.col("_running") + F.col("_sum_before"))
         .drop(

@@ -13,6 +13,8 @@ from mailweave.operators.messages import message_parts
 from mailweave.session import materialize
 
 _GAP = 2  # blank line between two segments
+# Text of one thread that a window may hold.
+WINDOW_CHARS = 256_000_000
 
 
 def thread_budget(max_chars: int | None) -> int:
@@ -43,18 +45,17 @@ def order_messages(
     whole = Window.partitionBy("thread_id")
     undated = F.max(F.col("date_ms").isNull()).over(whole)
     out = skew.window_positions(
-        (rows if not hot else cold_rows).withColumn("_sort_ms", _sort_ms(undated)),
+        cold_rows.withColumn("_sort_ms", _sort_ms(undated)),
         "thread_id",
         order,
         measure,
     )
-    if hot:
-        # One row per hot thread, so at most skew.MAX_HOT_KEYS rows.
+    if hot_part is not None:
         flags = hot_part.groupBy("thread_id").agg(
             F.max(F.col("date_ms").isNull()).alias("_undated")
         )
         dated = (
-            hot_part.join(F.broadcast(flags), "thread_id")
+            hot_part.join(flags, "thread_id")
             .withColumn("_sort_ms", _sort_ms(F.col("_undated")))
             .drop("_undated")
         )
@@ -108,17 +109,21 @@ def through_anchor(
 ) -> DataFrame:
     """Messages up to and including ``anchors(thread_id, anchor_id)``, one each.
 
-    The anchor table has one row per thread; a thread with very many rows is
-    the split side of the join, which adaptive execution divides.
+    Only ids and dates are put in order, once; the positions are written, and the
+    messages join the rows that are kept. The anchor table has one row per thread;
+    a thread with very many rows is the split side of the join, which adaptive
+    execution divides.
     """
-    rows = non_draft(messages).withColumn("date_ms", mail.date_ms(F.col("internal_date")))
-    ordered = order_messages(rows, hot_rows=hot_rows).drop("running", "date_ms")
-    ends = ordered.select(
+    rows = non_draft(messages)
+    keys = ["thread_id", "message_id", "api_pos"]
+    dated = rows.select(*keys, mail.date_ms(F.col("internal_date")).alias("date_ms"))
+    ordered = order_messages(dated, hot_rows=hot_rows).select(*keys, "ordinal")
+    placed = materialize(ordered, "positions")
+    ends = placed.select(
         "thread_id", F.col("message_id").alias("anchor_id"), F.col("ordinal").alias("_end")
     ).join(anchors, ["thread_id", "anchor_id"])
-    return (
-        ordered.join(ends, "thread_id").where(F.col("ordinal") <= F.col("_end")).drop("_end")
-    )
+    kept = placed.join(ends, "thread_id").where(F.col("ordinal") <= F.col("_end")).drop("_end")
+    return rows.join(kept, keys)
 
 
 def missing_anchors(messages: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -219,19 +224,21 @@ def _kept(kept: Column, joined_chars: Column, whole: Column, max_chars: int) ->
 def latest_transcripts(
     messages: DataFrame,
     max_chars: int = fixed.THREAD_MAX_CHARS,
-    hot_rows: int = skew.HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One transcript per thread, through its newest non-draft message.
 
     The usual threads take a single shuffle: the window and the final
     aggregation share the partitioning by thread, and only segments inside the
     budget are collected. Threads above ``hot_rows`` go through
-    :func:`anchored_transcripts`, where no task sees a whole thread.
+    :func:`anchored_transcripts`, where no task sees a whole thread; unset, that
+    is a thread whose segments of up to ``max_chars`` could exceed WINDOW_CHARS.
     """
     _check_budget(max_chars)
-    hot = skew.hot_keys(messages, "thread_id", hot_rows)
+    limit = max(1, min(skew.HOT_ROWS, WINDOW_CHARS // max_chars)) if hot_rows is None else hot_rows
+    hot = skew.hot_keys(messages, "thread_id", limit)
     cold, large = skew.split_by_keys(messages, "thread_id", hot)
-    rows = segment_rows(render(cold if hot else messages, max_chars))
+    rows = segment_rows(render(cold, max_chars))
 
     whole = Window.partitionBy("thread_id")
     undated = F.max(F.col("date_ms").isNull()).over(whole)
@@ -252,9 +259,9 @@ def latest_transcripts(
         ["thread_id"],
         max_chars,
     )
-    if hot:
+    if large is not None:
         anchors = latest_anchors(large).where("error is null").select("thread_id", "anchor_id")
-        heavy = anchored_transcripts(large, anchors, max_chars, hot_rows)
+        heavy = anchored_transcripts(large, anchors, max_chars, hot_rows or skew.HOT_ROWS)
         out = out.unionByName(heavy.drop("anchor_id"))
     return out
 

@@ -85,12 +85,12 @@ def k2(spark, sf):
          FROM hits WHERE rank <= 4""",
 )
 def k2_blocked(spark, sf):
-    """The path for query sets too large to send to every task."""
+    """Query sets too large to send to every task go block by block."""
     hits = retrieval.retrieve(
         inputs.vectors(spark, sf),
         inputs.label_queries(spark, sf),
         columns=(),
-        query_block=4,
+        query_bytes=4 * 8 * 64,
     )
     return hits.withColumn("score", F.round("score", 6))
 

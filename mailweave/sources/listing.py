@@ -23,32 +23,34 @@ def root_paths(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def folder_paths(roots: DataFrame, nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """All folders below the roots with their full path.
+def folder_paths(roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All folders below the roots with their full path, at any depth.
 
     Walks one level per join over the folder rows only; files, the bulk of the
-    table, are not touched. A tree deeper than ``max_depth`` is an error.
+    table, are not touched. A folder that lies below itself is an error.
     """
     shared_dir(nodes.sparkSession)
     folders = nodes.where(F.col("mime_type") == fixed.FOLDER_MIME).select(
         F.col("parent_id").alias("folder_id"), F.col("id").alias("child_id"), "name"
     )
-    level = root_paths(roots, nodes).checkpoint()
+    level = root_paths(roots, nodes).withColumn("_trail", F.array("folder_id")).checkpoint()
     levels = [level]
+    loop = F.raise_error(F.concat(F.lit("folder lies below itself: "), "path")).cast("string")
+    below = F.concat("path", F.lit(fixed.PATH_SEPARATOR), "name")
+    inside_itself = F.array_contains("_trail", F.col("child_id"))
     while True:
         level = (
             level.join(folders, "folder_id")
             .select(
                 F.col("child_id").alias("folder_id"),
-                F.concat("path", F.lit(fixed.PATH_SEPARATOR), "name").alias("path"),
+                F.when(inside_itself, loop).otherwise(below).alias("path"),
+                F.array_append("_trail", F.col("child_id")).alias("_trail"),
             )
             .checkpoint()
         )
         if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
+            return reduce(DataFrame.unionByName, levels).drop("_trail")
         levels.append(level)
-        if len(levels) > max_depth:
-            raise ValueError(f"folder tree is deeper than {max_depth} levels")
 
 
 def list_files(

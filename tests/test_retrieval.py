@@ -54,7 +54,7 @@ def brute(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("blocks", [{}, {"query_block": 8, "chunk_block": 60}])
+@pytest.mark.parametrize("blocks", [{}, {"query_bytes": 8 * 8 * 6}])
 @pytest.mark.parametrize("k", [1, 4, 1000])
 def test_retrieve_matches_brute_force(spark, blocks, k):
     rng = np.random.default_rng(2)
@@ -82,10 +82,28 @@ def test_small_steps_give_the_same(spark, monkeypatch):
     assert best.step() == 10
     chunks = index(spark, rows)
     one = retrieval.retrieve(chunks, q, 3).orderBy("query_id", "rank").collect()
-    two = retrieval.retrieve(chunks, q, 3, query_block=2, chunk_block=40).orderBy("query_id", "rank").collect()
+    two = retrieval.retrieve(chunks, q, 3, query_bytes=2 * 8 * 5).orderBy("query_id", "rank").collect()
     assert one == two and len(one) == 21
 
 
+def test_wrong_vectors_and_repeated_ids_are_refused(spark):
+    chunks = index(spark, SMALL)
+    q = lambda rows: spark.createDataFrame(rows, "query_id string, vector array<float>")
+    with pytest.raises(ValueError, match="distinct"):
+        retrieval.retrieve(chunks, q([("q", [1.0, 0.0, 0.0]), ("q", [0.0, 1.0, 0.0])]))
+    with pytest.raises(ValueError, match="dimensions"):
+        retrieval.retrieve(chunks, q([("q", [1.0, 0.0, 0.0]), ("r", [0.0, 1.0])]))
+    with pytest.raises(Exception, match="dimensions"):
+        retrieval.retrieve(chunks, q([("q", [1.0, 0.0])]))
+
+
+def test_listed_twice_is_found_twice(spark):
+    chunks = index(spark, [SMALL[0], *SMALL])
+    q = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, vector array<float>")
+    hits = retrieval.retrieve(chunks, q, 3).orderBy("rank").collect()
+    assert [(h["rank"], h.text) for h in hits] == [(1, "hello"), (2, "hello"), (3, "cusco")]
+
+
 def test_no_k_no_queries(spark):
     chunks = index(spark, SMALL)
     q = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, vector array<float>")

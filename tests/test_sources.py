@@ -57,8 +57,15 @@ def test_unknown_root_keeps_its_id_and_overlap_lists_twice(spark):
 
 def test_folder_loop_is_an_error(spark):
     loop = spark.createDataFrame([("a", "b", "A", FOLDER, None), ("b", "a", "B", FOLDER, None)], NODE)
-    with pytest.raises(ValueError, match="deeper"):
-        listing.folder_paths(roots(spark, "a"), loop, max_depth=3)
+    with pytest.raises(Exception, match="below itself"):
+        listing.folder_paths(roots(spark, "a"), loop)
+
+
+def test_deep_folders(spark):
+    chain = [(f"n{i}", f"n{i + 1}", f"f{i}", FOLDER, None) for i in range(12)]
+    tree = spark.createDataFrame(chain, NODE)
+    got = listing.folder_paths(roots(spark, "n12"), tree).collect()
+    assert {r.folder_id for r in got} == {f"n{i}" for i in range(13)}
 
 
 def test_read_folder(spark, tmp_path):
