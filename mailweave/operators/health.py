@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.operators.skew import number_rows
+from mailweave.session import materialize
 
 
 def source_stats(chunks: DataFrame) -> DataFrame:
     """Chunks per source path, largest first."""
-    return (
-        chunks.groupBy("source_path")
-        .agg(F.count(F.lit(1)).alias("chunk_count"))
-        .orderBy(F.desc("chunk_count"), F.asc("source_path"))
-    )
+    return _largest_first(_per_source(chunks))
+
+
+def _per_source(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("chunk_count"))
+
+
+def _largest_first(stats: DataFrame) -> DataFrame:
+    return stats.orderBy(F.desc("chunk_count"), F.asc("source_path"))
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
@@ -30,9 +35,10 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 
 def top_sources(chunks: DataFrame, limit: int = 20) -> DataFrame:
     """The ``limit`` largest sources and how many more there are."""
-    total = chunks.select("source_path").distinct().agg(F.count(F.lit(1))).scalar()
-    hidden = F.greatest(F.lit(0), total - limit).cast("bigint")
-    return source_stats(chunks).limit(limit).withColumn("more_sources", hidden)
+    # Written once, so that the chunks are read once for both.
+    stats = materialize(_per_source(chunks), "source-stats")
+    hidden = F.lit(max(0, stats.count() - limit)).cast("bigint")
+    return _largest_first(stats).limit(limit).withColumn("more_sources", hidden)
 
 
 def ingest_age(ingested_at: Column, now: datetime | Column) -> Column:
