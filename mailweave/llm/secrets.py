@@ -7,8 +7,9 @@ it, where the compressor starts with a dictionary of the identifiers that occur
 sensitive lines of the corpus; per character, NOVEL or more is reported as ``novel``.
 
 The identifier dictionary is gathered over all texts: each task counts the plain
-identifiers of its sensitive lines in a bounded table, and at most IDENTIFIERS of them
-are kept. Strings with digits never enter it, so a copied secret stays novel.
+identifiers of its sensitive lines and gives its table out whenever it is full, so the
+summed counts are exact; the IDENTIFIERS most frequent make up the dictionary. Strings
+with digits never enter it, so a copied secret stays novel.
 
 A null text counts as empty and has no spans. Positions are code points, ends exclusive.
 """
