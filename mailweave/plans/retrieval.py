@@ -145,9 +145,10 @@ def e2(spark, sf):
 
 
 def _index(spark, sf, embedder):
-    """All documents as chunks with unit vectors."""
+    """All documents as chunks with unit vectors, stored as an index is."""
     chunks = embedding.embed_texts(chunk_documents(inputs.documents(spark, sf)), embedder)
-    return chunks.withColumn("unit_embedding", unit(F.col("embedding"))).drop("embedding")
+    stored = chunks.withColumn("unit_embedding", unit(F.col("embedding"))).drop("embedding")
+    return materialize(stored, "index")
 
 
 def search_items(spark, sf):
