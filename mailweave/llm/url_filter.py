@@ -3,14 +3,17 @@
 Accepted and rejected URLs (as the rules say) each train a variable-order Markov model over
 characters: contexts of 0 to ORDER characters, blended from short to long, where a context
 counts as much as it has been seen against how many different characters followed it. A URL
-scores the difference of its two log-likelihoods per character. The threshold is calibrated on
-the rule-decided URLs that were kept out of training (one in four, by the URL's checksum).
+scores the difference of its two log-likelihoods per character. The models see whole URLs, from the
+scheme to the fragment; host and path are for the rules and the output. The threshold is
+calibrated on the rule-decided URLs that were kept out of training (one in four, by the
+checksum of host and path, so that variants of an address stay on one side).
 
 URLs are worked on as windows of a context and a character. Equal windows are looked
 up once, joined back by the window and summed; partial sums come before every shuffle,
 and adaptive execution splits the join's frequent windows.
 
-Null URLs and URLs without ``://`` have an empty host and path. Without labelled URLs every
+Null URLs and URLs without ``://`` have an empty host and path. Null and empty URLs have no score
+and are allowed. Without labelled URLs every
 score is 0 and the verdict is allow. Repeated rows get the same verdict.
 """
 
@@ -149,13 +152,16 @@ def judge(
         return spark.read.schema(part.schema).parquet(f"{folder}/{name}")
 
     host, path = parts(F.col(url_col))
-    rows = df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    rows = df.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
+        host.alias("host"), path.alias("path"),
+    )
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    # Equal addresses are judged once.
+    # Equal URLs are judged once.
+    aside = (F.crc32(F.concat("host", "path")) % 4 == 0).alias("aside")
     texts = written(
-        rows.groupBy(F.concat("host", "path").alias("url"), "verdict").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("aside", F.crc32(F.col("url")) % 4 == 0), "urls",
+        rows.groupBy("url", "verdict", aside).agg(F.count(F.lit(1)).alias("n")), "urls"
     )
     pieces = texts.select("url", "verdict", "aside", "n", F.explode(windows(F.col("url"))).alias("window"))
     train = pieces.where("verdict is not null and not aside").groupBy(
@@ -173,7 +179,7 @@ def judge(
     ))
     free = scored.where("verdict is null").select("url", "score")
     out = rows.withColumn(
-        "url", F.when(F.col("verdict").isNull(), F.concat("host", "path"))
+        "url", F.when(F.col("verdict").isNull(), F.col("url"))
     ).join(free, "url", "left")
     said = F.when(F.coalesce("score", F.lit(0.0)) >= limit, F.lit("allow")).otherwise(F.lit("block"))
     return out.select(
