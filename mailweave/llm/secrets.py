@@ -1,7 +1,16 @@
 """Secret scan of whole texts: fixed patterns, and strings that do not compress.
 
-The patterns give the kinds ``assign``, ``access`` and ``hex``. Beyond them every string of
-letters, digits and a few signs that stands close behind a sensitive word is a candidate.
+The patterns give the kinds ``assign``, ``access`` and ``hex``. Beyond them every string of 16 or
+more letters, digits, a few signs and ``%XX`` codes, with up to two ``=`` behind it, is a candidate
+if it stands in a line with a sensitive word or in a line that belongs to one:
+
+* up to the end mark of a PEM block that the line begins,
+* up to the quote that closes a value left open,
+* behind a line that ends in ``:``, ``=``, a block mark or an open bracket, the next line with
+  letters or digits and all lines that are further indented,
+* behind a line that ends in a backslash, the next one,
+* lines of one candidate and nothing else right behind any of these.
+
 Its novelty is the number of bytes by which it lengthens the zstandard form of the code around
 it, where the compressor starts with a dictionary of the identifiers that occur in
 sensitive lines of the corpus; per character, NOVEL or more is reported as ``novel``.
@@ -17,6 +26,7 @@ A null text counts as empty and has no spans. Positions are code points, ends ex
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -39,9 +49,16 @@ SENSITIVE = (
     "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key",
     "private", "credential", "auth", "bearer", "signature",
 )
-CONTEXT = re.compile(
-    "(?i:" + "|".join(SENSITIVE) + r")[^\n]{0,24}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})"
+WORD = re.compile("(?i:" + "|".join(SENSITIVE) + ")")
+SIGNS = r"(?:[A-Za-z0-9+/_-]|%[0-9A-Fa-f]{2}){16,}={0,2}"
+# The letter of an escaped line end is not part of what follows it.
+CANDIDATE = re.compile(
+    r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])|(?<=\\[nrt]))" + SIGNS
 )
+ALONE = re.compile(r"[\s\"'`+,]*" + SIGNS + r"[\s\"'`+,;\\)]*")
+OPEN_QUOTE = re.compile(r"[:=]\s*(\"{3}|'{3}|[\"'`])((?:(?!\1).)*)\Z")
+OPEN_VALUE = re.compile(r"(?:[:=]\s*[|>][+-]?[0-9]?[+-]?|[:=\[{(])\s*\Z")
+PEM, PEM_END = "-----BEGIN", "-----END"
 IDENTIFIER = re.compile(r"(?a:\b[A-Za-z_]{3,24}\b)")
 AROUND = 256  # code points of surrounding code on each side
 NOVEL = 0.6
@@ -99,6 +116,71 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return found
 
 
+class Regions:
+    """Lines with sensitive words and the lines that belong to them."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.pem_end = text, 0
+
+    def line_end(self, start: int) -> int:
+        """Where the line that has ``start`` in it ends."""
+        at = self.text.find("\n", start)
+        return len(self.text) if at < 0 else at
+
+    def belongs(self, start: int, end: int) -> int:
+        """The end of what belongs to the sensitive line from ``start`` to ``end``."""
+        text, line = self.text, self.text[start:end]
+        if PEM in line:
+            begin = start + line.rindex(PEM)
+            if 0 <= self.pem_end < begin:
+                self.pem_end = text.find(PEM_END, begin)
+            if self.pem_end >= 0:
+                end = max(end, self.line_end(self.pem_end))
+        elif quote := OPEN_QUOTE.search(line):
+            close = text.find(quote[1], end)
+            if close >= 0:
+                end = self.line_end(close)
+        elif OPEN_VALUE.search(line):
+            end = self.block(end, len(line) - len(line.lstrip()))
+        while end < len(text):
+            after = self.line_end(end + 1)
+            if not (text.endswith("\\", start, end) or ALONE.fullmatch(text, end + 1, after)):
+                break
+            end = after
+        return end
+
+    def block(self, end: int, indent: int) -> int:
+        """The end of the first line with letters or digits behind ``end`` and of the lines behind
+        it that are further indented."""
+        text, seen, at = self.text, False, end
+        while at < len(text):
+            after = self.line_end(at + 1)
+            line = text[at + 1 : after]
+            bare = line.lstrip()
+            if bare and seen and len(line) - len(bare) <= indent:
+                break
+            seen = seen or any(map(str.isalnum, bare))
+            if bare:
+                end = after
+            at = after
+        return end
+
+    def find(self) -> list[tuple[int, int]]:
+        """``(start, end)`` of all regions, in order and apart."""
+        out, line = [], -1
+        for m in WORD.finditer(self.text):
+            if m.start() < line:
+                continue
+            start = self.text.rfind("\n", 0, m.start()) + 1
+            line = self.line_end(m.end())
+            end = self.belongs(start, line)
+            if out and start <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], end))
+            else:
+                out.append((start, end))
+        return out
+
+
 class Novelty:
     """Marginal compressed bytes of candidates."""
 
@@ -120,13 +202,23 @@ class Novelty:
     def spans(self, text: str, low: str, taken: list[tuple[int, int, int]]):
         if not sensitive(low):
             return []
+        # Covered parts, in order and apart.
+        starts, ends = [], []
+        for s, _, e in sorted(taken):
+            if starts and s <= ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
         found = []
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            if any(s < end and start < e for s, _, e in taken):
-                continue
-            if self.rate(text, start, end) >= NOVEL:
-                found.append((start, 3, end))
+        for first, last in Regions(text).find():
+            for m in CANDIDATE.finditer(text, first, last):
+                start, end = m.span()
+                at = bisect_right(starts, start) - 1
+                if at >= 0 and end <= ends[at]:
+                    continue
+                if self.rate(text, start, end) >= NOVEL:
+                    found.append((start, 3, end))
         return found
 
 
