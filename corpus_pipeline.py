@@ -16,6 +16,8 @@ from mailweave.session import scratch_path
 
 # Share of a text's letters that its main language must have.
 LEAST_SHARE = 0.5
+# Near copies: so much Jaccard similarity of the sets of word shingles of this width.
+COPY_WORDS, COPY_PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
-    groups = jaccard.linked_groups(docs)
+    """The document with the least id of each group of near copies.
+
+    Near copies share at least COPY_PERCENT of their shingles of COPY_WORDS words; op2 has limits
+    of its own.
+    """
+    groups = jaccard.linked_groups(docs, width=COPY_WORDS, percent=COPY_PERCENT)
     others = groups.where("doc_id <> component_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti")
 

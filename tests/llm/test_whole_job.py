@@ -1,10 +1,53 @@
 """Cases that the operators once left out."""
 
+from itertools import combinations
+
 import numpy as np
 
 from mailweave.llm import secrets, url_filter
 
 
+def shingles(text, width):
+    words = text.encode().lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def similar(a, b, width, percent):
+    a, b = shingles(a, width), shingles(b, width)
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
+def test_near_duplicate_stage_against_all_pairs(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (20, 40, 60, 100, 200, 400):
+        base = [f"n{n}w{i}" for i in range(n)]
+        for changes in range(0, 8):
+            other = list(base)
+            for i in rng.choice(n, changes, replace=False):
+                other[i] = f"x{len(texts)}y{i}"
+            texts.append(" ".join(other))
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    between = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if similar(texts[i], texts[j], 5, 80):
+            between += not similar(texts[i], texts[j], 3, 90)
+            a, b = sorted((top(i), top(j)))
+            parent[b] = a
+    assert between
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert kept == {i for i in range(len(texts)) if top(i) == i}
+
+
 def _random(rng, n):
     return "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
 
