@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import heapq
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +14,10 @@ from mailweave.functions.redact import sanitize
 from mailweave.functions.text import strip
 from mailweave.operators.exports import tidy_export
 from mailweave.operators.skew import number_rows
+from mailweave.session import materialize
 
-# Lists up to this size become one column expression; longer ones are applied
-# in blocks of PHRASE_BLOCK by an Arrow-batched function.
-INLINE_PHRASES = 48
-PHRASE_BLOCK = 5_000
+# Phrases of one automaton, tens of megabytes for names.
+PHRASE_BLOCK = 50_000
 
 
 def distinct_phrases(phrases: DataFrame) -> DataFrame:
@@ -44,53 +43,101 @@ def stand_ins(phrases: DataFrame, style: str = "pool") -> DataFrame:
     return placed.select("phrase", choices[style].alias("replacement"), "place")
 
 
-def longest_first(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Usable pairs, longer phrases before shorter ones, else in given order."""
-    usable = [(p, r) for p, r in pairs if p and p.strip()]
-    return sorted(usable, key=lambda pair: -len(pair[0]))
+class _Folds(dict):
+    """Code point to the one that stands for all its case forms."""
 
+    def __missing__(self, point: int) -> int:
+        char = chr(point)
+        found = char
+        upper = char.upper()
+        for form in (upper.lower() if len(upper) == 1 else "", char.lower()):
+            if len(form) == 1:
+                found = form
+                break
+        value = self[point] = ord(found)
+        return value
 
-def replace_phrases(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Literal, case-insensitive replacement, one phrase after the other."""
-    for phrase, replacement in longest_first(pairs):
-        quoted = r"\Q" + phrase.replace(r"\E", r"\E\\E\Q") + r"\E"
-        literal = replacement.replace("\\", "\\\\").replace("$", "\\$")
-        c = F.regexp_replace(c, f"(?iu){quoted}", literal)
-    return c
 
+class PhraseRules:
+    """Literal, case-insensitive replacement by a list of phrases, one after the other.
 
-# Outside this range a letter may have more than two case forms.
-_MANY_CASES = re.compile("[^\x00-\xb4\xb6-\u012f]")
-
-
-def _lowered(text: str) -> str | None:
-    """Lower-case text for a quick search, or None where that could miss a match."""
-    return None if _MANY_CASES.search(text) else text.lower()
-
-
-def _replace_block(c: Column, block: list[tuple[str, str]]) -> Column:
-    """Arrow-batched replacement for lists too long for one expression."""
-
-    @F.pandas_udf("string")
-    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rules = [
-            (_lowered(p), re.compile(re.escape(p), re.IGNORECASE), r) for p, r in block
-        ]
+    An automaton over the folded phrases finds in one pass which of them a text holds; only these
+    are applied, in the order of the list. A replacement can complete a later, not longer
+    phrase: the places around it are searched again. The result is that of going
+    through the whole list. Two letters are equal when their single-letter case forms are.
+    """
 
-        def one(text: str) -> str:
-            low = _lowered(text)
-            for key, rule, replacement in rules:
-                if key is not None and low is not None and key not in low:
-                    continue
-                changed = rule.sub(lambda _, r=replacement: r, text)
-                if changed != text:
-                    text, low = changed, _lowered(changed)
-            return text
+    def __init__(self, pairs: Sequence[tuple[str, str]]) -> None:
+        import ahocorasick
+
+        self.folds = _Folds()
+        self.keys = [self.folded(phrase) for phrase, _ in pairs]
+        self.others = [other for _, other in pairs]
+        self.folded_others = [self.folded(other) for other in self.others]
+        turns: dict[str, list[int]] = {}
+        for turn, key in enumerate(self.keys):
+            turns.setdefault(key, []).append(turn)
+        self.automaton = ahocorasick.Automaton()
+        for key, found in turns.items():
+            self.automaton.add_word(key, tuple(found))
+        self.automaton.make_automaton()
+
+    def folded(self, text: str) -> str:
+        return text.lower() if text.isascii() else text.translate(self.folds)
+
+    def replace(self, text: str) -> str:
+        low = self.folded(text)
+        known = {turn for _, turns in self.automaton.iter(low) for turn in turns}
+        waiting = sorted(known)
+        while waiting:
+            turn = heapq.heappop(waiting)
+            key, other = self.keys[turn], self.others[turn]
+            cuts, at = [], low.find(key)
+            while at >= 0:
+                cuts.append(at)
+                at = low.find(key, at + len(key))
+            if not cuts:
+                continue  # a longer phrase took it
+            text = other.join(_between(text, cuts, len(key)))
+            low = self.folded_others[turn].join(_between(low, cuts, len(key)))
+            # What comes later is not longer than this phrase.
+            reach, end = len(key) - 1, 0
+            for i, cut in enumerate(cuts):
+                place = cut + i * (len(other) - len(key))
+                start = max(place - reach, end - reach, 0)
+                end = min(place + len(other) + reach, len(low))
+                for _, turns in self.automaton.iter(low, start, end):
+                    for later in turns:
+                        if later > turn and later not in known:
+                            known.add(later)
+                            heapq.heappush(waiting, later)
+        return text
+
+
+def _between(text: str, cuts: list[int], size: int) -> list[str]:
+    starts = [0, *(c + size for c in cuts)]
+    return [text[a:b] for a, b in zip(starts, [*cuts, len(text)], strict=True)]
+
+
+def replace_phrases(df: DataFrame, pairs: Sequence[tuple[str, str]], text: str = "text") -> DataFrame:
+    """Apply ``(phrase, replacement)`` pairs in the given order, longer phrases first.
+
+    All tasks get the pairs as a broadcast, so there should be at most some PHRASE_BLOCK.
+    Blank phrases are ignored and a null text stays null.
+    """
+    usable = sorted(((p, r) for p, r in pairs if p and p.strip()), key=lambda pair: -len(pair[0]))
+    if not usable:
+        return df
+    sent = df.sparkSession.sparkContext.broadcast(usable)
+    at, schema = df.columns.index(text), df.schema
 
-        for series in batches:
-            yield series.map(one, na_action="ignore")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = PhraseRules(sent.value)
+        for batch in batches:
+            done = [None if t is None else rules.replace(t) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
 
-    return replaced(c)
+    return df.mapInArrow(run, schema)
 
 
 def redact_phrases(
@@ -98,23 +145,19 @@ def redact_phrases(
 ) -> DataFrame:
     """Replace every listed phrase in ``text``.
 
-    Longer phrases go first, so the list is read in that order, one block of at
-    most PHRASE_BLOCK phrases at a time; blocks are applied one after another.
+    Longer phrases go first, so the list is put in that order and cut into blocks of
+    PHRASE_BLOCK; a block is all that the driver or a task ever holds of it. Blocks are applied one
+    after another, with the texts written in between.
     """
     pairs = stand_ins(phrases, style).withColumn("_chars", F.length("phrase"))
     placed = number_rows(pairs, [F.desc("_chars"), F.col("place")], "_turn")
     total = placed.count()
     for start in range(0, total, PHRASE_BLOCK):
-        block = [
-            (row.phrase, row.replacement)
-            for row in placed.where(
-                (F.col("_turn") > start) & (F.col("_turn") <= start + PHRASE_BLOCK)
-            )
-            .orderBy("_turn")
-            .collect()
-        ]
-        apply = replace_phrases if total <= INLINE_PHRASES else _replace_block
-        df = df.withColumn(text, apply(F.col(text), block))
+        if start:
+            df = materialize(df, "redacted")
+        block = placed.where((F.col("_turn") > start) & (F.col("_turn") <= start + PHRASE_BLOCK))
+        rows = block.orderBy("_turn").select("phrase", "replacement").collect()
+        df = replace_phrases(df, [(row.phrase, row.replacement) for row in rows], text)
     return df
 
 

@@ -382,6 +382,34 @@ def r9(spark, sf):
     return phrases.redact_phrases(notes, _place_names(spark, sf), style="marker")
 
 
+@query(
+    "r9_replace_many_phrases",
+    """WITH named AS (
+      SELECT c_custkey, c_name,
+             row_number() OVER (ORDER BY length(c_name) DESC, c_custkey) AS place FROM customer)
+    SELECT o_orderkey, 'order ' || o_orderkey || ' of Cliente ' || a.place
+           || CASE WHEN b.place IS NULL THEN '' ELSE ', sent to Cliente ' || b.place END AS text
+    FROM (SELECT *, (o_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS other FROM orders)
+    JOIN named a ON a.c_custkey = o_custkey LEFT JOIN named b ON b.c_custkey = other""",
+)
+def r9_many(spark, sf):
+    """As many phrases as there are customers, each order naming two of them in other letters."""
+    c = inputs.table(spark, sf, "customer").select("c_custkey", "c_name")
+    o = inputs.table(spark, sf, "orders").withColumn(
+        "other", (F.col("o_custkey") * 7 + 3) % F.lit(c.count())
+    )
+    second = c.select(F.col("c_custkey").alias("other"), F.lower("c_name").alias("second"))
+    texts = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(second, "other", "left").select(
+        "o_orderkey",
+        F.concat(
+            F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.upper("c_name"),
+            F.coalesce(F.concat(F.lit(", sent to "), "second"), F.lit("")),
+        ).alias("text"),
+    )
+    listed = c.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("phrase"))
+    return phrases.redact_phrases(texts, listed, style="numbered")
+
+
 @query(
     "r11_redact_documents",
     f"""{_CLEAN}, {_PHRASES.strip()},

@@ -124,9 +124,8 @@ def test_special_characters_are_literal(spark):
 
 
 def test_replacement_is_literal(spark):
-    df = texts(spark, "say X")
-    got = df.select(phrases.replace_phrases(F.col("text"), [("x", r"$1 \2")])).first()[0]
-    assert got == r"say $1 \2"
+    got = phrases.replace_phrases(texts(spark, "say X", None), [("x", r"$1 \2"), (" ", "-")])
+    assert [r.text for r in got.orderBy("i").collect()] == [r"say $1 \2", None]
 
 
 def test_stand_ins(spark):
@@ -139,14 +138,63 @@ def test_stand_ins(spark):
     assert many.collect()[16].replacement == fixed.STAND_IN_POOL[0]
 
 
+def one_after_the_other(text, pairs):
+    """The rule itself: the whole list, in order, on folded copies of the text."""
+    def fold(t):
+        return "".join(c.upper().lower() if len(c.upper().lower()) == 1 else c for c in t)
+
+    for phrase, other in pairs:
+        low, key, out, at = fold(text), fold(phrase), "", 0
+        while (found := low.find(key, at)) >= 0:
+            out += text[at:found] + other
+            at = found + len(key)
+        text = out + text[at:]
+    return text
+
+
+def test_automaton_is_the_sequential_rule():
+    rng = random.Random(5)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abC", "aAé ", "ab\u212ak"])
+        size = rng.choice([1, 2, 3, 4])
+        made = [
+            ("".join(rng.choices(letters, k=rng.randint(1, size))),
+             "".join(rng.choices(letters, k=rng.randint(0, 4)))) for _ in range(rng.randint(1, 12))
+        ]
+        pairs = sorted(((p, r) for p, r in made if p.strip()), key=lambda pair: -len(pair[0]))
+        if not pairs:
+            continue
+        rules = phrases.PhraseRules(pairs)
+        for _ in range(5):
+            text = "".join(rng.choices(letters, k=rng.randint(0, 30)))
+            assert rules.replace(text) == one_after_the_other(text, pairs), (text, pairs)
+
+
+def test_texts_are_searched_once_however_long_the_list():
+    class Counting(phrases.PhraseRules):
+        scanned = 0
+
+        def folded(self, text):
+            Counting.scanned += len(text)
+            return super().folded(text)
+
+    text = "nothing of it " * 500
+    for n in (10, 20_000):
+        rules = Counting([(f"name{i:05d}", f"other {i}") for i in range(n)])
+        Counting.scanned = 0
+        assert rules.replace(text) == text and Counting.scanned == len(text)
+
+
 @pytest.mark.parametrize("block", [1, 3, 5_000])
-def test_long_lists_equal_short_ones(spark, monkeypatch, block):
-    names = ["Ana Maria", "ana", "Rosa", "o'brien", "maria", "José Ñu", "Kim"]
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, block):
+    names = ["Ana Maria", "ana", "Rosa", "o'brien", "maria", "José Ñu", "Kim", "Cliente", "iente"]
     values = ["ANA MARIA met Ana and O'Brien, Rosa; maria", "none", "", "JOSÉ ñU, \u212aim", "roſa KIM"]
-    want = redacted(spark, values, names)
-    monkeypatch.setattr(phrases, "INLINE_PHRASES", 0)
+    pairs = sorted(
+        ((n, f"Cliente {i}") for i, n in enumerate(names, 1)), key=lambda pair: -len(pair[0])
+    )
     monkeypatch.setattr(phrases, "PHRASE_BLOCK", block)
-    assert redacted(spark, values, names) == want
+    got = redacted(spark, values, names, style="numbered")
+    assert got == [one_after_the_other(v, pairs) for v in values]
 
 
 def test_whole_redaction(spark):
