@@ -60,7 +60,9 @@ OPEN_QUOTE = re.compile(r"[:=]\s*(\"{3}|'{3}|[\"'`])((?:(?!\1).)*)\Z")
 OPEN_VALUE = re.compile(r"(?:[:=]\s*[|>][+-]?[0-9]?[+-]?|[:=\[{(])\s*\Z")
 PEM, PEM_END = "-----BEGIN", "-----END"
 IDENTIFIER = re.compile(r"(?a:\b[A-Za-z_]{3,24}\b)")
-AROUND = 256  # code points of surrounding code on each side
+# Surrounding code a candidate is compressed against, in code points on each side (a parameter of the
+# method: a repeat further away does not make a string known).
+AROUND = 256
 NOVEL = 0.6
 IDENTIFIERS, KEPT = 4_096, 50_000
 
@@ -120,7 +122,7 @@ class Regions:
     """Lines with sensitive words and the lines that belong to them."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.pem_end = text, 0
+        self.text, self.pem_end = text, -2  # -1: none is left
 
     def line_end(self, start: int) -> int:
         """Where the line that has ``start`` in it ends."""
@@ -132,7 +134,7 @@ class Regions:
         text, line = self.text, self.text[start:end]
         if PEM in line:
             begin = start + line.rindex(PEM)
-            if 0 <= self.pem_end < begin:
+            if self.pem_end != -1 and self.pem_end < begin:
                 self.pem_end = text.find(PEM_END, begin)
             if self.pem_end >= 0:
                 end = max(end, self.line_end(self.pem_end))
