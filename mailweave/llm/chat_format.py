@@ -21,11 +21,11 @@ to fit a row, texts and all.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailweave.llm.common import let
+
 OPEN, NEXT, CLOSE, HEAD_END = "### ", "<next>", "</turn>\n", ":\n"
 # Strings that a text must not hold; roles must not hold the last two either.
 CONTROL = ["\\", OPEN, CLOSE.strip(), NEXT]
@@ -45,11 +45,6 @@ def unescape(c: Column, control: list[str] = CONTROL) -> Column:
     return c
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running_sums(values: Column) -> Column:
     """Running sums of a non-empty array, part by part, as appending to an array copies it."""
 

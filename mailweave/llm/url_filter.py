@@ -22,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailweave.llm.common import let
 from mailweave.session import scratch_path
 
 ORDER = 4
 ALPHABET = 256.0  # characters the shortest context is smoothed over
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BINS = 2_000
+SALTS = 16
 START = "\x02"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,15 +55,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def windows(text: Column) -> Column:
     """Every character of a text with the ORDER characters before it."""
-    padded = F.concat(F.lit(START * ORDER), text)
+    # Characters once as an array: a substring would count its way through the text each time.
+    padded = F.split(F.concat(F.lit(START * ORDER), text), "")
     return F.when(
         F.length(text) > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(padded, i, ORDER + 1)
-        ),
+        let(padded, lambda chars: F.transform(
+            F.sequence(F.lit(1), F.length(text)),
+            lambda i: F.array_join(F.slice(chars, i, ORDER + 1), ""),
+        )),
     ).otherwise(F.array().cast("array<string>"))
 
 
+def salted(df: DataFrame, by: str) -> DataFrame:
+    """Adds ``salt``: for the two shortest sizes, whose few keys all texts share, one of SALTS by the
+    hash of ``by``, or all of them with ``by="copy"`` (at most alphabet x SALTS rows); else 0."""
+    short = F.col("size") <= 2
+    if by == "copy":
+        salts = F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        return df.withColumn("salt", F.explode(salts))
+    return df.withColumn(
+        "salt", F.when(short, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    )
+
+
 def model(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From ``(window, good, n)``: counts of grams of every order by class, and of their
     contexts: seen and different followers."""
@@ -97,8 +113,8 @@ def window_scores(asked: DataFrame, grams: DataFrame, contexts: DataFrame) -> Da
     )
     numbers = ["good", "bad", "good_seen", "bad_seen", "good_kinds", "bad_kinds"]
     joined = (
-        levels.join(grams, ["size", "gram"], "left")
-        .join(contexts, ["size", "context"], "left")
+        salted(levels, "window").join(salted(grams, "copy"), ["size", "gram", "salt"], "left")
+        .join(salted(contexts, "copy"), ["size", "context", "salt"], "left")
         .fillna(0, numbers)
     )
     by_window = joined.groupBy("window").agg(
