@@ -8,7 +8,8 @@ corpus holds, and goes to the tasks as a broadcast.
 A word's script narrows its candidate languages to those written in it; its score under a
 language is the log-likelihood of its trigrams and of the word. Viterbi over the words of a
 text, with a penalty for each switch, gives spans of one language. The text's language is
-the one with most letters in its spans, and the score is its share of the letters.
+the one with most letters in its spans, and the score is its share of the letters. Letters of a script
+that no learned language is written in speak for none, so such a text has score 0.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything where
 there is nothing to learn from. Ties go to the first language in alphabetical order.
@@ -16,6 +17,8 @@ there is nothing to learn from. Ties go to the first language in alphabetical or
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +45,39 @@ _KIND = np.array([SCRIPT_NAMES.index(n) for _, n in SCRIPTS])
 SCRIPT_SHARE = 0.001
 
 
+# Scripts written without blanks: words are cut into units of so many letters.
+UNSEGMENTED, UNIT = frozenset({"han", "kana", "thai"}), 4
+LANGUAGES = 512  # most frequent languages that a model can hold
+_BEYOND_LATIN = re.compile("[\u0370-\u1dff\u1f00-\U0010ffff]")
+
+
+def script_of(char: str) -> str:
+    return SCRIPT_NAMES[_KIND[np.searchsorted(_STARTS, ord(char), "right") - 1]]
+
+
+def units_of(text: str) -> list[str]:
+    """Words between blanks, cut where the script of the letters changes; units of UNIT letters
+    where a script has no blanks."""
+    if not _BEYOND_LATIN.search(text):
+        return text.split()
+    out = []
+    for word in text.split():
+        if not _BEYOND_LATIN.search(word):
+            out.append(word)
+            continue
+        start, script, letters = 0, None, 0
+        for i, char in enumerate(word):
+            if not char.isalpha():
+                continue
+            now = script_of(char)
+            if script is not None and (now != script or now in UNSEGMENTED and letters == UNIT):
+                out.append(word[start:i])
+                start, letters = i, 0
+            script, letters = now, letters + 1
+        out.append(word[start:])
+    return out
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all words one after the other, how many each has, letters and script of each.
 
@@ -89,7 +125,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
                 langs = part.column(1).to_pylist()
                 for lang, text in zip(langs, texts_of(part.column(0)), strict=True):
                     counts = by_lang.setdefault(lang, {})
-                    for w in text.split():
+                    for w in units_of(text):
                         counts[w] = counts.get(w, 0) + 1
                 for lang, counts in by_lang.items():
                     if not counts:
@@ -106,10 +142,13 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
                 names=["lang", "bucket", "n"],
             )
 
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
+    known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
+    frequent = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES)
+    # At most LANGUAGES short rows.
+    rows = known.join(F.broadcast(frequent.select(lang_col)), lang_col, "left_semi").select(
         text_col, lang_col
     ).mapInArrow(run, "lang string, bucket long, n long")
-    # Languages x buckets, whatever the corpus holds.
+    # At most LANGUAGES x buckets, whatever the corpus holds.
     counted = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     table = np.zeros((len(langs), BUCKETS + kinds))
@@ -133,6 +172,7 @@ class WordScores(dict):
         self.new: list[str] = []
         self.score = np.zeros((0, len(self.model["langs"])), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.sure = np.zeros(0, np.int64)  # letters in a script that some language is written in
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
@@ -146,6 +186,7 @@ class WordScores(dict):
         bucket, per, letters, script = features(new)
         score = np.zeros((len(new), self.score.shape[1]), np.float32)
         some = per > 0
+        sure = np.zeros(len(new), np.int64)
         starts = (np.cumsum(per) - per)[some]
         if len(starts) and score.shape[1]:
             sums = np.add.reduceat(self.model["score"][bucket], starts, axis=0)
@@ -155,8 +196,10 @@ class WordScores(dict):
             sums = np.where(fits | ~fits.any(1, keepdims=True), sums, lowest)
             sums = np.where(fits.any(1, keepdims=True), sums, 0)
             score[some] = sums - sums.max(1, keepdims=True)
+            sure[some] = np.where(fits.any(1), letters[some], 0)
         self.score = np.concatenate([self.score, score])
         self.letters = np.concatenate([self.letters, letters])
+        self.sure = np.concatenate([self.sure, sure])
 
 
 def viterbi(score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -199,7 +242,7 @@ def identify(
     df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id_col, lang_pred, score, spans)`` for every row; ``spans`` lists the language and
-    the number of words of each run of words, in order."""
+    the number of units (words) of each run, in order."""
     shared = SparkSession.active().sparkContext.broadcast(model)
     span = pa.struct([("lang", pa.string()), ("words", pa.int64())])
 
@@ -214,7 +257,7 @@ def identify(
                 words.restart()
             found = []
             for text in texts_of(part.column(1)):
-                split = text.split()
+                split = units_of(text)
                 found.append(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
             words.resolve()
             sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -229,7 +272,7 @@ def identify(
             else:
                 labels = viterbi(words.score[number], sizes)
                 mass = np.bincount(
-                    doc * n_langs + labels, letters, len(sizes) * n_langs
+                    doc * n_langs + labels, words.sure[number], len(sizes) * n_langs
                 ).reshape(-1, n_langs)
                 best = mass.argmax(1)
                 share = mass.max(1) / np.maximum(total, 1)
