@@ -1,7 +1,8 @@
 """Document fingerprints by locally consistent parsing.
 
-A text is cut into phrases by deterministic coin tossing: every symbol that differs from
-the one before gets a label from the lowest bit in which the two differ; a few rounds
+Runs of one symbol become one symbol, named by it and its length's power of two; so a text that repeats
+a period shrinks as soon as the period is a phrase. Then it is cut into phrases by deterministic coin
+tossing: every symbol gets a label from the lowest bit in which the two differ; a few rounds
 shrink the labels, and phrases start where a label is a local maximum. Each phrase is named by a hash of
 its symbols, and the names are parsed in the same way, level by level. A cut depends
 on a few symbols around it only, so equal passages are cut and named alike wherever they
@@ -9,7 +10,9 @@ stand. The fingerprint holds the KEPT least hashes of the names from level SIGNA
 on (of lower levels for texts too short for it); the likeness of two fingerprints is the share of common
 hashes among the KEPT least of both (1 for two empty texts).
 
-A null text counts as empty; its fingerprint is the empty string.
+A null text counts as empty; its fingerprint is the empty string. Rows are ordered by id, equal ids by
+text, null ids come last as one block; repeated rows are rows of their own. Ids must be whole
+numbers. Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from mailweave.llm.common import SLICE_BYTES, mix64, offsets, slices, texts_of
 from mailweave.operators.skew import number_rows
+from mailweave.session import shared_dir
 
 KEPT = 64
 SIGNATURE_LEVEL, LEVELS = 2, 4
@@ -46,15 +50,17 @@ _BYTE_COINS, _SMALL_COINS = _coin_table(256), _coin_table(32)
 def cuts(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where phrases start; ``starts`` are the first symbols of texts and always do."""
     n = len(symbols)
-    byte = (mix64(symbols) >> np.uint64(56)).astype(np.uint8) if symbols.dtype == np.uint64 else (
-        (symbols * np.uint32(0x9E3779B1)) >> np.uint32(24)
-    ).astype(np.uint8)
+    # First round on whole symbols: neighbours differ, so each pair has a lowest different bit.
+    wide = mix64(symbols.astype(np.uint64))
+    differ = wide[1:] ^ wide[:-1]
+    low = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1))
+    side = (wide[1:] >> low.astype(np.uint64)) & np.uint64(1)
     label = np.zeros(n, np.uint8)
-    label[1:] = _BYTE_COINS[byte[:-1], byte[1:]]
+    label[1:] = np.where(differ == 0, 0, 1 + 2 * low.astype(np.int64) + side.astype(np.int64))
     label[starts] = 0  # nothing may depend on the text before
-    for _ in range(2):
+    for coins in (_BYTE_COINS, _SMALL_COINS):
         less = np.zeros(n, np.uint8)
-        less[1:] = _SMALL_COINS[label[:-1], label[1:]]
+        less[1:] = coins[label[:-1], label[1:]]
         less[starts] = 0
         label = less
     top = np.zeros(n, bool)
@@ -64,6 +70,21 @@ def cuts(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(top)
 
 
+def joined_runs(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of one symbol as one symbol each, named by it and the power of two below the run's
+    length; with the bounds of the texts among them."""
+    new = np.ones(len(symbols), bool)
+    new[1:] = symbols[1:] != symbols[:-1]
+    new[bounds[:-1][np.diff(bounds) > 0]] = True
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(symbols)))
+    long = size > 1
+    out = symbols[at].astype(np.uint64)
+    octave = np.floor(np.log2(size[long])).astype(np.uint64) + np.uint64(1)
+    out[long] = mix64(mix64(out[long]) + octave)
+    return out, np.searchsorted(at, bounds)
+
+
 def phrase_names(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of the symbols of each phrase, in order."""
     place = np.arange(len(symbols)) - np.repeat(at, np.diff(np.append(at, len(symbols))))
@@ -80,6 +101,7 @@ def names_by_level(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for _ in range(LEVELS):
         if not len(full):
             return
+        symbols, bounds = joined_runs(symbols, bounds)
         starts = bounds[full]
         at = cuts(symbols, starts)
         symbols = phrase_names(symbols, at)
@@ -156,6 +178,7 @@ def with_followers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     The order is total: equal ids are ordered by text. After the last document comes the first.
     """
+    shared_dir(df.sparkSession)
     rows = df.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
