@@ -22,15 +22,18 @@ two or more, so among any h segments that are small on neither side one differs
 both sides have at most Q / 3 small segments, the first Q hold that many. A set with more small
 segments indexes all of them, and is met through them by anyone.
 
-Sets that are equal are one node. In every group of equal signatures all nodes are compared
-with one of them first, which joins groups of near copies without listing their pairs;
-afterwards only pairs from different groups that still share a signature are compared, and of
-these only pairs whose sizes and parity bits (a lower bound of their difference) allow a link.
-Every comparison reads the two texts and is exact (shingles as 64-bit hashes).
+Sets that are equal are one node. Inside each group of equal signatures pairs of nodes are first
+tested by their sizes and parity bits, a lower bound of their difference that rejects nearly all that
+do not link. Of the pairs that pass, only a spanning forest is compared at first (groups of up to
+FEW nodes: all pairs), so a group of copies costs its size. Later rounds look at what the links found
+so far leave apart: at most SOME pairs of two groups of linked nodes, then all pairs that are left.
+Rows grow with nodes and links; only the bit tests inside a signature's group grow with its square.
+Every comparison reads the two sets and is exact (shingles as 64-bit hashes).
 
 Nulls and empty texts are documents of their own group. Rows with the same id are one
-document per distinct set; all get the smallest id of their group. A null id stays null
-and its group is named by its other members.
+document per distinct set; all get the smallest id of their group. A null id stays null; a group is
+named by its other members, and has a null name if it has none. Other columns are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +51,11 @@ from mailweave.session import scratch_path
 
 SMALL_SET = 64  # sets up to this size take the one-deletion form
 FIRST_SEGMENTS, FIRST_PART = 12, 16  # Q: so many segments, or one in so many if that is more
-PARITY_WORDS = 8  # 64-bit words of the parity bits
+# Parity bits of a set: so many 64-bit words up to so many shingles, twice as many for twice the size.
+PARITY_WORDS, PARITY_SIZE = 8, 1024
+FEW = 16  # nodes of a signature of which all pairs are compared
+MATRIX_NODES, MATRIX_BYTES = 4096, 16 << 20  # up to so many nodes are tested in one matrix
+SOME = 8  # pairs of two groups compared in the middle round
 WORD_LIMIT = 200_000  # word hashes a task remembers
 
 
@@ -121,8 +128,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, percent: i
 
     ``sigs`` is null where this task already gave the signatures of an equal set.
     The last ``weak`` signatures are those of left-out segments, of use only to sets that
-    index all their segments. ``parity`` has a bit for each of 64 * PARITY_WORDS hash buckets:
-    whether it holds an odd number of the set's shingles; null without signatures.
+    index all their segments. ``parity`` has a bit for each hash bucket: whether it holds an odd
+    number of the set's shingles; null without signatures.
     """
 
     def work():
@@ -148,11 +155,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, percent: i
                 pa.array(offsets(per_row).astype(np.int32)), pa.array(sigs.view(np.int64))
             )
             bits: list = [None] * len(sizes)
-            for i, words in zip(first, parity(values, bounds, first).tolist(), strict=True):
-                bits[i] = words
+            for i in first:
+                bits[i] = parity(values[bounds[i] : bounds[i + 1]])
             return [
                 part.column(0), pa.array(sizes), pa.array(names.view(np.int64)), lists,
-                pa.array(weak_row), pa.array(bits, pa.list_(pa.int64())),
+                pa.array(weak_row), pa.array(bits, pa.binary()),
             ]
 
         return handle
@@ -161,32 +168,183 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, percent: i
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     return map_slices(
         df.select(F.col(id_col).alias("id"), text), work,
-        f"id {kind}, n long, node long, sigs array<long>, weak int, parity array<long>",
+        f"id {kind}, n long, node long, sigs array<long>, weak int, parity binary",
     )
 
 
-def parity(values: np.ndarray, bounds: np.ndarray, rows: list[int]) -> np.ndarray:
-    """Parity bits of the sets ``rows``, as signed 64-bit words."""
-    if not rows:
-        return np.zeros((0, PARITY_WORDS), np.int64)
-    size = 64 * PARITY_WORDS
-    picked = np.array(rows)
-    counts = np.diff(bounds)[picked]
-    where = np.repeat(bounds[picked] - (np.cumsum(counts) - counts), counts)
-    where += np.arange(len(where))
-    bucket = (mix64(values[where] + np.uint64(5)) % np.uint64(size)).astype(np.int64)
-    cell = np.repeat(np.arange(len(rows)) * size, counts) + bucket
-    odd = (np.bincount(cell, minlength=len(rows) * size) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(rows), size), axis=1).view(np.int64)
-
-
-def may_link(percent: int) -> Column:
-    """Whether sizes and parity bits of two sets (``n``, ``parity`` and ``nx``, ``px``) allow a link."""
-    differ = sum(
-        F.bit_count(F.get("parity", i).bitwiseXOR(F.get("px", i))) for i in range(PARITY_WORDS)
-    )
-    close = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("nx"))
-    return close & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
+def parity(values: np.ndarray) -> bytes:
+    """Parity bits of a set; a set of twice the size has up to twice as many, and folding these by
+    XOR gives the shorter form."""
+    words = PARITY_WORDS
+    while len(values) * PARITY_WORDS > PARITY_SIZE * words:
+        words *= 2
+    size = 64 * words
+    bucket = (mix64(values + np.uint64(5)) % np.uint64(size)).astype(np.int64)
+    odd = (np.bincount(bucket, minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd).tobytes()
+
+
+class Nodes:
+    """Sizes and parity bits of the nodes of one signature."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], percent: int) -> None:
+        self.n, self.percent = n, percent
+        self.words = np.array([len(b) // 8 for b in bits])
+        self.rows: dict[int, np.ndarray] = {}  # by width, folded to the narrowest of a pair
+        for width in np.unique(self.words).tolist():
+            rows = np.zeros((len(bits), width), np.uint64)
+            for i, b in enumerate(bits):
+                if len(b) >= 8 * width:
+                    rows[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width))
+            self.rows[width] = rows
+
+    def near(self, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+        """Whether sizes and bits let the nodes ``x`` link with ``y``."""
+        nx, ny = self.n[x], self.n[y]
+        ok = 100 * np.minimum(nx, ny) >= self.percent * np.maximum(nx, ny)
+        narrow = np.minimum(self.words[x], self.words[y])
+        differ = np.zeros(len(y), np.int64)
+        for width, rows in self.rows.items():
+            at = np.flatnonzero(ok & (narrow == width))
+            left = rows[x[at]] if isinstance(x, np.ndarray) else rows[x]
+            differ[at] = np.bitwise_count(left ^ rows[y[at]]).sum(1, dtype=np.int64)
+        return ok & ((100 + self.percent) * differ <= (100 - self.percent) * (nx + ny))
+
+
+    def matrix(self) -> np.ndarray | None:
+        """:meth:`near` for all pairs at once; None where there is none."""
+        size, rows = len(self.n), self.rows[int(self.words.min())]
+        found = np.zeros((size, size), bool)
+        step = max(1, MATRIX_BYTES // (size * rows.shape[1] * 8))
+        for at in range(0, size, step):
+            part = slice(at, at + step)
+            differ = np.bitwise_count(rows[part, None] ^ rows[None]).sum(2, dtype=np.int64)
+            found[part] = (100 + self.percent) * differ <= (100 - self.percent) * (
+                self.n[part, None] + self.n[None]
+            )
+        np.fill_diagonal(found, False)
+        if not found.any():
+            return None
+        x, y = np.nonzero(found)
+        found[x, y] = self.near(x, y)
+        return found
+
+
+def spanning_pairs(nodes: Nodes, root: np.ndarray, some: int) -> list[tuple[int, int]]:
+    """Pairs that hold together all of a signature's groups of linked nodes (``root``) that the
+    test of :meth:`Nodes.near` does; at most ``some`` of any two groups."""
+    members: dict[int, list[int]] = {}
+    for i, r in enumerate(root.tolist()):
+        members.setdefault(r, []).append(i)
+    out, left = [], np.ones(len(root), bool)
+    matrix = None
+    if len(root) <= MATRIX_NODES:
+        matrix = nodes.matrix()
+        if matrix is None:
+            return []
+    for first in members:
+        if not left[members[first][0]]:
+            continue
+        waiting = [first]
+        left[members[first]] = False
+        while waiting:
+            used: dict[int, int] = {}
+            for i in members[waiting.pop()]:
+                if matrix is not None:
+                    others = np.flatnonzero(matrix[i] & left)
+                else:
+                    others = np.flatnonzero(left)
+                    others = others[nodes.near(i, others)]
+                for j in others.tolist():
+                    met = used.get(int(root[j]), 0)
+                    if met < some:
+                        out.append((i, j))
+                        used[int(root[j])] = met + 1
+            for r in used:
+                waiting.append(r)
+                left[members[r]] = False
+    return out
+
+
+def pairs_within(shared: DataFrame, percent: int, some: int | None) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of one signature and of different roots that may link.
+
+    ``shared`` has ``(sig, node, root, n, parity)``. Signatures of more than FEW nodes give
+    :func:`spanning_pairs`, or all such pairs where ``some`` is None.
+    """
+
+    def of_group(node, root, n, bits) -> tuple[np.ndarray, np.ndarray]:
+        nodes = Nodes(n, bits, percent)
+        if len(node) > FEW and some is not None:
+            found = np.array(spanning_pairs(nodes, root, some), np.int64).reshape(-1, 2)
+            return node[found[:, 0]], node[found[:, 1]]
+        a, b = [], []
+        for i in range(len(node) - 1):
+            later = np.arange(i + 1, len(node))
+            later = later[root[later] != root[i]]
+            later = later[nodes.near(i, later)]
+            a.append(np.full(len(later), node[i]))
+            b.append(node[later])
+        return np.concatenate(a), np.concatenate(b)
+
+    def small_groups(node, root, n, bits, starts, sizes) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of many groups of up to FEW nodes at once."""
+        nodes = Nodes(n, bits, percent)
+        xs, ys = [], []
+        for gap in range(1, int(sizes.max(initial=1))):
+            x = np.arange(len(node) - gap)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            same = (group[x] == group[x + gap]) & (root[x] != root[x + gap])
+            xs.append(x[same])
+            ys.append(x[same] + gap)
+        if not xs:
+            return node[:0], node[:0]
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        ok = nodes.near(x, y)
+        return node[x[ok]], node[y[ok]]
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []  # rows of the signature that the last batch ended in
+        for batch in batches:
+            kept.append(batch)
+            last = batch.column(0)[batch.num_rows - 1].as_py() if batch.num_rows else None
+            if last is None or (batch.column(0)[0].as_py() == last and batch.num_rows):
+                continue  # the signature may go on
+            table = pa.Table.from_batches(kept).combine_chunks()
+            sig = table.column(0).to_numpy()
+            whole = int(np.searchsorted(sig == last, True))
+            yield from done(table.slice(0, whole))
+            kept = table.slice(whole).to_batches()
+        if kept:
+            yield from done(pa.Table.from_batches(kept).combine_chunks())
+
+    def done(table: pa.Table):
+        if not table.num_rows:
+            return
+        sig, node, root, n = (table.column(i).to_numpy() for i in range(4))
+        bits = table.column(4).to_pylist()
+        starts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+        sizes = np.diff(np.append(starts, len(sig)))
+        small = np.repeat(sizes <= FEW, sizes)
+        at = np.flatnonzero(small)
+        parts = []
+        if len(at):
+            few = sizes[sizes <= FEW]
+            parts.append(small_groups(
+                node[at], root[at], n[at], [bits[i] for i in at.tolist()], offsets(few)[:-1], few
+            ))
+        for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+            if size > FEW:
+                part = slice(start, start + size)
+                parts.append(of_group(node[part], root[part], n[part], bits[part]))
+        a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    found = shared.repartition("sig").sortWithinPartitions("sig").select(
+        "sig", "node", "root", "n", "parity"
+    ).mapInArrow(run, "a long, b long")
+    return found.distinct()
 
 
 def segment_signatures(values, bounds, rows, percent):
@@ -249,26 +407,14 @@ def _join_halves(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
 
 
-def verified(
-    pairs: DataFrame, texts: DataFrame, width: int, percent: int
-) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose sets link; ``texts`` has ``(node, text)``."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose sets link; ``sets`` has ``(node, members)``."""
 
     def work():
-        shingles = Shingles(width)
-
         def handle(part: pa.RecordBatch) -> list:
-            sides = []
-            for c in (2, 3):
-                raw = part.column(c).cast(pa.binary()).to_pylist()
-                number: dict[bytes, int] = {}
-                at = [number.setdefault(t, len(number)) for t in raw]
-                values, bounds = shingles.sets(list(number))
-                sides.append((values, bounds, at))
-            (va, ba, ia), (vb, bb, ib) = sides
             good = []
-            for i, j in zip(ia, ib, strict=True):
-                x, y = va[ba[i] : ba[i + 1]], vb[bb[j] : bb[j + 1]]
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
@@ -276,9 +422,9 @@ def verified(
 
         return handle
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b")
     return map_slices(both, work, "a long, b long", column=3)
 
 
@@ -355,76 +501,90 @@ def linked_groups(
         rows.select(
             "sig", "node", F.min("node").over(group).alias("least"),
             F.max("node").over(group).alias("most"), F.min("weak").over(group).alias("all_weak"),
-        ).where("least <> most and not all_weak").select("sig", "node", "least").distinct(),
-        "shared",
-    )
-    # One document's text for each node that is compared.
-    compared = shared.select("node").distinct()
-    holders = index.where("n > 0").join(compared, "node", "left_semi").groupBy("node").agg(
-        F.min("id").alias("id")
-    )
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = written(
-        _one_text(source.join(holders, "id"), width), "texts"
-    )
-    stars = shared.where("node <> least").select(
-        F.col("least").alias("a"), F.col("node").alias("b")
-    ).distinct()
-    links = written(verified(stars, texts, width, percent), "links")
-    group_of = components(links, f"{folder}/first")
-    labelled = written(
-        shared.join(group_of, "node", "left").select(
-            "sig", "node", F.coalesce("root", "node").alias("root")
-        ), "labelled",
+        ).where("least <> most and not all_weak").select("sig", "node").distinct(), "shared",
     )
-    # Pairs of nodes from different groups that share a signature: the nodes outside the
-    # group of the signature's least root against all others.
-    mixed = labelled.select(
-        "*", F.min("root").over(group).alias("main"), F.max("root").over(group).alias("other")
-    ).where("main <> other").select("sig", "node", "root", "main")
     traits = index.where("parity is not null").groupBy("node").agg(
         F.first("n").alias("n"), F.first("parity").alias("parity")
     )
-    mixed = written(mixed.join(traits, "node"), "mixed")
-    outside = mixed.where("root <> main").select(
-        "sig", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"),
-        F.col("parity").alias("px"),
+    # A node goes by its least id, so that the least node of a group names it.
+    least = written(
+        index.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).select(
+            "node", F.struct(F.col("id").isNull().alias("bare"), "id", "node").alias("key")
+        ), "least",
     )
-    rest = outside.join(mixed, "sig").where(
-        (F.col("rx") != F.col("root")) & may_link(percent)
-        & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
-    ).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = rest.join(
-        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-        ["a", "b"], "left_anti",
-    )
-    more = written(verified(rest, texts, width, percent), "more")
-    final = components(links.union(more), f"{folder}/second")
-    named = index.join(final, "node", "left").select(
-        "id", "n", "node", F.coalesce("root", "node").alias("root")
+    links = sets = tested = final = None
+    for turn, some in enumerate((1, SOME, None)):
+        if turn:
+            now = shared.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            apart = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+            now = now.join(apart.where("x <> y").select("sig"), "sig", "left_semi")
+        else:
+            now = shared.join(traits, "node").withColumn("root", F.col("node"))
+        pairs = pairs_within(now, percent, some)
+        if turn:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, f"pairs{turn}")
+        if not turn:
+            # Every node that may link with another one is in a pair of the first turn.
+            wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            few = traits.join(wanted, "node", "left_semi")
+            shared = written(shared.join(few, "node"), "near")
+            sets = written(_sets(df, id_col, text_col, least, wanted, width), "sets")
+        found = verified(pairs, sets, percent)
+        for side in ("a", "b"):
+            named = least.select(F.col("node").alias(side), F.col("key").alias(f"{side}_key"))
+            found = found.join(named, side)
+        found = written(
+            found.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), f"links{turn}"
+        )
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        if turn == 0 or not found.isEmpty():
+            final = written(
+                components(links, f"{folder}/groups{turn}").select(
+                    "node.node", F.col("root.node").alias("root"), F.col("root.id").alias("name")
+                ), f"final{turn}",
+            )
+    named = least.join(final, "node", "left").select(
+        "node", F.when(F.col("root").isNull(), F.col("key.id")).otherwise(F.col("name")).alias("component_id")
     )
-    least = named.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    full = named.where("n > 0").join(least, "root").select("id", "n", "component_id")
-    empty = named.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    full = index.where("n > 0").join(named, "node").select("id", "n", "component_id")
+    empty = index.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.union(empty).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"
     )
 
 
-def _one_text(held: DataFrame, width: int) -> DataFrame:
-    """``(node, text)``, one row per node, from rows ``(id, text, node)``; rows that only
-    share their id with a node's document have another set and are left out."""
+def _sets(
+    df: DataFrame, id_col: str, text_col: str, least: DataFrame, wanted: DataFrame, width: int
+) -> DataFrame:
+    """``(node, members)`` of the wanted nodes: the sorted shingle hashes, packed.
+
+    A node's text is read by the least id that has it, so each is shipped once; texts of rows
+    without an id are hashed again to find the nodes among them.
+    """
 
     def work():
         shingles = Shingles(width)
 
         def handle(part: pa.RecordBatch) -> list:
             values, bounds = shingles.sets(part.column(1).cast(pa.binary()).to_pylist())
-            keep = pa.array(_node(values, bounds).view(np.int64) == part.column(0).to_numpy())
-            return [part.column(0).filter(keep), part.column(1).filter(keep)]
+            names = _node(values, bounds).view(np.int64)
+            # Another row of the same id has another set.
+            asked = part.column(0).to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(np.isnan(asked) | (names == part.column(2).to_numpy()))
+            members = [values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in keep.tolist()]
+            return [pa.array(names[keep]), pa.array(members, pa.binary())]
 
         return handle
 
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    rows = map_slices(held.select("node", text), work, "node long, text string")
-    return rows.dropDuplicates(["node"])
+    source = df.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
+    holders = least.join(wanted, "node", "left_semi").where("not key.bare").select("key.id", "node")
+    by_id = source.join(holders, "id").select(F.lit(1.0).alias("known"), "text", "node")
+    bare = source.where("id is null").select(
+        F.lit(None).cast("double").alias("known"), "text", F.lit(0).cast("long").alias("node")
+    )
+    hashed = map_slices(by_id.union(bare), work, "node long, members binary")
+    return hashed.join(wanted, "node", "left_semi").dropDuplicates(["node"])
