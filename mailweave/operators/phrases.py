@@ -15,6 +15,7 @@ from mailweave.functions.text import strip
 from mailweave.operators.exports import tidy_export
 from mailweave.operators.skew import number_rows
 from mailweave.session import materialize
+from mailweave.sources.files import write_files
 
 # Phrases of one automaton, tens of megabytes for names.
 PHRASE_BLOCK = 50_000
@@ -179,8 +180,18 @@ def redact_documents(
 
 
 def redacted_name(path: Column) -> Column:
-    """``dir/stem.ext`` to ``stem.redacted.ext``."""
+    """``dir/stem.ext`` to ``dir/stem.redacted.ext``, so equal names in two folders stay apart."""
     name = F.substring_index(path, "/", -1)
+    folder = F.substring(path, F.lit(1), F.length(path) - F.length(name))
     stem = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1)
     suffix = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
-    return F.concat(stem, F.lit(".redacted"), suffix)
+    return F.concat(folder, stem, F.lit(".redacted"), suffix)
+
+
+def redact_files(
+    files: DataFrame, folder: str, phrases: DataFrame | None = None, **options
+) -> DataFrame:
+    """Redact ``(path, text)`` rows and write one file each below ``folder``, under
+    :func:`redacted_name` of its path. Gives ``(name, n_bytes)``."""
+    done = redact_documents(files.select("path", "text"), phrases, **options)
+    return write_files(done.withColumn("path", redacted_name(F.col("path"))), folder, "path", "text")

@@ -13,6 +13,8 @@ from mailweave.plans import inputs
 from mailweave.plans.registry import query
 from mailweave.session import scratch_path
 from mailweave.sources import extract, index_store, listing
+from mailweave.sources.files import write_files
+from mailweave.sources.html import HTML_MIME, html_text
 
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -83,17 +85,50 @@ def s3(spark, sf):
 @query(
     "s4_read_content",
     f"""WITH {inputs.SQL_FILES}
-    SELECT file_id, path, body AS content_text, strlen(body) AS n_bytes FROM files""",
+    SELECT 'corpus / ' || replace(path, '/', ' / ') AS path, name, 'text/plain' AS mime_type,
+           body AS content_text, strlen(body) AS n_bytes FROM files""",
 )
 def s4(spark, sf):
-    return inputs.files(spark, sf).select(
-        "file_id",
-        "path",
-        F.decode("content", "UTF-8").alias("content_text"),
+    """The documents as files on storage, read back as bytes."""
+    folder = f"{scratch_path(spark, 's4')}/corpus"
+    write_files(inputs.files(spark, sf), folder, "path")
+    return listing.read_folder(spark, folder).select(
+        "path", "name", "mime_type", F.decode("content", "UTF-8").alias("content_text"),
         F.octet_length("content").cast("bigint").alias("n_bytes"),
     )
 
 
+# Every fiftieth page is a broken file.
+_PAGE_TEXT = """
+WITH bare AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+      '(?i)</?(a|b|i|em|strong|span)( [^>]*)?>', '', 'g') AS t
+  FROM pages WHERE html IS NOT NULL),
+lines AS (
+  SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', chr(10), 'g'),
+      '&copy;', '©'), '&quot;', chr(34)), '&#x27;', chr(39)), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t
+  FROM bare)
+SELECT 'page-' || page_id || '.html' AS name,
+  CASE WHEN page_id % 50 <> 7 THEN array_to_string(list_filter(list_transform(
+    string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\\s]+', ' ', 'g'))), lambda x: x <> ''), chr(10))
+  END AS text,
+  CASE WHEN page_id % 50 = 7 THEN 'ValueError: not a text file' END AS extract_error
+FROM lines"""
+
+
+@query("u2_extract_html", _PAGE_TEXT)
+def u2(spark, sf):
+    """The pages as HTML files on storage, read back and extracted by a plug-in."""
+    pages = inputs.table(spark, sf, "pages").where("html is not null")
+    html = F.when(F.col("page_id") % 50 == 7, F.concat(F.lit("\0"), "html")).otherwise(F.col("html"))
+    folder = f"{scratch_path(spark, 'u2')}/pages"
+    name = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html"))
+    write_files(pages.select(name.alias("name"), html.alias("content")), folder)
+    files = listing.read_folder(spark, folder)
+    return extract.extract_text(files, {HTML_MIME: html_text}).select("name", "text", "extract_error")
+
+
 @query(
     "s5_extract_text",
     f"""WITH {inputs.SQL_FILES}

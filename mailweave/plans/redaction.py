@@ -8,6 +8,8 @@ from mailweave.functions import fixed, redact, tidy
 from mailweave.operators import exports, phrases
 from mailweave.plans import inputs
 from mailweave.plans.registry import query
+from mailweave.session import scratch_path
+from mailweave.sources import listing
 
 
 def _leaky(spark, sf):
@@ -432,13 +434,16 @@ def r11(spark, sf):
     "s14_redact_files",
     f"""WITH {inputs.SQL_FILES}, raw AS (SELECT path, body AS text FROM files),
     {sql_sanitize('raw', 'path')}, {sql_tidy('raw_clean', 'path')}
-    SELECT replace(string_split(path, '/')[-1], '.txt', '.redacted.txt') AS output_name, text
+    SELECT 'redacted / ' || replace(replace(path, '.txt', '.redacted.txt'), '/', ' / ') AS output_path, text
     FROM tidied""",
 )
 def s14(spark, sf):
+    """Files are written, listed and read back."""
     files = inputs.files(spark, sf).select("path", F.decode("content", "UTF-8").alias("text"))
-    return phrases.redact_documents(files).select(
-        phrases.redacted_name(F.col("path")).alias("output_name"), "text"
+    folder = f"{scratch_path(spark, 's14')}/redacted"
+    phrases.redact_files(files, folder)
+    return listing.read_folder(spark, folder).select(
+        F.col("path").alias("output_path"), F.decode("content", "UTF-8").alias("text")
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,22 +15,6 @@ from mailweave.operators.chunking import chunk_documents
 Extractor = Callable[[bytes], str]
 
 
-def pdf_text(data: bytes) -> str:
-    """Text of all readable pages; needs ``pypdf`` on the executors."""
-    from pypdf import PdfReader
-
-    pages = []
-    for page in PdfReader(io.BytesIO(data)).pages:
-        try:
-            pages.append(page.extract_text() or "")
-        except Exception:  # noqa: BLE001 - one broken page must not lose the rest
-            continue
-    joined = "\n\n".join(p for p in pages if p.strip()).strip()
-    if not joined:
-        raise ValueError("PDF yielded no text")
-    return joined
-
-
 def _plugged(extractors: dict[str, Extractor], mime: Column, content: Column) -> Column:
     @F.pandas_udf("text string, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

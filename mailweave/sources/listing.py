@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mailweave.functions import fixed
 from mailweave.session import shared_dir
+from mailweave.sources.html import HTML_MIME
 
 FILE_COLUMNS = ("file_id", "name", "mime_type", "path", "modified_time")
 
@@ -85,7 +86,10 @@ def read_folder(spark: SparkSession, folder: str, *, recursive: bool = True) ->
 
     MIME types come from the file ending.
     """
-    endings = {"txt": "text/plain", "md": "text/markdown", "pdf": fixed.PDF_MIME}
+    endings = {"txt": "text/plain", "md": "text/markdown", "pdf": fixed.PDF_MIME, "html": HTML_MIME}
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = system.makeQualified(place).toString()
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())

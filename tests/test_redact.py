@@ -206,4 +206,4 @@ def test_whole_redaction(spark):
 def test_output_names(spark):
     df = spark.createDataFrame([("/a/b/thread.txt",), ("x",), (".hidden",), ("a.tar.gz",)], "p string")
     got = [r[0] for r in df.select(phrases.redacted_name(F.col("p"))).collect()]
-    assert got == ["thread.redacted.txt", "x.redacted", ".hidden.redacted", "a.tar.redacted.gz"]
+    assert got == ["/a/b/thread.redacted.txt", "x.redacted", ".hidden.redacted", "a.tar.redacted.gz"]
