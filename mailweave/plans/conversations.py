@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import replace
 
 
@@ -562,3 +564,43 @@ def st7(spark, sf):
     return rows.groupBy("message_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+
+
+_SLICES = """
+cut AS (SELECT *, least(5, CAST(floor(6 * (epoch(ts) - lo) / (hi - lo + 1)) AS BIGINT)) AS part
+        FROM events, (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) AS hi FROM events))"""
+
+
+@query(
+    "st7_event_time_duplicates",
+    f"""WITH {_SLICES}
+    SELECT CAST(part AS BIGINT) AS part, count(DISTINCT event_id) AS messages, count(DISTINCT event_id) AS rows
+    FROM cut GROUP BY part""",
+)
+def st7_event_time(spark, sf):
+    """The events as a stream of files by time, each with repeats of its own rows and of a third of
+    the file before; each event comes out once."""
+    events = inputs.table(spark, sf, "events").select("event_id", "ts")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    low, high = events.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.least(F.lit(5), F.floor(6 * (seconds - low) / (high - low + 1))).cast("bigint")
+    rows = events.select(
+        F.col("event_id").cast("string").alias("message_id"), part.alias("part"),
+        F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3 == 0).alias("again"),
+    )
+    source = scratch_path(spark, "arrivals")
+    for i in range(6):
+        own = rows.where(F.col("part") == i)
+        sent = own.unionByName(own.where("again")).unionByName(rows.where((F.col("part") == i - 1) & F.col("again")))
+        sent.drop("again").coalesce(1).write.mode("append").parquet(source)
+    arrivals = spark.readStream.schema("message_id string, part bigint, at timestamp").option(
+        "maxFilesPerTrigger", 1
+    ).parquet(source)
+    out = scratch_path(spark, "deduplicated")
+    lateness = f"{math.ceil((high - low) / 3)} seconds"
+    scanner.deduplicated(arrivals, "at", lateness).writeStream.format("parquet").option(
+        "checkpointLocation", scratch_path(spark, "progress")
+    ).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("part").agg(
+        F.count_distinct("message_id").alias("messages"), F.count(F.lit(1)).alias("rows")
+    )

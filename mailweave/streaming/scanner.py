@@ -7,7 +7,6 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +21,7 @@ from mailweave.sources.inbox import thread_messages
 # A mailbox table, or a function that reads it anew for every batch.
 Mailbox = DataFrame | Callable[[], DataFrame]
 _LOG = logging.getLogger(__name__)
+_IDS = "message_id string, thread_id string"
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,8 @@ class ScanOptions:
     ``remember_drafts``: a thread drafted by an earlier batch counts as having a
     draft. Turn it off where the mailbox itself shows the drafts that ``send`` makes;
     a thread can then get a new draft once the old one was sent or deleted.
+    ``event_time`` names the column of a stream's arrivals with the time they carry; repeats within
+    ``lateness`` are then dropped before they reach a batch.
     """
 
     max_chars: int = fixed.THREAD_MAX_CHARS
@@ -38,6 +40,8 @@ class ScanOptions:
     classifier: Classifier | None = None
     hot_rows: int = skew.HOT_ROWS
     remember_drafts: bool = True
+    event_time: str | None = None
+    lateness: str = "1 day"
 
 
 def route(
@@ -172,17 +176,20 @@ def settled(routed: DataFrame, *, dry_run: bool) -> DataFrame:
     return done
 
 
-def _earlier(spark: SparkSession, results: str, batch_id: int) -> DataFrame | None:
-    """Routed rows of all other batches."""
-    try:
-        rows = spark.read.parquet(results)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return rows.where(F.col("batch").cast("string") != str(batch_id)).select(
-        "message_id", "thread_id", "outcome"
-    )
+def _open_rows(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Messages that the batch before left open; each batch carries over what stays open."""
+    before = [int(b) for b in state.batches(spark, path) if int(b) < batch_id]
+    return spark.read.schema(_IDS).parquet(f"{path}/batch={max(before)}") if before else None
+
+
+def deduplicated(arrivals: DataFrame, event_time: str, lateness: str) -> DataFrame:
+    """Each message of a stream once, by the time it carries.
+
+    Repeats that come at most ``lateness`` after the first one are dropped, and so are rows that are
+    late by more than that; ids older than the watermark are forgotten, so the state is bounded by
+    ``lateness``. Later repeats meet the stored outcomes.
+    """
+    return arrivals.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["message_id"])
 
 
 def process_batch(
@@ -200,6 +207,10 @@ def process_batch(
     written once and read back for both uses. ``send`` receives the reply requests
     and must be idempotent per batch id.
 
+    Open messages are carried from batch to batch in a small table, and stored outcomes and drafted
+    threads are looked up for the batch's own ids only, so what a batch reads does not grow with
+    the history. Every few batches the stores are compacted.
+
     A dry run keeps results of its own (``dry-results``) and stores only the skips,
     under batch keys of its own, so a real pass later drafts what it left.
     """
@@ -208,14 +219,19 @@ def process_batch(
     key = f"{kind}{batch_id}"
     results, work = f"{base}/{kind}results", f"{base}/work-{key}"
     fresh = batch.select("message_id", "thread_id")
-    earlier = _earlier(spark, results, batch_id)
+    held = _open_rows(spark, f"{base}/{kind}open", batch_id)
+    if held is not None:
+        fresh = fresh.unionByName(held)
+    # Batches before this one have ended and will not run again.
+    for store in ("state", "drafts"):
+        state.compact(spark, f"{base}/{store}", key, state.COMPACT_AFTER)
+    known = state.outcomes_of(fresh, f"{base}/state", without_batch=key)
     drafted = None
-    if earlier is not None:
-        failed = earlier.where(F.col("outcome").isNull())
-        fresh = fresh.unionByName(failed.select("message_id", "thread_id"))
-        if options.remember_drafts and not options.dry_run:
-            drafted = earlier.where(F.col("outcome") == fixed.OUTCOME_DRAFTED)
-    known = state.read_state(spark, f"{base}/state", without_batch=key)
+    if options.remember_drafts and not options.dry_run:
+        ours = fresh.select(F.col("thread_id").alias("message_id"))
+        drafted = state.outcomes_of(ours, f"{base}/drafts", without_batch=key).select(
+            F.col("message_id").alias("thread_id")
+        )
     messages = mailbox() if callable(mailbox) else mailbox
     target = f"{results}/batch={batch_id}"
     try:
@@ -226,10 +242,16 @@ def process_batch(
     routed = spark.read.parquet(target)
     if send is not None and not options.dry_run:
         send(reply_requests(routed), batch_id)
-    rows = settled(routed, dry_run=options.dry_run)
-    state.append_outcomes(
-        rows.withColumn("processed_at", F.current_timestamp()), f"{base}/state", key
-    )
+    routed.where(F.col("outcome").isNull()).select("message_id", "thread_id").write.mode(
+        "overwrite"
+    ).parquet(f"{base}/{kind}open/batch={batch_id}")
+    rows = settled(routed, dry_run=options.dry_run).withColumn("processed_at", F.current_timestamp())
+    if not options.dry_run:
+        threads_drafted = reply_requests(rows).select(
+            F.col("thread_id").alias("message_id"), "outcome", "processed_at"
+        )
+        state.append_outcomes(threads_drafted, f"{base}/drafts", key)
+    state.append_outcomes(rows, f"{base}/state", key)
 
 
 def start_scan(
@@ -249,6 +271,8 @@ def start_scan(
     of files does not see mail that arrives later. A dry run has progress of its own.
     """
     kind = "dry-" if options.dry_run else ""
+    if options.event_time:
+        arrivals = deduplicated(arrivals, options.event_time, options.lateness)
     writer = arrivals.writeStream.option("checkpointLocation", f"{base}/{kind}progress")
     trigger = {"availableNow": True} if once else {"processingTime": f"{interval_seconds} seconds"}
     return (

@@ -39,10 +39,12 @@ def test_paths_below_a_folder_of_the_same_name(spark, tmp_path):
 
 def test_only_a_missing_log_is_empty(spark, tmp_path):
     assert state.read_state(spark, str(tmp_path / "none")).count() == 0
-    (tmp_path / "log").mkdir()
-    (tmp_path / "log" / "part-0.parquet").write_text("no parquet")
+    batch = tmp_path / "log" / "batch=0"
+    batch.mkdir(parents=True)
+    (batch / "_SUCCESS").write_text("")
+    (batch / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception, match="not a Parquet file"):
-        state.read_state(spark, str(tmp_path / "log")).count()
+        state.read_state(spark, str(tmp_path)).count()
 
 
 def test_wrong_query_length_is_refused(spark):

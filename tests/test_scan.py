@@ -1,3 +1,7 @@
+import os
+import time
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 from test_threads import frame, message
@@ -96,16 +100,86 @@ def test_one_draft_per_thread_over_batches(spark, tmp_path):
 
 
 def test_compacted_state_keeps_batches(spark, tmp_path):
-    base, target = str(tmp_path / "scan"), str(tmp_path / "small")
+    base = str(tmp_path / "scan")
     for batch_id, names in enumerate((ALL[:3], ALL)):
         scanner.process_batch(ids(spark, *names), batch_id, mailbox(spark), base, OPTIONS)
-    state.compact(spark, f"{base}/state", target)
-    rows = {r.message_id: r.outcome for r in state.read_state(spark, target).collect()}
-    assert rows == WANT
-    first = state.read_state(spark, target, without_batch=1).collect()
+    assert state.compact(spark, f"{base}/state")
+    assert outcomes(spark, base) == WANT
+    first = state.read_state(spark, f"{base}/state", without_batch=1).collect()
     assert sorted(r.message_id for r in first) == ["a:0", "b:0", "c:0"]
 
 
+def test_what_a_batch_reads_does_not_grow(spark, tmp_path, monkeypatch):
+    """Forty batches: buckets are split as the history grows, and a look-up opens few of them."""
+    monkeypatch.setattr(state, "BUCKET_ROWS", 60)
+    path, want, read = str(tmp_path / "state"), {}, []
+    at = datetime(2026, 1, 1)
+    for batch in range(40):
+        rows = [(f"m{batch}-{i}", "drafted", at) for i in range(30)]
+        if batch:
+            rows.append((f"m{batch - 1}-0", "non_travel", at + timedelta(days=batch)))
+        want.update({m: o for m, o, _ in rows})
+        state.compact(spark, path, batch, after=4)
+        asked = spark.createDataFrame([(f"m{k}-1",) for k in (0, batch, batch + 7)], "message_id string")
+        seen = state.outcomes_of(asked, path)
+        if batch > 7:
+            read.append(sum(os.path.getsize(f.removeprefix("file:")) for f in seen.inputFiles()))
+        assert {r.message_id for r in seen.collect()} == ({"m0-1"} if batch else set())
+        state.append_outcomes(spark.createDataFrame(rows, state.STATE_SCHEMA).coalesce(1), path, batch)
+    assert {r.message_id: r.outcome for r in state.read_state(spark, path).collect()} == want
+    assert max(read[-8:]) < 1.5 * max(read[:8])
+    assert len(os.listdir(f"{path}/log")) <= 5
+    again = state.read_state(spark, path, without_batch=3).where("message_id like 'm3-%'").collect()
+    assert [r.message_id for r in again] == ["m3-0"]  # batch 4 wrote it again
+
+
+def test_open_messages_are_carried_in_a_small_table(spark, tmp_path):
+    down, base = {"now": True}, str(tmp_path)
+
+    def model(text):
+        if down["now"]:
+            raise TimeoutError("no answer")
+        return "yes en"
+
+    for batch_id, name in enumerate(("a:0", "c:0", "d:0")):
+        options = scanner.ScanOptions(classifier=batch_classifier(model))
+        scanner.process_batch(ids(spark, name), batch_id, mailbox(spark), base, options)
+        held = spark.read.parquet(f"{base}/open/batch={batch_id}")
+        assert held.count() == batch_id + 1
+    down["now"] = False
+    options = scanner.ScanOptions(classifier=batch_classifier(model))
+    for batch_id in (3, 3, 4):
+        scanner.process_batch(ids(spark), batch_id, mailbox(spark), base, options)
+        assert spark.read.parquet(f"{base}/open/batch={batch_id}").count() == 0
+    assert set(outcomes(spark, base)) == {"a:0", "c:0", "d:0"}
+
+
+def test_repeats_in_a_stream_with_event_time(spark, tmp_path):
+    """Repeats within the watermark are dropped, late rows too, and old ids are forgotten."""
+    source, day = str(tmp_path / "in"), datetime(2026, 1, 1)
+    files = [[(f"m{d}-{i}", "t", day + timedelta(days=d)) for i in range(20)] for d in range(8)]
+    for d in range(1, 8):
+        files[d] += files[d - 1][:5] + files[d][:3]  # repeats of yesterday and today
+    files[7].append(("late", "t", day))
+    for d, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "message_id string, thread_id string, at timestamp")
+        df.coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.05)
+    arrivals = spark.readStream.schema("message_id string, thread_id string, at timestamp").option(
+        "maxFilesPerTrigger", 1
+    ).parquet(source)
+    query = (
+        scanner.deduplicated(arrivals, "at", "2 days").writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    got = [r.message_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(f"m{d}-{i}" for d in range(8) for i in range(20))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 4 * 20 + 20 < len(got)
+
+
 def test_mail_that_arrives_between_batches(spark, tmp_path):
     box, base = str(tmp_path / "box"), str(tmp_path / "scan")
 

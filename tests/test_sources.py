@@ -234,9 +234,9 @@ def test_state_log(spark, tmp_path):
     batch(1, ("a", "drafted", datetime(2026, 1, 2)))
     batch(1, ("a", "drafted", datetime(2026, 1, 2)))
     # A file from before outcomes were stored.
-    spark.createDataFrame([("old", datetime(2025, 1, 1))], "message_id string, processed_at timestamp").write.parquet(f"{path}/batch=old")
+    spark.createDataFrame([("old", datetime(2025, 1, 1))], "message_id string, processed_at timestamp").write.parquet(f"{path}/log/batch=old")
     got = {r.message_id: r.outcome for r in state.read_state(spark, path).collect()}
     assert got == {"a": "drafted", "b": "drafted", "old": "drafted"}
-    state.compact(spark, path, str(tmp_path / "small"))
-    again = {r.message_id: r.outcome for r in state.read_state(spark, str(tmp_path / "small")).collect()}
-    assert again == got
+    for waiting in (True, False):
+        assert state.compact(spark, path) is waiting
+        assert {r.message_id: r.outcome for r in state.read_state(spark, path).collect()} == got
