@@ -12,37 +12,53 @@ from pyspark.sql import functions as F
 
 from mailweave.llm import jaccard, kneser_ney, language, packing, secrets
 from mailweave.llm.queries import WORD_BPE, trusted, vocabulary
-from mailweave.session import scratch_path
+from mailweave.session import materialize, scratch_path
 
 # Share of a text's letters that its main language must have.
 LEAST_SHARE = 0.5
+ROW = "_row"
 # Near copies: so much Jaccard similarity of the sets of word shingles of this width.
 COPY_WORDS, COPY_PERCENT = 5, 80
 
 
+def _with_row_numbers(docs: DataFrame) -> DataFrame:
+    """The documents with a number of its own for every row, stored so that it stays: ids may be
+    null or come several times, and a decision is about a row."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that read unlike trusted text."""
-    judged = kneser_ney.quality(docs, trusted(spark, sf_dir))
-    return docs.join(judged.where("rejected").select("doc_id"), "doc_id", "left_anti")
+    rows = _with_row_numbers(docs)
+    known = rows.select("doc_id", ROW).join(trusted(spark, sf_dir), "doc_id", "left_semi")
+    judged = kneser_ney.quality(rows, known.select(ROW), id_col=ROW)
+    return rows.join(judged.where("rejected").select(ROW), ROW, "left_anti").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without texts that have no letters or no main language."""
     aside = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    found = language.identify(docs, language.train(docs.where(~aside)))
-    rejected = found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SHARE))
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti")
+    model = language.train(docs.where(~F.coalesce(aside, F.lit(False))))
+    # Rows go through the operator whole, as ids of their own.
+    whole = docs.select(F.struct(*docs.columns).alias(ROW), "text")
+    found = language.identify(whole, model, id_col=ROW)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.select(f"{ROW}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies.
+    """One row of each group of near copies: that of the least id.
 
     Near copies share at least COPY_PERCENT of their shingles of COPY_WORDS words; op2 has limits
-    of its own.
+    of its own. Texts without words are no copies of each other.
     """
-    groups = jaccard.linked_groups(docs, width=COPY_WORDS, percent=COPY_PERCENT)
-    others = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti")
+    rows = _with_row_numbers(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", ROW).alias("key")
+    groups = jaccard.linked_groups(
+        rows.select(key, "text"), id_col="key", width=COPY_WORDS, percent=COPY_PERCENT
+    )
+    others = groups.where("key <> component_id").select(f"key.{ROW}")
+    return rows.join(others, ROW, "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
