@@ -338,7 +338,10 @@ def st4(spark, sf):
     path = scratch_path(spark, "state")
     state.append_outcomes(_log(spark, sf), path, 0)
     state.append_outcomes(_log(spark, sf), path, 0)
-    rows = state.read_state(spark, path)
+    state.compact(spark, path)
+    # The buckets of all ids, then the log of a batch on top.
+    state.append_outcomes(_log(spark, sf), path, 1)
+    rows = state.outcomes_of(_log(spark, sf), path)
     return rows.select("message_id", "outcome", F.unix_seconds("processed_at").alias("done_at"))
 
 

@@ -312,23 +312,25 @@ mean_query AS (
 )"""
 
 
+# Lines of mail exports: a print title, a header, and a header broken over two lines.
+TITLE = "Correo de Ferrocarril Norte - Horarios 11/02/31, 7:05 AM"
+HEADER = "Irene Vidal <irene.vidal@posta.example> 7 de octubre de 2031 a las 11:46 a.m. Para: mesa"
+BROKEN_HEADER = ("Bruno Sala <bsala@correo.example>", "19 de febrero de 2030 a las 6:15 p.m. Para: mesa")
+
+
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as thread exports: lines parted by message headers."""
-    spanish = "Ana <a@example.com> 23 de marzo de 2026 a las 2:58 p.m. Para: desk"
-    wrapped = "Luis <l@example.com>\n25 de abril de 2026 a las 9:00 a.m. Para: desk"
-    title = "Correo de Agency - Trip 4/20/26, 8:23 PM"
+    wrapped = "\n".join(BROKEN_HEADER)
     d = table(spark, sf_dir, "documents")
-    body = F.replace("text", F.lit(".\n"), F.lit(f".\n{title} \n{title}\n{spanish}\n"))
+    body = F.replace("text", F.lit(".\n"), F.lit(f".\n{TITLE} \n{TITLE}\n{HEADER}\n"))
     body = F.replace(body, F.lit(",\n"), F.lit(f",\r\n{wrapped}\n\n\n\n"))
     return d.select("doc_id", body.alias("text"))
 
 
-SQL_EXPORT_TEXT = """
+SQL_EXPORT_TEXT = f"""
 replace(replace(text, '.' || chr(10),
-  '.' || chr(10) || 'Correo de Agency - Trip 4/20/26, 8:23 PM ' || chr(10)
-  || 'Correo de Agency - Trip 4/20/26, 8:23 PM' || chr(10)
-  || 'Ana <a@example.com> 23 de marzo de 2026 a las 2:58 p.m. Para: desk' || chr(10)),
+  '.' || chr(10) || '{TITLE} ' || chr(10) || '{TITLE}' || chr(10) || '{HEADER}' || chr(10)),
   ',' || chr(10),
-  ',' || chr(13) || chr(10) || 'Luis <l@example.com>' || chr(10)
-  || '25 de abril de 2026 a las 9:00 a.m. Para: desk' || chr(10) || chr(10) || chr(10) || chr(10))
+  ',' || chr(13) || chr(10) || '{BROKEN_HEADER[0]}' || chr(10)
+  || '{BROKEN_HEADER[1]}' || chr(10) || chr(10) || chr(10) || chr(10))
 """
