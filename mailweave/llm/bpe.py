@@ -17,7 +17,9 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -213,12 +215,19 @@ class Units(dict):
         self.flat, self.stop = np.zeros(0, np.int32), np.zeros(0, bool)
         self.used = np.zeros(0, np.int64)
         self.new = []
+        self.forget()
         for unit in self.seed:
             self[unit]
         self.resolve()
 
+    def forget(self) -> None:
+        """Start the table of pre-tokens anew; several units share a pre-token."""
+        self.known = _Numbers()
+        self.pre_count, self.pre_flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
     def shrink(self) -> None:
         """Forget all but the seed and the most used units."""
+        self.forget()
         self.used[: len(self.seed)] += 1 << 40
         kept = np.argsort(-self.used, kind="stable")[: len(self.seed) + self.limit // 2]
         kept.sort()
@@ -239,32 +248,54 @@ class Units(dict):
         text = unicodedata.normalize("NFC", text)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
-    def pre_tokens(self, unit) -> list[str]:
-        if isinstance(unit, tuple):
-            return self.pattern.findall(unit[0])
+    def pre_tokens(self, units: list[str]) -> list[Sequence[str]]:
+        """The pre-tokens of each unit between blanks."""
+        find = self.pattern.findall
         if self.v.words:
-            unit = self.normal(unit)
-            return [unit] if unit.isalpha() else self.pattern.findall(unit)
-        return [" " + unit] if unit.isalpha() else self.pattern.findall(" " + unit)
+            # Nothing composes over a line end, and no unit holds one.
+            return [
+                (u,) if u.isalpha()
+                else (u[:-1], u[-1]) if u[-1:] in _MARKS and u[:-1].isalpha()
+                else find(u)
+                for u in self.normal("\n".join(units)).split("\n")
+            ] if units else []
+        return [
+            (" " + u,) if u.isalpha()
+            else (" " + u[:-1], u[-1]) if u[-1:] in _MARKS and u[:-1].isalpha()
+            else find(" " + u)
+            for u in units
+        ]
 
     def resolve(self) -> None:
         """Encode the new units."""
         new, self.new = self.new, []
         if not new:
             return
-        numbers = _Numbers()
-        counts, members, special = [], [], {}
-        for i, unit in enumerate(new):
-            if isinstance(unit, tuple) and len(unit) == 2:
-                special[i] = self.v.specials[unit[1]]
-                counts.append(0)
-                continue
-            found = self.pre_tokens(unit)
-            counts.append(len(found))
-            members += map(numbers.__getitem__, found)
-        flat, per = self.pairs.encode([p.encode("utf-8", "surrogatepass") for p in numbers])
+        plain = [u for u in new if u.__class__ is str]
+        found = self.pre_tokens(plain)
+        special = {}
+        if len(plain) < len(new):
+            rest, whole = iter(found), []
+            for i, u in enumerate(new):
+                if u.__class__ is str:
+                    whole.append(next(rest))
+                elif len(u) == 2:
+                    special[i] = self.v.specials[u[1]]
+                    whole.append(())
+                else:
+                    whole.append(self.pattern.findall(u[0]))
+            found = whole
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        members = np.fromiter(
+            map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum())
+        )
+        fresh = self.known.fresh
+        self.known.fresh = []
+        flat, per = self.pairs.encode([p.encode("utf-8", "surrogatepass") for p in fresh])
+        self.pre_flat = np.concatenate([self.pre_flat, flat])
+        self.pre_count = np.concatenate([self.pre_count, per])
         ids, taken = ragged_take(
-            np.cumsum(per) - per, per, flat, np.array(members, np.int64)
+            np.cumsum(self.pre_count) - self.pre_count, self.pre_count, self.pre_flat, members
         )
         ends = offsets(taken)[offsets(counts)]
         sizes = np.diff(ends)
@@ -276,7 +307,7 @@ class Units(dict):
         self.first = np.concatenate([self.first, first])
         self.count = np.concatenate([self.count, sizes])
         self.flat = np.concatenate([self.flat, ids, np.array(extra, np.int32)])
-        stops = [isinstance(u, str) and u[-1:] in ".!?:;" and bool(u) for u in new]
+        stops = [u.__class__ is str and u[-1:] in _STOPS for u in new]
         self.stop = np.concatenate([self.stop, np.array(stops, bool)])
 
     def split(self, text: str) -> list:
@@ -325,13 +356,20 @@ class Units(dict):
 
 
 class _Numbers(dict):
-    """Numbers keys in the order they come."""
+    """Numbers keys in the order they come; ``fresh`` are those not yet dealt with."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
 
     def __missing__(self, key) -> int:
         number = self[key] = len(self)
+        self.fresh.append(key)
         return number
 
 
+# A pre-token of its own after letters, and the end of a sentence.
+_MARKS, _STOPS = frozenset(".,;:!?"), frozenset(".!?:;")
 _BLANKS = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " "]
 
 
