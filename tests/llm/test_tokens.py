@@ -61,6 +61,33 @@ def test_counts(odd):
     assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
 
 
+def test_small_tables_count_the_same(odd, monkeypatch):
+    v, tok = queries.vocabulary(queries.BYTE_BPE), library(queries.BYTE_BPE)
+    monkeypatch.setattr(token_counts, "KEPT", 3)
+    monkeypatch.setattr(token_counts, "CACHED", 3)
+    monkeypatch.setattr(token_counts, "FREQUENT", 5)
+    want = Counter(
+        (r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect()
+    )
+    got = token_counts.token_counts(odd, v).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == want
+
+
+def test_first_tier_has_the_exact_top_and_its_lengths(odd, monkeypatch):
+    v, tok = queries.vocabulary(queries.WORD_BPE), library(queries.WORD_BPE)
+    monkeypatch.setattr(token_counts, "KEPT", 2)
+    monkeypatch.setattr(token_counts, "FREQUENT", 9)
+    split = bpe.Units(v).split
+    want = Counter(u for r in odd.collect() for u in split(r.text or "") if isinstance(u, str))
+    top = sorted(want.items(), key=lambda x: (-x[1], x[0].encode()))[:9]
+    units = token_counts.frequent_units(odd, v)
+    assert [(r.unit, r.n) for r in units.collect()] == top
+    lengths = {bytes(r.key): r.length for r in token_counts.unit_lengths(units, v).collect()}
+    assert lengths == {
+        token_counts.key_of(u): len(tok.encode(u, add_special_tokens=False).ids) for u, _ in top
+    }
+
+
 def test_pack_keeps_every_id_once(odd):
     tok = library(queries.WORD_BPE)
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
