@@ -11,21 +11,9 @@ STAFF_DOMAINS = ("@Agency.example",)
 BASE_MS = 1_767_225_600_000
 
 
-# Tables whose rows are costly to work on.
-TEXT_TABLES = ("documents", "conversations", "pages", "embeddings")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table.
-
-    A text table that comes in fewer splits than there are cores is spread over
-    them; a large table has more splits than that and is read as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """One test table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
