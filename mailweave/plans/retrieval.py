@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from mailweave.functions import answers, fixed
@@ -450,19 +452,17 @@ pool AS (
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY lower(title), source_id) AS n FROM pool_clean
 ),
-example AS (
-  SELECT '{fixed.EXAMPLES_HEADER}' || chr(10) || chr(10) || '{fixed.EXAMPLES_OPEN}'
-         || chr(10) || chr(10)
-         || string_agg('Example ' || n || ' — ' || title || chr(10) || text,
-                       chr(10) || chr(10) ORDER BY n)
-         || chr(10) || chr(10) || '{fixed.EXAMPLES_CLOSE}' AS example_block
-  FROM numbered
+parts AS (
+  SELECT n AS part_no, 'Example ' || n || ' — ' || title || chr(10) || text AS part FROM numbered
+  UNION ALL SELECT 0, '{fixed.EXAMPLES_HEADER}' || chr(10) || chr(10) || '{fixed.EXAMPLES_OPEN}'
+  FROM numbered HAVING count(*) > 0
+  UNION ALL SELECT count(*) + 1, '{fixed.EXAMPLES_CLOSE}' FROM numbered HAVING count(*) > 0
 )"""
 
 
-@query("a7_example_block", f"WITH {_SQL_EXAMPLES} SELECT * FROM example")
+@query("a7_example_block", f"WITH {_SQL_EXAMPLES} SELECT * FROM parts")
 def a7(spark, sf):
-    return prompts.example_block(_pool(spark, sf))
+    return prompts.example_parts(_pool(spark, sf))
 
 
 def _sql_text(value: str) -> str:
@@ -571,6 +571,7 @@ blocks AS (
   GROUP BY thread_id
 )"""
 _SYSTEM = "You write for the guest desk."
+_POOL = "benchmark"
 _SQL_PROMPTS = f"""WITH {inputs.SQL_MAILBOX}, {sql_transcripts(4000)}, {SQL_CHUNKS},
     {_SQL_THREAD_BLOCKS}, {_SQL_EXAMPLES},
     prompts AS (
@@ -579,33 +580,54 @@ _SQL_PROMPTS = f"""WITH {inputs.SQL_MAILBOX}, {sql_transcripts(4000)}, {SQL_CHUN
       || CASE WHEN trim(turn, {_STRIP}) = '' THEN transcript ELSE trim(turn, {_STRIP}) END
       || chr(10) || chr(10)
       || CASE WHEN block IS NOT NULL THEN {_sql_text(fixed.PROMPT_REFERENCE_USE)} || block
-           || chr(10) || chr(10) || (SELECT example_block FROM example) || chr(10) || chr(10)
-           ELSE '' END
-      || {_sql_text(fixed.PROMPT_THREAD)} || transcript || chr(10) || chr(10)
-      || replace({_sql_text(fixed.PROMPT_REPLY)}, '{{lang}}', {_LANG_NAME}) AS prompt
+           || chr(10) || chr(10) ELSE '' END AS opening,
+      CASE WHEN block IS NOT NULL THEN '{_POOL}' END AS examples,
+      {_sql_text(fixed.PROMPT_THREAD)} || transcript || chr(10) || chr(10)
+      || replace({_sql_text(fixed.PROMPT_REPLY)}, '{{lang}}', {_LANG_NAME}) AS closing
     FROM transcripts t JOIN last USING (thread_id) LEFT JOIN blocks USING (thread_id))"""
 
 
 def _prompts(spark, sf, system=None):
     rows = _thread_rows(spark, sf)
     blocks = prompts.reference_blocks(thread_hits(spark, sf, rows))
-    return prompts.prompt_table(rows, blocks, prompts.example_block(_pool(spark, sf)), system)
+    return prompts.prompt_table(rows, blocks, _POOL, system)
 
 
-@query("a9_prompt_table", f"{_SQL_PROMPTS} SELECT thread_id, prompt FROM prompts")
+@query("a9_prompt_table", f"{_SQL_PROMPTS} SELECT * FROM prompts")
 def a9(spark, sf):
     return _prompts(spark, sf)
 
 
 @query(
     "prompts_from_threads",
-    f"{_SQL_PROMPTS} SELECT thread_id, {_sql_text(_SYSTEM)} AS system, prompt FROM prompts",
+    f"{_SQL_PROMPTS} SELECT *, {_sql_text(_SYSTEM)} AS system FROM prompts",
 )
 def prompts_from_threads(spark, sf):
     """From mail threads to model input: transcript, search text, vector, hits, prompt."""
     return _prompts(spark, sf, _SYSTEM)
 
 
+@query(
+    "a9_sent_prompts",
+    f"""{_SQL_PROMPTS},
+    block AS (SELECT string_agg(part, chr(10) || chr(10) ORDER BY part_no) || chr(10) || chr(10)
+              AS text FROM parts),
+    sent AS (SELECT thread_id, opening
+               || CASE WHEN examples IS NULL THEN '' ELSE (SELECT text FROM block) END
+               || closing AS prompt FROM prompts)
+    SELECT thread_id, length(prompt) || ' ' || sha256(prompt) AS reply,
+           CAST(NULL AS VARCHAR) AS error FROM sent""",
+)
+def a9_sent(spark, sf):
+    """What a model receives: every prompt with its examples, as length and digest."""
+
+    def digest(prompt: str) -> str:
+        return f"{len(prompt)} {hashlib.sha256(prompt.encode()).hexdigest()}"
+
+    parts = materialize(prompts.example_parts(_pool(spark, sf)), "example-parts")
+    return prompts.send_prompts(_prompts(spark, sf), digest, parts)
+
+
 @query(
     "j6_examples_need_reference",
     """WITH ids AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS thread_id FROM conversations
@@ -614,15 +636,17 @@ def prompts_from_threads(spark, sf):
     UNION ALL SELECT thread_id, false, false FROM ids""",
 )
 def j6(spark, sf):
-    """Prompts over the index of all documents and over an empty one."""
+    """Prompts over the index of all documents and over an empty one, as a model receives them."""
     rows = _thread_rows(spark, sf)
     hits = thread_hits(spark, sf, rows)
-    block = prompts.example_block(_pool(spark, sf))
-    shown = F.contains("prompt", F.lit(fixed.EXAMPLES_OPEN)).alias("shows_examples")
+    parts = materialize(prompts.example_parts(_pool(spark, sf)), "example-parts")
+    opening = fixed.EXAMPLES_OPEN
 
     def table(found, indexed):
-        made = prompts.prompt_table(rows, prompts.reference_blocks(found), block)
-        return made.select("thread_id", F.lit(indexed).alias("indexed"), shown)
+        made = prompts.prompt_table(rows, prompts.reference_blocks(found), _POOL)
+        sent = prompts.send_prompts(made, lambda prompt: str(opening in prompt), parts)
+        shown = F.col("reply").cast("boolean").alias("shows_examples")
+        return sent.select("thread_id", F.lit(indexed).alias("indexed"), shown)
 
     return table(hits, True).unionByName(table(hits.limit(0), False))
 

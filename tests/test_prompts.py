@@ -22,32 +22,63 @@ def pool(spark):
 
 
 def test_example_block(spark):
-    block = prompts.example_block(pool(spark)).first().example_block
+    parts = prompts.example_parts(pool(spark))
+    assert [r.part_no for r in parts.orderBy("part_no").collect()] == [0, 1, 2, 3]
+    block = prompts.block_text(parts)
     assert block.startswith(fixed.EXAMPLES_HEADER + "\n\n--- EXAMPLE RESPONSES ---\n\n")
     assert "Example 1 — Alpha\nA\n\nExample 2 — beta\nB\n\n--- END" in block
-    assert prompts.example_block(pool(spark).limit(0)).first().example_block == ""
+    empty = prompts.example_parts(pool(spark).limit(0))
+    assert empty.count() == 0 and prompts.block_text(empty) == ""
     with pytest.raises(prompts.PoolTooLargeError):
-        prompts.example_block(pool(spark), max_chars=5)
+        prompts.block_text(parts, max_chars=5)
 
 
-def prompt(spark, turn, blocks, examples):
+def prompt(spark, turn, hits, parts, named="pool"):
     rows = spark.createDataFrame([("t", "es", turn, "THREAD")], "thread_id string, language string, turn string, transcript string")
-    return prompts.prompt_table(rows, blocks, examples).first().prompt
+    table = prompts.prompt_table(rows, prompts.reference_blocks(hits), named)
+    return prompts.send_prompts(table, lambda text: text, parts).first().reply
 
 
 def test_prompt(spark):
     hits = spark.createDataFrame([("t", 1, "p", "facts")], HITS)
-    examples = prompts.example_block(pool(spark))
-    full = prompt(spark, " when? ", prompts.reference_blocks(hits), examples)
+    parts = prompts.example_parts(pool(spark))
+    full = prompt(spark, " when? ", hits, parts)
     assert full.startswith("LANGUAGE REQUIREMENT: Write your entire reply in Spanish. ")
     assert full.endswith(":\nTHREAD\n\nYOUR REPLY (in Spanish):")
     assert "(primary task):\nwhen?\n\nUSE OF REFERENCE MATERIAL" in full
     assert full.index("REFERENCE MATERIAL ---") < full.index("--- EXAMPLE") < full.index("CLIENT EMAIL")
+    assert "--- END EXAMPLE RESPONSES ---\n\nCLIENT EMAIL" in full
     # Without a reference block there are no examples either.
-    bare = prompt(spark, "  ", prompts.reference_blocks(hits.limit(0)), examples)
+    bare = prompt(spark, "  ", hits.limit(0), parts)
     assert "REFERENCE MATERIAL" not in bare and "EXAMPLE" not in bare
     assert "(primary task):\nTHREAD\n\nCLIENT" in bare
-    assert "EXAMPLE" not in prompt(spark, "x", prompts.reference_blocks(hits), None)
+    without = prompt(spark, "x", hits, parts, None)
+    assert "EXAMPLE" not in without
+    assert prompt(spark, "x", hits, None) == without
+    assert prompt(spark, "x", hits, prompts.example_parts(pool(spark).limit(0))) == without
+
+
+def test_prompts_hold_no_pool(spark):
+    """The table names the pool; its plan reads nothing of it."""
+    hits = spark.createDataFrame([("t", 1, "p", "facts"), ("u", 1, "p", "facts")], HITS)
+    rows = spark.createDataFrame([(i, "it", "x", "y") for i in "tuv"], "thread_id string, language string, turn string, transcript string")
+    table = prompts.prompt_table(rows, prompts.reference_blocks(hits), "pool", "sys")
+    got = {r.thread_id: r for r in table.collect()}
+    assert [got[i].examples for i in "tuv"] == ["pool", "pool", None]
+    assert all(r.system == "sys" and "EXAMPLE" not in r.opening + r.closing for r in got.values())
+
+
+def test_failed_sends_are_rows(spark):
+    rows = spark.createDataFrame([(1, "en", "boom", "y"), (2, "en", "fine", "y"), (3, "en", "none", "y")], "thread_id long, language string, turn string, transcript string")
+    table = prompts.prompt_table(rows, prompts.reference_blocks(spark.createDataFrame([], HITS).withColumn("query_id", F.lit(0))))
+
+    def answer(text):
+        if "boom" in text:
+            raise RuntimeError("busy")
+        return None if "none" in text else "ok"
+
+    got = {r.thread_id: (r.reply, r.error) for r in prompts.send_prompts(table, answer).collect()}
+    assert got == {1: (None, "RuntimeError: busy"), 2: ("ok", None), 3: (None, "TypeError: answer is NoneType, not str")}
 
 
 def test_classifiers(spark):
