@@ -469,11 +469,10 @@ def st6(spark, sf):
 
 
 def arrivals(spark, sf_dir):
-    """The conversation table as a file stream of message ids, all roles."""
-    source = (
-        spark.readStream.schema("conv_id bigint, turn bigint, role string, text string")
-        .option("pathGlobFilter", "conversations*.parquet")
-        .parquet(sf_dir)
+    """The conversation table, one file or a folder of files, as a file stream of message ids, all roles."""
+    # A stream refuses the plain path of a file; a pattern finds files and folders.
+    source = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").parquet(
+        f"{sf_dir}/conversations*.parquet"
     )
     thread = F.col("conv_id").cast("string")
     return source.where(F.col("role") == "user").select(
