@@ -142,6 +142,23 @@ def prompt_table(
     )
 
 
+def whole_prompts(
+    table: DataFrame, parts: DataFrame | None = None, max_chars: int = MAX_EXAMPLE_CHARS
+) -> DataFrame:
+    """:func:`prompt_table` with every prompt written out as ``prompt``, its examples included.
+
+    The example block, within ``max_chars``, goes to the executors once and is put into a prompt
+    where the prompt is written.
+    """
+    block = "" if parts is None else block_text(parts, max_chars)
+    sent = table.sparkSession.createDataFrame([(block and f"{block}\n\n",)], "_block string")
+    shown = F.when(F.col("examples").isNull(), "").otherwise(F.col("_block"))
+    kept = [c for c in table.columns if c not in ("opening", "examples", "closing")]
+    return table.crossJoin(F.broadcast(sent)).select(
+        *kept, F.concat("opening", shown, "closing").alias("prompt")
+    )
+
+
 def send_prompts(
     table: DataFrame,
     answer: Callable[[str], str],

@@ -593,18 +593,32 @@ def _prompts(spark, sf, system=None):
     return prompts.prompt_table(rows, blocks, _POOL, system)
 
 
-@query("a9_prompt_table", f"{_SQL_PROMPTS} SELECT * FROM prompts")
+# The prompts written out, with the whole example block in each that shows examples.
+_SQL_WHOLE = f"""{_SQL_PROMPTS},
+    block AS (SELECT string_agg(part, chr(10) || chr(10) ORDER BY part_no) || chr(10) || chr(10)
+              AS text FROM parts),
+    whole AS (SELECT thread_id, opening
+               || CASE WHEN examples IS NULL THEN '' ELSE (SELECT text FROM block) END
+               || closing AS prompt FROM prompts)"""
+
+
+def _whole_prompts(spark, sf, system=None):
+    parts = materialize(prompts.example_parts(_pool(spark, sf)), "example-parts")
+    return prompts.whole_prompts(_prompts(spark, sf, system), parts)
+
+
+@query("a9_prompt_table", f"{_SQL_WHOLE} SELECT * FROM whole")
 def a9(spark, sf):
-    return _prompts(spark, sf)
+    return _whole_prompts(spark, sf)
 
 
 @query(
     "prompts_from_threads",
-    f"{_SQL_PROMPTS} SELECT *, {_sql_text(_SYSTEM)} AS system FROM prompts",
+    f"{_SQL_WHOLE} SELECT *, {_sql_text(_SYSTEM)} AS system FROM whole",
 )
 def prompts_from_threads(spark, sf):
     """From mail threads to model input: transcript, search text, vector, hits, prompt."""
-    return _prompts(spark, sf, _SYSTEM)
+    return _whole_prompts(spark, sf, _SYSTEM)
 
 
 @query(

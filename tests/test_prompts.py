@@ -102,3 +102,26 @@ def test_model_questions(spark):
     row = df.select(classify.topic_prompt(F.col("s"), F.col("b")), classify.language_prompt(F.col("b"))).first()
     assert "Subject: Hi {subject}\n\nBody:\n" + "x" * 8000 == row[0][row[0].index("Subject"):]
     assert row[1].startswith("Detect the language") and fixed.LANGUAGE_SAMPLE_BANNER in row[1]
+
+
+def test_whole_prompts_hold_the_pool(spark):
+    """Each prompt below a reference block has all examples, none is left as a name; as sent."""
+    hits = spark.createDataFrame([("t", 1, "p", "facts"), ("u", 1, "p", "facts")], HITS)
+    rows = spark.createDataFrame([(i, "it", "x", "y") for i in "tuv"], "thread_id string, language string, turn string, transcript string")
+    parts = prompts.example_parts(pool(spark))
+    table = prompts.prompt_table(rows, prompts.reference_blocks(hits), "pool", "sys")
+    whole = prompts.whole_prompts(table, parts)
+    assert whole.columns == ["thread_id", "system", "prompt"]
+    got = {r.thread_id: r.prompt for r in whole.collect()}
+    assert got == {r.thread_id: r.reply for r in prompts.send_prompts(table, lambda text: text, parts).collect()}
+    assert ["Example 1 — Alpha\nA\n\nExample 2 — beta\nB" in got[i] for i in "tuv"] == [True, True, False]
+    bare = {r.thread_id: r.prompt for r in prompts.whole_prompts(table).collect()}
+    assert not any("EXAMPLE" in p for p in bare.values()) and bare["v"] == got["v"]
+
+
+def test_prompt_queries_return_whole_prompts(spark, sf_dir):
+    from mailweave.plans import retrieval
+
+    asked = retrieval.prompts_from_threads(spark, sf_dir).collect()
+    titles = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    assert asked and all(f"Example {titles} — " in r.prompt for r in asked)
