@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mailweave.functions import fixed, vectors
 from mailweave.operators.skew import number_rows
@@ -26,7 +27,17 @@ SCORE_PLACES = 12
 # Bytes of query vectors sent to every task at a time: 2,048 queries of 3,072
 # dimensions in double precision.
 QUERY_BYTES = 50_331_648
-_SCORE_CELLS = 1_000_000
+_SCORE_CELLS = 4_000_000
+# Rows scored in double precision at a time.
+_EXACT_ROWS = 8_192
+# Half the distance from 1 to the next number in single precision, and products (lengths of a chunk and
+# a query) above which that precision is not used. Terms below _TINY may be lost in it.
+_ROUGH_UNIT = 2.0**-24
+_ROUGH_SIZE = 1e30
+_TINY = 1e-30
+# Tasks per core that read the chunks: each gives out up to k rows per query.
+_WAVES = 2
+_OUT_ROWS = 10_000
 
 
 def top_k(
@@ -53,39 +64,81 @@ def top_k(
 
 
 class _Best:
-    """Running k best rows per query inside one task."""
+    """Running k best rows per query inside one task.
+
+    Scores are first taken in single precision. Only rows that, with the largest error of such a
+    score, may still be among the k best are scored in double precision, and these decide.
+    """
 
     def __init__(self, queries: np.ndarray, k: int) -> None:
-        self.queries_t = np.ascontiguousarray(queries.T, dtype=np.float64)
+        self.queries = np.ascontiguousarray(queries, dtype=np.float64)
+        self.rough_t = np.ascontiguousarray(self.queries.T, dtype=np.float32)
+        self.reach = float(np.linalg.norm(self.queries, axis=1).max(initial=0.0))
         self.k = k
-        self.floor = np.full(queries.shape[0], -np.inf)
-        self.rows: pd.DataFrame | None = None
+        self.floor = np.full(len(self.queries), -np.inf)
+        # Kept rows in order of query and score: query, score and the KEY columns.
+        self.query = np.empty(0, np.int64)
+        self.score = np.empty(0)
+        self.keys = [np.empty(0, object) for _ in KEY]
 
     def candidates(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, score) of all rows that may still be among the k best."""
-        scores = np.round(matrix @ self.queries_t, SCORE_PLACES)
-        n = scores.shape[0]
-        floor = self.floor
-        if n > self.k:
-            floor = np.maximum(floor, np.partition(scores, n - self.k, axis=0)[n - self.k])
-        row, query = np.nonzero(scores >= floor)
-        return query, row, scores[row, query]
-
-    def merge(self, found: pd.DataFrame) -> None:
-        if found.empty:
+        n, dimension = matrix.shape
+        size = float(np.linalg.norm(matrix, axis=1).max(initial=0.0)) * self.reach
+        if not size < _ROUGH_SIZE:  # also where a value is no number
+            scores, slack = matrix @ self.queries.T, 0.0
+        else:
+            scores = matrix.astype(np.float32) @ self.rough_t
+            slack = (dimension + 8) * _ROUGH_UNIT * size + _TINY
+        least = self.floor - slack - 10.0**-SCORE_PLACES
+        new = np.isneginf(self.floor)
+        if n > self.k and new.any():
+            open_scores = scores if new.all() else scores[:, new]
+            kth = np.partition(open_scores, n - self.k, axis=0)[n - self.k]
+            least[new] = kth - 2 * slack - 10.0**-SCORE_PLACES
+        # Rounded down, for a limit above the true one would lose rows.
+        limit = np.nextafter(least.astype(scores.dtype), scores.dtype.type(-np.inf))
+        row, query = np.divmod(np.flatnonzero(scores >= limit), scores.shape[1])
+        exact = np.empty(len(row))
+        for start in range(0, len(row), _EXACT_ROWS):
+            part = slice(start, start + _EXACT_ROWS)
+            exact[part] = np.einsum("ij,ij->i", matrix[row[part]], self.queries[query[part]])
+        exact = np.round(exact, SCORE_PLACES)
+        good = exact >= self.floor[query]
+        return query[good], row[good], exact[good]
+
+    def merge(self, query: np.ndarray, score: np.ndarray, keys: list[np.ndarray]) -> None:
+        if not len(query):
             return
-        rows = found if self.rows is None else pd.concat([self.rows, found])
-        rows = rows.sort_values(
-            ["_query", "score", *KEY], ascending=[True, False, True, True], kind="stable"
-        )
-        rows = rows[rows.groupby("_query", sort=False).cumcount() < self.k]
-        full = rows.groupby("_query").score.agg(["size", "min"])
-        full = full[full["size"] == self.k]
-        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
-        self.rows = rows
+        query, score = np.append(self.query, query), np.append(self.score, score)
+        keys = [np.append(old, new) for old, new in zip(self.keys, keys, strict=True)]
+        order = np.lexsort((-score, query))
+        place = self._places(query[order])
+        # The keys decide where the k-th score comes again behind it.
+        again = np.flatnonzero(place == self.k)
+        again = again[score[order][again] == score[order][again - 1]]
+        if len(again):
+            tied = np.zeros(len(self.queries), bool)
+            tied[query[order][again]] = True
+            at = np.flatnonzero(tied[query[order]])
+            some = order[at]
+            columns = dict(zip(KEY, (k[some] for k in keys), strict=True))
+            frame = pd.DataFrame({"_query": query[some], "_score": -score[some], **columns})
+            order[at] = some[frame.sort_values(["_query", "_score", *KEY]).index.to_numpy()]
+        order = order[place < self.k]
+        self.query, self.score = query[order], score[order]
+        self.keys = [k[order] for k in keys]
+        full = np.flatnonzero(place[place < self.k] == self.k - 1)
+        self.floor[self.query[full]] = self.score[full]
+
+    @staticmethod
+    def _places(query: np.ndarray) -> np.ndarray:
+        """Place from 0 of each row among the rows of its query, which lie together."""
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        return np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
 
     def step(self) -> int:
-        return max(1, _SCORE_CELLS // max(1, self.queries_t.shape[1]))
+        return max(1, _SCORE_CELLS // max(1, len(self.queries)))
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -103,18 +156,16 @@ def _scan_arrow(best: _Best, batches: Iterator[pa.RecordBatch]) -> None:
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
             vecs = part.column(part.schema.get_field_index("unit_embedding"))
-            query, row, score = best.candidates(_matrix(vecs, len(best.queries_t)))
+            query, row, score = best.candidates(_matrix(vecs, best.queries.shape[1]))
             if not len(row):
                 continue
-            kept = pa.Table.from_batches([part]).drop_columns(["unit_embedding"])
-            found = kept.take(pa.array(row)).to_pandas()
-            best.merge(found.assign(_query=query, score=score))
+            keys = [np.array(part.column(part.schema.get_field_index(c)).to_pylist(), object) for c in KEY]
+            best.merge(query, score, [k[row] for k in keys])
 
 
-def _output(best: _Best, ids: np.ndarray, names: list[str]) -> pd.DataFrame:
-    if best.rows is None:
-        return pd.DataFrame(columns=names)
-    return best.rows.assign(query_id=ids[best.rows["_query"].to_numpy()])[names]
+def _output(best: _Best, ids: np.ndarray, schema: pa.Schema) -> pa.Table:
+    columns = {"query_id": ids[best.query], "score": best.score, **dict(zip(KEY, best.keys, strict=True))}
+    return pa.table({n: pa.array(columns[n], schema.field(n).type) for n in schema.names}, schema)
 
 
 def _hit_schema(chunks: DataFrame, queries: DataFrame) -> T.StructType:
@@ -162,11 +213,13 @@ def retrieve(
         empty = _ranked(spark.createDataFrame([], schema), 1)
         return _with_columns(empty, wanted, columns, 1)
     path = scratch_path(spark, "hits")
+    # A fixed number of tasks, so that what they give out grows with the queries only.
+    vecs = wanted.select(*KEY, "unit_embedding").coalesce(_WAVES * spark.sparkContext.defaultParallelism)
     for block in _blocks(units, facts.n, max(1, query_bytes // (8 * facts.most))):
         sent = spark.sparkContext.broadcast(
             (block["query_id"].to_numpy(), np.vstack(block["unit"].to_numpy()))
         )
-        found = wanted.select(*KEY, "unit_embedding").mapInArrow(_scorer(sent, k, schema), schema)
+        found = vecs.mapInArrow(_scorer(sent, k, schema), schema)
         _ranked(found, k).write.mode("append").parquet(path)
         sent.unpersist()
     return _with_columns(spark.read.parquet(path), wanted, columns, k)
@@ -185,16 +238,13 @@ def _blocks(units: DataFrame, total: int, size: int) -> Iterator[pd.DataFrame]:
 
 def _scorer(sent, k: int, schema: T.StructType):
     """Task function: keys and scores of the k best rows per query."""
-    names = schema.names
+    arrow = to_arrow_schema(schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
         best = _Best(matrix, k)
         _scan_arrow(best, batches)
-        if best.rows is not None:
-            yield from pa.Table.from_pandas(
-                _output(best, ids, names), preserve_index=False
-            ).to_batches()
+        yield from _output(best, ids, arrow).to_batches(_OUT_ROWS)
 
     return score
 

@@ -133,3 +133,29 @@ def test_embedding_is_deterministic_and_checked(spark):
             embedding.checked_vectors(broken, ["a", "b"])
         with pytest.raises(Exception, match="vector"):
             embedding.embed_texts(docs, broken).collect()
+
+
+def test_near_ties_are_decided_in_double_precision():
+    """Scores that single precision cannot tell apart, copies, and rows before and after the floor is set."""
+    rng = np.random.default_rng(7)
+    queries = rng.normal(size=(9, 16))
+    queries /= np.linalg.norm(queries, axis=1)[:, None]
+    base = queries[rng.integers(0, 9, 300)] + rng.normal(size=(300, 16)) * 10.0 ** -rng.integers(3, 11, 300)[:, None]
+    rows = np.concatenate([base, base[:40]])
+    ids = np.array([f"s{i % 97:02d}" for i in range(340)], object)
+    index = np.array([i // 97 for i in range(340)], object)
+    best = retrieval._Best(queries, 4)
+    assert best.rough_t.dtype == np.float32
+    scored = 0
+    for start in range(0, 340, 20):
+        part = slice(start, start + 20)
+        query, row, score = best.candidates(rows[part])
+        scored += len(row)
+        best.merge(query, score, [ids[part][row], index[part][row]])
+    exact = np.round(np.einsum("ij,kj->ik", queries, rows), retrieval.SCORE_PLACES)
+    want = [
+        sorted((-exact[q, i], ids[i], index[i]) for i in range(340))[:4] for q in range(9)
+    ]
+    got = [(-s, *k) for s, *k in zip(best.score, *best.keys)]
+    assert [got[4 * q : 4 * q + 4] for q in range(9)] == want
+    assert scored < 9 * 340 // 4
