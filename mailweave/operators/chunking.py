@@ -7,12 +7,14 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.functions import fixed
+from mailweave.functions.batches import by_row
 
+_TEXTS = pa.list_(pa.string())
 _BREAK = re.compile(fixed.PARAGRAPH_BREAK_PATTERN)
 
 
@@ -71,11 +73,7 @@ def chunk_sizes(chunk_tokens: int, overlap_tokens: int) -> tuple[int, int]:
 def split_oversized(paragraph: Column, max_chars: int) -> Column:
     """Word runs of one paragraph as ``ARRAY<STRING>``."""
 
-    @F.pandas_udf("array<string>")
-    def runs(values: pd.Series) -> pd.Series:
-        return values.map(lambda p: list(_word_runs(p, max_chars)), na_action="ignore")
-
-    return runs(paragraph)
+    return by_row(lambda p: list(_word_runs(p, max_chars)), "array<string>", _TEXTS)(paragraph)
 
 
 def chunk_texts(
@@ -90,11 +88,7 @@ def chunk_texts(
     """
     limit, overlap = chunk_sizes(chunk_tokens, overlap_tokens)
 
-    @F.pandas_udf("array<string>")
-    def packed(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: _chunks(t, limit, overlap), na_action="ignore")
-
-    return packed(text)
+    return by_row(lambda t: _chunks(t, limit, overlap), "array<string>", _TEXTS)(text)
 
 
 def chunk_documents(

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailweave.functions.batches import slices
+
 
 class Embedder(Protocol):
     """Anything that turns a batch of texts into one vector each."""
@@ -80,14 +82,11 @@ def embed_texts(
 ) -> DataFrame:
     """Add an ``ARRAY<FLOAT>`` column; texts travel in Arrow batches."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        step = max(1, embedder.batch_size)
-        for series in batches:
-            texts = series.tolist()
-            done: list[np.ndarray] = []
-            for start in range(0, len(texts), step):
-                done.extend(checked_vectors(embedder, texts[start : start + step]))
-            yield pd.Series(done, dtype=object)
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in slices(batches, max(1, embedder.batch_size)):
+            found = checked_vectors(embedder, part.to_pylist())
+            ends = np.cumsum([0, *map(len, found)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
 
     return df.withColumn(output, vectors(F.col(text)))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.functions import fixed, tidy
+from mailweave.functions.batches import by_row
 from mailweave.functions.text import strip
 
 _ENGLISH = re.compile(fixed.HEADER_ENGLISH_PATTERN, re.IGNORECASE)
@@ -65,11 +65,7 @@ def join_wrapped_headers(
     ``possible`` is a cheaper test made first.
     """
 
-    @F.pandas_udf("array<string>")
-    def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            yield series.map(lambda ls: _join_passes(list(ls)), na_action="ignore")
-
+    join = by_row(_join_passes, "array<string>", pa.list_(pa.string()))
     needed = tidy.has_wrapped_header(F.col(lines))
     if possible is not None:
         needed = possible & needed

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.functions import fixed
+from mailweave.functions.batches import slices
 from mailweave.functions.redact import sanitize
 from mailweave.functions.text import strip
 from mailweave.operators.exports import tidy_export
@@ -134,7 +135,7 @@ def replace_phrases(df: DataFrame, pairs: Sequence[tuple[str, str]], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = PhraseRules(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             done = [None if t is None else rules.replace(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
 

@@ -95,3 +95,26 @@ def test_random_texts_match_spec(spark):
         by_id = {r.i: r.c for r in got}
         for i, t in texts:
             assert by_id[i] == spec(t, size, overlap), (t, size, overlap)
+
+
+def test_python_sees_few_rows_at_a_time(spark):
+    """A long batch is cut up before Python objects are made of it, and comes out whole and in order."""
+    import pyarrow as pa
+    from mailweave.functions import batches
+    from mailweave.operators import embedding
+
+    array = pa.array([str(i) if i % 7 else None for i in range(1000)])
+    parts = list(batches.slices([array, array.slice(0, 0)]))
+    assert max(map(len, parts)) == batches.SLICE_ROWS and pa.concat_arrays(parts) == array
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "if(id % 7 = 0, null, repeat(concat('w', id, ' '), 40)) AS text")
+    got = rows.select("id", chunk_texts(F.col("text"), 10, 0).alias("c")).collect()
+    assert all((r.c is None) if r.id % 7 == 0 else set(" ".join(r.c).split()) == {f"w{r.id}"} for r in got)
+
+    class Counting:
+        name, batch_size = "counting", 5
+
+        def embed(self, texts):
+            return [[float(len(texts)), float(t[1:].split()[0])] for t in texts]
+
+    made = embedding.embed_texts(rows.where("text is not null"), Counting()).collect()
+    assert all(r.embedding[1] == r.id and r.embedding[0] <= 5 for r in made)
