@@ -18,8 +18,8 @@ from mailweave.operators.skew import number_rows
 from mailweave.session import materialize
 from mailweave.sources.files import write_files
 
-# Phrases of one automaton, tens of megabytes for names.
-PHRASE_BLOCK = 50_000
+# Phrases of one automaton, some hundred megabytes for names.
+PHRASE_BLOCK = 200_000
 
 
 def distinct_phrases(phrases: DataFrame) -> DataFrame:
@@ -152,7 +152,8 @@ def redact_phrases(
     after another, with the texts written in between.
     """
     pairs = stand_ins(phrases, style).withColumn("_chars", F.length("phrase"))
-    placed = number_rows(pairs, [F.desc("_chars"), F.col("place")], "_turn")
+    # Numbered once; each block reads its own rows of the stored list.
+    placed = materialize(number_rows(pairs, [F.desc("_chars"), F.col("place")], "_turn"), "phrases")
     total = placed.count()
     for start in range(0, total, PHRASE_BLOCK):
         if start:

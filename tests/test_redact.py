@@ -207,3 +207,17 @@ def test_output_names(spark):
     df = spark.createDataFrame([("/a/b/thread.txt",), ("x",), (".hidden",), ("a.tar.gz",)], "p string")
     got = [r[0] for r in df.select(phrases.redacted_name(F.col("p"))).collect()]
     assert got == ["/a/b/thread.redacted.txt", "x.redacted", ".hidden.redacted", "a.tar.redacted.gz"]
+
+
+def test_phrase_list_is_numbered_once(spark, monkeypatch):
+    """Blocks are read from one stored list, and names by the hundred thousand are one block."""
+    assert phrases.PHRASE_BLOCK >= 150_000
+    monkeypatch.setattr(phrases, "PHRASE_BLOCK", 3)
+    listed = spark.createDataFrame([(i, f"Name{i:02d}") for i in range(8)], "pos long, phrase string")
+    made = []
+    keep = phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda df, label, *a: made.append(label) or keep(df, label, *a))
+    texts = spark.createDataFrame([("name07 and NAME00",)], "text string")
+    got = phrases.redact_phrases(texts, listed, style="numbered").first().text
+    assert got == f"{phrases.fixed.NUMBERED_STAND_IN}8 and {phrases.fixed.NUMBERED_STAND_IN}1"
+    assert made == ["phrases", "redacted", "redacted"]
