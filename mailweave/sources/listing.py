@@ -15,6 +15,9 @@ from mailweave.sources.html import HTML_MIME
 
 FILE_COLUMNS = ("file_id", "name", "mime_type", "path", "modified_time")
 
+# Tasks per core that read the files of a folder.
+READ_WAVES = 16
+
 
 def root_paths(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """``roots(folder_id)`` with their display name, or the id when unknown."""
@@ -94,6 +97,8 @@ def read_folder(spark: SparkSession, folder: str, *, recursive: bool = True) ->
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
+        # Spark counts each file as megabytes, so small files would make a task of every few.
+        .coalesce(READ_WAVES * spark.sparkContext.defaultParallelism)
     )
     name = F.substring_index("path", "/", -1)
     ending = F.lower(F.substring_index(name, ".", -1))

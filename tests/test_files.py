@@ -101,3 +101,18 @@ def test_pages_become_text(spark):
     got = {r.name: (r.text, r.extract_error) for r in extract.extract_text(df, {HTML_MIME: html_text}).collect()}
     assert got["a"] == (want, None) and got["b"] == (None, "ValueError: not a text file")
     assert got["c"] == (None, None) and got["d"][1] == "Unsupported MIME type: image/png"
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """A folder of many small files is not one task for every few of them."""
+    for i in range(1200):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    put = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = listing.read_folder(spark, str(tmp_path))
+        most = listing.READ_WAVES * spark.sparkContext.defaultParallelism
+        assert 1 < found.rdd.getNumPartitions() <= most < 1200
+        assert {int(r.content) for r in found.select("content").collect()} == set(range(1200))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", put)
