@@ -32,14 +32,23 @@ GRID = 32  # tokens between the allowed cuts inside a sentence
 
 def best_cuts(at: np.ndarray, price: np.ndarray, limit: int) -> list[int]:
     """Positions of the cheapest cuts; ``at`` ascends from 0 in steps of at most ``limit``."""
-    powers: dict[int, list[int]] = {}
+    number = np.full(int(at[-1]) + 1, -1, np.int32)
+    number[at] = np.arange(len(at), dtype=np.int32)
+    later, earlier = [], []
     size = 1
     while size < limit:
-        found = np.searchsorted(at, at - size)
-        for j in np.flatnonzero(at[np.minimum(found, len(at) - 1)] == at - size).tolist():
-            powers.setdefault(j, []).append(int(found[j]))
+        reach = int(np.searchsorted(at, size))
+        found = number[at[reach:] - size]
+        hit = np.flatnonzero(found >= 0)
+        later.append(hit + reach)
+        earlier.append(found[hit])
         size *= 2
-    places, prices = at.tolist(), price.tolist()
+    # Predecessors at a power of two, smaller ones first, in one list; ``until`` bounds those of a place.
+    both = np.concatenate(later) if later else np.zeros(0, np.int64)
+    powers = np.concatenate(earlier)[np.argsort(both, kind="stable")].tolist() if later else []
+    until = np.cumsum(np.bincount(both, minlength=len(at))).tolist()
+    seen = 0
+    places, prices = at.tolist(), (price + WINDOW).tolist()
     cost, back = [0.0] * len(places), [0] * len(places)
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # cost + place, place, number
     for j in range(1, len(places)):
@@ -48,10 +57,12 @@ def best_cuts(at: np.ndarray, price: np.ndarray, limit: int) -> list[int]:
             queue.popleft()
         least, _, source = queue[0]
         least += limit - here
-        for i in powers.get(j, ()):
-            if cost[i] < least:
-                least, source = cost[i], i
-        least += prices[j] + WINDOW
+        if seen < until[j]:
+            for i in powers[seen : until[j]]:
+                if cost[i] < least:
+                    least, source = cost[i], i
+            seen = until[j]
+        least += prices[j]
         cost[j], back[j] = least, source
         level = least + here
         while queue and queue[-1][0] >= level:
@@ -68,15 +79,19 @@ def allowed_cuts(doc_ends, sentence_ends, limit: int) -> tuple[np.ndarray, np.nd
     """All places where a window may end, with their prices. The places near the end of
     the block are all allowed, so that the last window needs little padding."""
     total = int(doc_ends[-1])
-    natural = np.union1d(np.concatenate([[0], doc_ends]), sentence_ends)
-    gaps = np.diff(natural)
-    inner = (gaps - 1) // GRID
+    # 1: inside a sentence, 2: a sentence's end, 3: a document's
+    kind = np.zeros(total + 1, np.uint8)
+    kind[sentence_ends] = 2
+    kind[doc_ends] = 3
+    kind[0] = max(kind[0], 1)
+    natural = np.flatnonzero(kind)
+    inner = (np.diff(natural) - 1) // GRID
     steps = np.arange(int(inner.sum())) - np.repeat(np.cumsum(inner) - inner, inner) + 1
-    grid = np.repeat(natural[:-1], inner) + steps * GRID
-    at = np.unique(np.concatenate([natural, grid, np.arange(max(0, total - limit), total)]))
-    price = np.full(len(at), WORD_CUT)
-    price[np.isin(at, sentence_ends)] = SENTENCE_CUT
-    price[np.isin(at, doc_ends)] = 0.0
+    kind[np.repeat(natural[:-1], inner) + steps * GRID] = 1
+    last = kind[max(0, total - limit) : total]
+    last[last == 0] = 1
+    at = np.flatnonzero(kind)
+    price = np.array([0.0, WORD_CUT, SENTENCE_CUT, 0.0])[kind[at]]
     return at, price
 
 

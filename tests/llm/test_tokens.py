@@ -148,3 +148,25 @@ def test_crc_is_of_the_ids(spark, sf_dir):
     for r in queries.op4_pack_sequences(spark, sf_dir).limit(50).collect():
         ids = [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
         assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+
+
+def test_cuts_are_the_cheapest():
+    """The choice of cuts against a search over all pairs of places."""
+    import numpy as np
+    from mailweave.llm import bpe, packing
+
+    rng = np.random.default_rng(5)
+    assert bpe._ascending([np.array([3, 1, 3]), np.array([1, 2])]).tolist() == [1, 2, 3]
+    for limit in (3, 8, 64):
+        ends = np.cumsum(rng.integers(1, 30, 12))
+        at, price = packing.allowed_cuts(ends, ends[:6] - 0, limit)
+        assert set(ends.tolist()) <= set(at.tolist()) and (price[np.isin(at, ends)] == 0).all()
+        at, price = np.arange(int(ends[-1]) + 1), np.where(np.isin(np.arange(int(ends[-1]) + 1), ends), 0.0, 12.0)
+        cost = [0.0]
+        for j in range(1, len(at)):
+            pads = [(0 if (n := j - i) & (n - 1) == 0 else limit - n) + cost[i] for i in range(max(0, j - limit), j)]
+            cost.append(min(pads) + price[j] + packing.WINDOW)
+        cuts = [0, *packing.best_cuts(at, price, limit)]
+        sizes = np.diff(cuts)
+        spent = sum((0 if n & (n - 1) == 0 else limit - n) + packing.WINDOW for n in sizes.tolist()) + price[cuts[1:]].sum()
+        assert sizes.max() <= limit and spent == cost[-1]
