@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.llm import jaccard, kneser_ney, language, packing, secrets
+from mailweave.llm.common import without
 from mailweave.llm.queries import WORD_BPE, trusted, vocabulary
 from mailweave.session import materialize, scratch_path
 
@@ -57,8 +58,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard.linked_groups(
         rows.select(key, "text"), id_col="key", width=COPY_WORDS, percent=COPY_PERCENT
     )
-    others = groups.where("key <> component_id").select(f"key.{ROW}")
-    return rows.join(others, ROW, "left_anti").select(docs.columns)
+    others = materialize(groups.where("key <> component_id").select(f"key.{ROW}"), "copies")
+    return without(rows, others, ROW).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

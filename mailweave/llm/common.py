@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Bits of the table of :func:`marks`, and of a part of it that one group makes.
+MARKS, MARKS_PART = 1 << 25, 1 << 16
 # Texts worked on at a time inside a task; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -103,3 +106,51 @@ def hex_digest(c: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def mark(c: Column) -> Column:
+    """The place of a value in the table of :func:`marks`."""
+    return F.pmod(F.xxhash64(c), F.lit(MARKS).cast("long"))
+
+
+def marks(keys: DataFrame, name: str) -> Broadcast:
+    """Bits by hash of the values in the column ``name``, for :func:`marked`.
+
+    The table has the same size for any number of keys. It tells for sure which rows have no value
+    among the keys, so these need no join with them; few others pass while keys are far fewer than bits.
+    """
+
+    def pack(group: pa.Table) -> pa.Table:
+        bits = np.zeros(MARKS_PART, np.uint8)
+        bits[group.column("at").to_numpy() % MARKS_PART] = 1
+        return pa.table({
+            "part": group.column("part").slice(0, 1),
+            "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
+        })
+
+    at = keys.select(mark(F.col(name)).alias("at"))
+    parts = at.withColumn("part", F.floor(F.col("at") / MARKS_PART)).groupBy("part").applyInArrow(
+        pack, "part long, bits binary"
+    )
+    table = np.zeros((MARKS // MARKS_PART, MARKS_PART // 8), np.uint8)
+    for r in parts.collect():
+        table[r.part] = np.frombuffer(r.bits, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table.ravel())
+
+
+def marked(table: np.ndarray, at: pa.Array) -> pa.Array:
+    """Whether the places are marked."""
+    where = at.to_numpy(zero_copy_only=False)
+    return pa.array((table[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1 == 1)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is not in ``gone``; only rows that may be in it are exchanged."""
+    shared = marks(gone, key)
+
+    @F.arrow_udf("boolean")
+    def maybe(at: pa.Array) -> pa.Array:
+        return marked(shared.value, at)
+
+    hit = maybe(mark(F.col(key)))
+    return rows.where(~hit).unionByName(rows.where(hit).join(gone, key, "left_anti"))

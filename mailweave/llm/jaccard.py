@@ -22,6 +22,12 @@ two or more, so among any h segments that are small on neither side one differs
 both sides have at most Q / 3 small segments, the first Q hold that many. A set with more small
 segments indexes all of them, and is met through them by anyone.
 
+Below PREFIX_PERCENT segments would hold few shingles and be many, so single shingles are signatures:
+in any order of the universe, sets that link share one of the first ``|A| - o + 1`` of the smaller set,
+where o is the least overlap with a set of its size or more, and of the first ``|B| - p + 1`` of the
+larger one, where p is its least overlap with any. The order puts the FREQUENT shingles that most
+sets have last, by their number; the rest follows the hash. It decides only how many sets meet.
+
 Sets that are equal are one node. Inside each group of equal signatures pairs of nodes are first
 tested by their sizes and parity bits, a lower bound of their difference that rejects nearly all that
 do not link. Of the pairs that pass, only a spanning forest is compared at first (groups of up to
@@ -42,12 +48,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import map_slices, mix64, offsets
-from mailweave.session import scratch_path
+from mailweave.llm.common import map_slices, mark, marked, marks, mix64, offsets, slices
+from mailweave.session import remove, scratch_path
 
 SMALL_SET = 64  # sets up to this size take the one-deletion form
 FIRST_SEGMENTS, FIRST_PART = 12, 16  # Q: so many segments, or one in so many if that is more
@@ -57,6 +64,9 @@ FEW = 16  # nodes of a signature of which all pairs are compared
 MATRIX_NODES, MATRIX_BYTES = 4096, 16 << 20  # up to so many nodes are tested in one matrix
 SOME = 8  # pairs of two groups compared in the middle round
 WORD_LIMIT = 200_000  # word hashes a task remembers
+PREFIX_PERCENT = 85
+FREQUENT = 16_384  # shingles put last in the order of prefixes
+COUNTED = 1 << 20  # shingles a task counts at a time, and half as many counts it keeps
 
 
 class Shingles:
@@ -123,14 +133,67 @@ def _node(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix64(sums + mix64(np.diff(bounds).astype(np.uint64)))
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def frequent_shingles(df: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``(shingle, n)`` of the most frequent shingles, n being about the number of sets that have it.
+
+    A task forgets shingles that are rare among the COUNTED ones it sees at a time.
+    """
+
+    def run(batches):
+        shingles, seen = Shingles(width), set()
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            nonlocal keys, counts
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *waiting]), return_counts=True)
+            waiting.clear()
+            both, at = np.unique(np.concatenate([keys, found[n > 1]]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n[n > 1]]), len(both)).astype(np.int64)
+            keys = both
+            if len(keys) > COUNTED // 2:
+                most = np.argsort(-counts, kind="stable")[: COUNTED // 4]
+                keys, counts = keys[most], counts[most]
+
+        held = 0
+        for batch in batches:
+            for part in slices(batch, 0):
+                values, bounds = shingles.sets(part.column(0).cast(pa.binary()).to_pylist())
+                for i, name in enumerate(_node(values, bounds).tolist()):
+                    if name not in seen:
+                        seen.add(name)
+                        waiting.append(values[bounds[i] : bounds[i + 1]])
+                        held += len(waiting[-1])
+                if len(seen) > 4 * WORD_LIMIT:
+                    seen.clear()
+                if held > COUNTED:
+                    count()
+                    held = 0
+        count()
+        most = np.argsort(-counts, kind="stable")[:FREQUENT]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[most].view(np.int64)), pa.array(counts[most])], names=["shingle", "n"]
+        )
+        pa.default_memory_pool().release_unused()
+
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    found = df.select(text).mapInArrow(run, "shingle long, n long")
+    return found.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
+
+
+def signatures(
+    df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
+    frequent: np.ndarray | None = None,
+) -> DataFrame:
     """``(id, n, node, sigs, weak, parity)``: set size, name of the set and its signatures.
 
     ``sigs`` is null where this task already gave the signatures of an equal set.
     The last ``weak`` signatures are those of left-out segments, of use only to sets that
-    index all their segments. ``parity`` has a bit for each hash bucket: whether it holds an odd
-    number of the set's shingles; null without signatures.
+    index all their segments, or those a set needs only as the larger one of a pair. ``parity`` has
+    a bit for each hash bucket: whether it holds an odd number of the set's shingles; null without
+    signatures. With ``frequent``, the most frequent shingles in falling order, signatures are prefixes.
     """
+    shared = None if frequent is None else df.sparkSession.sparkContext.broadcast(frequent)
 
     def work():
         shingles, seen = Shingles(width), set()
@@ -146,7 +209,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, percent: i
                     first.append(i)
             if len(seen) > 4 * WORD_LIMIT:
                 seen.clear()
-            sigs, counts, weak = segment_signatures(values, bounds, np.array(first, int), percent)
+            if shared is None:
+                sigs, counts, weak = segment_signatures(values, bounds, np.array(first, int), percent)
+            else:
+                sigs, counts, weak = prefix_signatures(values, bounds, first, percent, shared.value)
             per_row = np.zeros(len(sizes), np.int64)
             per_row[first] = counts
             weak_row = np.zeros(len(sizes), np.int32)
@@ -403,6 +469,33 @@ def segment_signatures(values, bounds, rows, percent):
     return sig[order], per, np.bincount(owner[weak], minlength=len(rows))
 
 
+def prefix_signatures(values, bounds, rows, percent, frequent):
+    """As :func:`segment_signatures`: the first shingles of each set, those of ``frequent`` last."""
+    spread = mix64(values ^ np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(frequent)
+    known = frequent[order]
+    turn = np.zeros(len(values), np.int64)  # 0: not frequent; the most frequent one comes last
+    if len(known):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        turn = np.where(known[at] == values, len(known) - order[at], 0)
+    found, per, weak = [np.zeros(0, np.uint64)], [], []
+    for i in rows:
+        here = slice(bounds[i], bounds[i + 1])
+        n = int(bounds[i + 1] - bounds[i])
+        as_larger = n - -(-percent * n // 100) + 1
+        as_smaller = n - -(-2 * percent * n // (100 + percent)) + 1
+        often = turn[here] > 0
+        rare = spread[here][~often]
+        if as_larger < len(rare):
+            rare = np.partition(rare, as_larger - 1)[:as_larger]
+        rare.sort()
+        late = np.argsort(turn[here][often])[: as_larger - len(rare)]
+        found += [rare, spread[here][often][late]]
+        per.append(as_larger)
+        weak.append(as_larger - as_smaller)
+    return np.concatenate(found), np.array(per, np.int64), np.array(weak, np.int64)
+
+
 def _join_halves(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
 
@@ -490,9 +583,12 @@ def linked_groups(
         part.write.parquet(f"{folder}/{name}")
         return spark.read.schema(part.schema).parquet(f"{folder}/{name}")
 
-    signed = signatures(df, id_col, text_col, width, percent)
-    index = written(signed, "index")
-    rows = index.where("sigs is not null and n > 0").select(
+    frequent = None
+    if percent < PREFIX_PERCENT:
+        most = frequent_shingles(df, text_col, width).collect()
+        frequent = np.array([r.shingle for r in most], np.int64).view(np.uint64)
+    signed = written(signatures(df, id_col, text_col, width, percent, frequent), "signed")
+    rows = signed.where("sigs is not null and n > 0").select(
         "node", F.posexplode("sigs").alias("place", "sig"), "weak", F.size("sigs").alias("total")
     ).select("sig", "node", (F.col("place") >= F.col("total") - F.col("weak")).alias("weak"))
     # Groups of equal signatures with at least two nodes, not all of them weak.
@@ -503,6 +599,9 @@ def linked_groups(
             F.max("node").over(group).alias("most"), F.min("weak").over(group).alias("all_weak"),
         ).where("least <> most and not all_weak").select("sig", "node").distinct(), "shared",
     )
+    # Tables that later steps do not read would only take up the disk.
+    index = written(signed.drop("sigs", "weak"), "index")
+    remove(spark, f"{folder}/signed")
     traits = index.where("parity is not null").groupBy("node").agg(
         F.first("n").alias("n"), F.first("parity").alias("parity")
     )
@@ -529,6 +628,7 @@ def linked_groups(
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             few = traits.join(wanted, "node", "left_semi")
             shared = written(shared.join(few, "node"), "near")
+            remove(spark, f"{folder}/shared")
             sets = written(_sets(df, id_col, text_col, least, wanted, width), "sets")
         found = verified(pairs, sets, percent)
         for side in ("a", "b"):
@@ -545,6 +645,8 @@ def linked_groups(
                     "node.node", F.col("root.node").alias("root"), F.col("root.id").alias("name")
                 ), f"final{turn}",
             )
+    for name in ("near", "sets", *(f"{part}{turn}" for part in ("pairs", "links", "groups") for turn in range(3))):
+        remove(spark, f"{folder}/{name}")
     named = least.join(final, "node", "left").select(
         "node", F.when(F.col("root").isNull(), F.col("key.id")).otherwise(F.col("name")).alias("component_id")
     )
@@ -560,31 +662,32 @@ def _sets(
 ) -> DataFrame:
     """``(node, members)`` of the wanted nodes: the sorted shingle hashes, packed.
 
-    A node's text is read by the least id that has it, so each is shipped once; texts of rows
-    without an id are hashed again to find the nodes among them.
+    A node's text is read by the least id that has it. Other texts are passed over by a test of their
+    ids where they lie, so that no exchange carries them; texts of rows without an id are all
+    hashed again to find the nodes among them.
     """
+    holders = least.join(wanted, "node", "left_semi").where("not key.bare").select("key.id")
+    asked = marks(holders, "id")
 
     def work():
         shingles = Shingles(width)
 
         def handle(part: pa.RecordBatch) -> list:
+            at = part.column(0)  # null: no id
+            part = part.filter(pc.or_(marked(asked.value, at.fill_null(0)), at.is_null()))
             values, bounds = shingles.sets(part.column(1).cast(pa.binary()).to_pylist())
             names = _node(values, bounds).view(np.int64)
-            # Another row of the same id has another set.
-            asked = part.column(0).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(np.isnan(asked) | (names == part.column(2).to_numpy()))
-            members = [values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in keep.tolist()]
-            return [pa.array(names[keep]), pa.array(members, pa.binary())]
+            members = [
+                values[a:b].astype("<u8").tobytes()
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+            ]
+            return [pa.array(names), pa.array(members, pa.binary())]
 
         return handle
 
     source = df.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    holders = least.join(wanted, "node", "left_semi").where("not key.bare").select("key.id", "node")
-    by_id = source.join(holders, "id").select(F.lit(1.0).alias("known"), "text", "node")
-    bare = source.where("id is null").select(
-        F.lit(None).cast("double").alias("known"), "text", F.lit(0).cast("long").alias("node")
-    )
-    hashed = map_slices(by_id.union(bare), work, "node long, members binary")
+    at = F.when(F.col("id").isNotNull(), mark(F.col("id")))
+    hashed = map_slices(source.select(at.alias("at"), "text"), work, "node long, members binary")
     return hashed.join(wanted, "node", "left_semi").dropDuplicates(["node"])

@@ -4,11 +4,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mailweave.llm import (
-    fingerprints, jaccard, kneser_ney, language, quality_rules, queries, secrets, url_filter,
+    common, fingerprints, jaccard, kneser_ney, language, quality_rules, queries, secrets, url_filter,
 )
 
 
@@ -64,6 +65,81 @@ def test_segments_meet_for_all_linked_sets():
             assert strong & set(sigs[per[0] : per[0] + per[1] - weak[1]].tolist())
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_prefixes_meet_for_all_linked_sets(percent):
+    """Pairs at the very limit share a signature that the smaller set has as such, whatever is frequent."""
+    rng = np.random.default_rng(12)
+    for size in (1, 2, 5, 10, 64, 130, 300):
+        for turn in range(60):
+            base = rng.integers(0, 2**63, size, dtype=np.uint64)
+            if turn % 2:  # as many on both sides differ
+                most = next(d for d in range(size, -1, -1) if 100 * (size - d) >= percent * (size + d))
+                other = np.concatenate([base[most:], rng.integers(0, 2**63, most, dtype=np.uint64)])
+            else:  # the larger set holds the smaller one
+                other = base[: -(-percent * size // 100)]
+            frequent = rng.permutation(np.concatenate([base, other]))[: int(rng.integers(0, 2 * size))]
+            _, first = np.unique(frequent, return_index=True)
+            small, large = sorted((np.sort(base), np.sort(other)), key=len)
+            sigs, per, weak = jaccard.prefix_signatures(
+                np.concatenate([small, large]), np.array([0, len(small), len(small) + len(large)]),
+                [0, 1], percent, frequent[np.sort(first)],
+            )
+            strong = set(sigs[: per[0] - weak[0]].tolist())
+            assert per.sum() == len(sigs)
+            assert strong & set(sigs[per[0] :].tolist())
+
+
+def test_near_copies_need_few_signatures(spark, tmp_path, monkeypatch):
+    """At 80 % a set has a fifth of its size in signatures, and few tables stay."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 10**6, 504)) for _ in range(30)]
+    # A start that all have is no reason to meet.
+    df = spark.createDataFrame([(i, f"from the desk of the editor {t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    found, rows = [], []
+    signatures, pairs_within = jaccard.signatures, jaccard.pairs_within
+
+    def kept(*args):
+        out = signatures(*args)
+        found.extend(len(r.sigs) for r in out.collect())
+        return out
+
+    def counted(shared, *args):
+        rows.append(shared.count())
+        return pairs_within(shared, *args)
+
+    monkeypatch.setattr(jaccard, "signatures", kept)
+    monkeypatch.setattr(jaccard, "pairs_within", counted)
+    monkeypatch.setattr(jaccard, "scratch_path", lambda spark, label: str(tmp_path / label))
+    groups = jaccard.linked_groups(df, width=5, percent=80).collect()
+    assert {r.doc_id for r in groups if r.component_id == r.doc_id} == set(range(30))
+    assert len(found) == 30 and max(found) <= 506 // 5 + 1
+    assert rows[0] == 0
+    assert {p.name for p in (tmp_path / "jaccard").iterdir()} == {"index", "least", "final0"}
+
+
+def test_frequent_shingles(spark):
+    rows = [(i, f"a b c d e x{i} y{i} z{i}" if i % 2 else f"p{i} q{i} b c d e f") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = [r.n for r in jaccard.frequent_shingles(df.union(df).coalesce(1), "text", 4).collect()]
+    assert got[0] == 9  # b c d e; a copy counts once in a task
+    assert jaccard.frequent_shingles(df.where("false"), "text", 4).count() == 0
+
+
+def test_rows_without_some_keys(spark, monkeypatch):
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("t"))
+    gone = spark.range(0, 9000, 3).select(F.col("id").alias("k"))
+    left = set(range(5000)) - set(range(0, 9000, 3))
+    assert {r.k for r in common.without(rows, gone, "k").collect()} == left
+    assert {r.k for r in common.without(rows, gone.where("false"), "k").collect()} == set(range(5000))
+    table = common.marks(gone, "k").value
+    at = pa.array([r.at for r in rows.select(common.mark(F.col("k")).alias("at")).collect()])
+    assert sum(common.marked(table, at).to_pylist()) < 1700
+    # A table that is full of marks rejects nothing, and the result is the same.
+    monkeypatch.setattr(common, "MARKS", 1 << 8)
+    monkeypatch.setattr(common, "MARKS_PART", 1 << 8)
+    assert {r.k for r in common.without(rows, gone, "k").collect()} == left
+
+
 def test_jaccard_odd_and_empty(odd, empty):
     rows = jaccard.linked_groups(odd).collect()
     assert len(rows) == odd.count()
