@@ -38,7 +38,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def map_slices(
     df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], list]], schema: str,
-    column: int = 1,
+    column: int = 1, limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply ``work()`` (made once per task) to slices; it returns the output's arrays.
 
@@ -48,7 +48,7 @@ def map_slices(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = work()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 arrays = handle(part)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
         del handle

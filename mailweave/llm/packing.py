@@ -24,10 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from mailweave.llm.bpe import Units, Vocabulary
-from mailweave.llm.common import map_slices, offsets, ragged_take, texts_of
+from mailweave.llm.common import map_slices, offsets, ragged_take, slices, texts_of
 
 SENTENCE_CUT, WORD_CUT, WINDOW = 2.0, 12.0, 4.0
 GRID = 32  # tokens between the allowed cuts inside a sentence
+ENCODED_BYTES = 16 << 20  # texts encoded at a time: new units of several blocks cost one pass of merges
 
 
 def best_cuts(at: np.ndarray, price: np.ndarray, limit: int) -> list[int]:
@@ -113,6 +114,14 @@ def pack(
 
         def handle(part: pa.RecordBatch) -> list:
             numbers, sizes = units.numbers(texts_of(part.column(1)))
+            ends, row, blocks = offsets(sizes), 0, []
+            for block in slices(part):
+                rows = slice(row, row + block.num_rows)
+                blocks.append(pieces(block.column(0), numbers[ends[rows.start] : ends[rows.stop]], sizes[rows]))
+                row = rows.stop
+            return [pa.concat_arrays(columns) for columns in zip(*blocks, strict=True)]
+
+        def pieces(ids_of: pa.Array, numbers: np.ndarray, sizes: np.ndarray) -> list:
             # A unit of one id, numbered after all others, ends each document.
             first = np.append(units.first, len(units.flat))
             count = np.append(units.count, 1)
@@ -139,7 +148,7 @@ def pack(
             sequence = state["next"] + window
             state["next"] += len(cuts)
             return [
-                part.column(0).take(pa.array(doc)),
+                ids_of.take(pa.array(doc)),
                 pa.array(starts - doc_starts[doc]),
                 pa.array(bounds - starts),
                 blobs,
@@ -154,5 +163,5 @@ def pack(
     return map_slices(
         df.select(id_col, text_col), work,
         f"{id_col} {kind}, start long, length long, token_bytes binary, doc_tokens long, "
-        "sequence_id long, offset long",
+        "sequence_id long, offset long", limit=ENCODED_BYTES,
     )

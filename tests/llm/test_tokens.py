@@ -3,10 +3,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from mailweave.llm import bpe, packing, queries, token_counts
+from mailweave.llm import bpe, common, packing, queries, token_counts
 
 
 @pytest.fixture(scope="module", params=[queries.BYTE_BPE, queries.WORD_BPE])
@@ -170,3 +171,35 @@ def test_cuts_are_the_cheapest():
         sizes = np.diff(cuts)
         spent = sum((0 if n & (n - 1) == 0 else limit - n) + packing.WINDOW for n in sizes.tolist()) + price[cuts[1:]].sum()
         assert sizes.max() <= limit and spent == cost[-1]
+
+
+def test_units_of_several_blocks_are_encoded_at_once(spark, monkeypatch):
+    """Blocks are packed alone, but a task does not run through all merges for each of them."""
+    from mailweave.llm import bpe
+
+    calls = []
+    resolve = bpe.Units.resolve
+    monkeypatch.setattr(bpe.Units, "resolve", lambda self: calls.append(len(self.new)) or resolve(self))
+    monkeypatch.setattr(packing, "slices", lambda part: common.slices(part, limit=200))
+    handles = []
+    monkeypatch.setattr(packing, "map_slices", lambda df, work, *a, **k: handles.append((work, k)) or df)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    vocabulary = queries.vocabulary(queries.WORD_BPE)
+    texts = [f"The cat sat on mat {i}. It left. " * 3 for i in range(9)] + [None, ""]
+    packing.pack(spark.createDataFrame([], "doc_id long, text string"), vocabulary, limit=16)
+    work, options = handles[0]
+    handle = work()
+    calls.clear()
+    got = handle(pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array(texts)], names=["doc_id", "text"]))
+    assert len(calls) == 1 and options["limit"] > common.SLICE_BYTES
+    doc, start, length, blobs, tokens, sequence, offset = (c.to_pylist() for c in got)
+    ids, bounds = bpe.Units(vocabulary).encode([t or "" for t in texts])
+    for i in range(11):
+        mine = [b for d, b in zip(doc, blobs) if d == i]
+        want = [*ids[bounds[i] : bounds[i + 1]].tolist(), 1]
+        assert np.frombuffer(b"".join(mine), "<u4").tolist() == want
+    fill = {}
+    for s, o, n in zip(sequence, offset, length):
+        assert fill.get(s, 0) == o
+        fill[s] = o + n
+    assert max(fill.values()) <= 16
