@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -32,6 +32,9 @@ from mailweave.llm.common import list_array, map_slices, offsets, ragged_take, t
 
 # Units a task remembers; beyond it only the most used half stays.
 UNIT_LIMIT = 200_000
+# Positions whose pairs are looked up at a time, and new units split at a time: these bound what a task
+# holds beside its tables.
+POSITIONS, SPLIT_UNITS = 1 << 19, 1 << 16
 # The pre-token pattern of the byte-level vocabulary (fixed value of the format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -126,7 +129,7 @@ class PairIndex:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where there is no merge."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.v.keys, key), len(self.v.keys) - 1)
         return np.where(self.v.keys[at] == key, self.v.ranks[at], -1)
 
@@ -135,16 +138,17 @@ class PairIndex:
         v = self.v
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
+        del words
         n = len(raw)
         if not n:
             return np.zeros(0, np.int32), sizes
         ends = np.cumsum(sizes)
         tails = (ends - 1)[sizes > 0]
-        symbol = v.first[raw]
+        symbol = v.first.astype(np.int32)[raw]
         symbol[tails] = v.last[raw[tails]]
-        after = np.arange(1, n + 1)
+        after = np.arange(1, n + 1, dtype=np.int32)
         after[tails] = -1
-        before = np.arange(-1, n - 1)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         before[(ends - sizes)[sizes > 0]] = -1
         alive = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
@@ -166,7 +170,9 @@ class PairIndex:
                     heapq.heappush(active, r)
                 index[r].append(where[cuts[i] : cuts[i + 1]])
 
-        file(np.flatnonzero(after >= 0))
+        for start in range(0, n, POSITIONS):
+            inner = np.flatnonzero(after[start : start + POSITIONS] >= 0)
+            file((inner + start).astype(np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -192,8 +198,10 @@ class PairIndex:
             before[beyond[has]] = at[has]
             earlier = before[at]
             file(_ascending([earlier[earlier >= 0], at[has]]))
-        per_word = np.diff(np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])])
-        return symbol[alive].astype(np.int32), per_word
+        del after, before
+        left = np.zeros(n + 1, np.int32)
+        np.cumsum(alive, out=left[1:])
+        return symbol[alive], np.diff(left[offsets(sizes)]).astype(np.int64)
 
 
 class Units(dict):
@@ -278,24 +286,27 @@ class Units(dict):
         new, self.new = self.new, []
         if not new:
             return
-        plain = [u for u in new if u.__class__ is str]
-        found = self.pre_tokens(plain)
-        special = {}
-        if len(plain) < len(new):
-            rest, whole = iter(found), []
-            for i, u in enumerate(new):
-                if u.__class__ is str:
-                    whole.append(next(rest))
-                elif len(u) == 2:
-                    special[i] = self.v.specials[u[1]]
-                    whole.append(())
-                else:
-                    whole.append(self.pattern.findall(u[0]))
-            found = whole
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        members = np.fromiter(
-            map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum())
-        )
+        counts, members, special = [], [], {}
+        for start in range(0, len(new), SPLIT_UNITS):
+            some = new[start : start + SPLIT_UNITS]
+            plain = [u for u in some if u.__class__ is str]
+            found = self.pre_tokens(plain)
+            if len(plain) < len(some):
+                rest, whole = iter(found), []
+                for i, u in enumerate(some, start):
+                    if u.__class__ is str:
+                        whole.append(next(rest))
+                    elif len(u) == 2:
+                        special[i] = self.v.specials[u[1]]
+                        whole.append(())
+                    else:
+                        whole.append(self.pattern.findall(u[0]))
+                found = whole
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            members.append(np.fromiter(
+                map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(counts[-1].sum())
+            ))
+        counts, members = np.concatenate(counts), np.concatenate(members)
         fresh = self.known.fresh
         self.known.fresh = []
         flat, per = self.pairs.encode([p.encode("utf-8", "surrogatepass") for p in fresh])
@@ -316,6 +327,8 @@ class Units(dict):
         self.flat = np.concatenate([self.flat, ids, np.array(extra, np.int32)])
         stops = [u.__class__ is str and u[-1:] in _STOPS for u in new]
         self.stop = np.concatenate([self.stop, np.array(stops, bool)])
+        if len(self) > self.limit + len(self.seed):
+            self.forget()  # the next call of numbers would do it, with the texts at hand still to be packed
 
     def split(self, text: str) -> list:
         """The units of a text, each of which can be encoded alone."""
@@ -339,17 +352,18 @@ class Units(dict):
         pieces[0] = (pieces[0],)
         return pieces
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Unit numbers of all texts one after the other, and how many each has."""
         if len(self) > self.limit + len(self.seed):
             self.shrink()
         parts = []
         for text in texts:
             units = self.split(text)
-            parts.append(np.fromiter(map(self.__getitem__, units), np.int64, len(units)))
+            parts.append(np.fromiter(map(self.__getitem__, units), np.int32, len(units)))
         self.resolve()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        found = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        del parts
         used = np.bincount(found, minlength=len(self))
         used[: len(self.used)] += self.used
         self.used = used

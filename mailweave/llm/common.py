@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,11 +37,27 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def texts_in_turn(column: pa.Array) -> Iterator[str]:
+    """The same, made few at a time."""
+    for start in range(0, len(column), 128):
+        yield from texts_of(column.slice(start, 128))
+
+
+def release() -> None:
+    """Give unused memory back to the system: a worker process lives on, and what one task or an
+    earlier stage held should not stay with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(
     df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], list]], schema: str,
     column: int = 1, limit: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Apply ``work()`` (made once per task) to slices; it returns the output's arrays.
+    """Apply ``work()`` (made once per task) to slices; it returns the output's arrays, or chunked
+    arrays, whose chunks go out one by one.
 
     An empty slice never reaches the function, and an empty table gives no rows.
     """
@@ -50,10 +67,10 @@ def map_slices(
         for batch in batches:
             for part in slices(batch, column, limit):
                 arrays = handle(part)
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                yield from pa.Table.from_arrays(arrays, names=names).to_batches()
+                del arrays
         del handle
-        # The worker process lives on; what the task held should not stay with it.
-        pa.default_memory_pool().release_unused()
+        release()
 
     names = [field.split()[0] for field in schema.split(", ")]
     return df.mapInArrow(run, schema)

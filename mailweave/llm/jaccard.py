@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import map_slices, mark, marked, marks, mix64, offsets, slices
+from mailweave.llm.common import map_slices, mark, marked, marks, mix64, offsets, release, slices
 from mailweave.session import remove, scratch_path
 
 SMALL_SET = 64  # sets up to this size take the one-deletion form
@@ -174,7 +174,7 @@ def frequent_shingles(df: DataFrame, text_col: str, width: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys[most].view(np.int64)), pa.array(counts[most])], names=["shingle", "n"]
         )
-        pa.default_memory_pool().release_unused()
+        release()
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     found = df.select(text).mapInArrow(run, "shingle long, n long")
@@ -383,6 +383,8 @@ def pairs_within(shared: DataFrame, percent: int, some: int | None) -> DataFrame
             kept = table.slice(whole).to_batches()
         if kept:
             yield from done(pa.Table.from_batches(kept).combine_chunks())
+        del kept
+        release()
 
     def done(table: pa.Table):
         if not table.num_rows:

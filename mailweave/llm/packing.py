@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from mailweave.llm.bpe import Units, Vocabulary
-from mailweave.llm.common import map_slices, offsets, ragged_take, slices, texts_of
+from mailweave.llm.common import map_slices, offsets, ragged_take, release, slices, texts_in_turn
 
 SENTENCE_CUT, WORD_CUT, WINDOW = 2.0, 12.0, 4.0
 GRID = 32  # tokens between the allowed cuts inside a sentence
@@ -109,17 +109,18 @@ def pack(
     shared = vocabulary.send()
 
     def work():
+        release()  # what earlier stages left in this worker
         units = Units(Vocabulary(**shared.value))
         state = {"next": TaskContext.get().partitionId() << 33}
 
         def handle(part: pa.RecordBatch) -> list:
-            numbers, sizes = units.numbers(texts_of(part.column(1)))
+            numbers, sizes = units.numbers(texts_in_turn(part.column(1)))
             ends, row, blocks = offsets(sizes), 0, []
             for block in slices(part):
                 rows = slice(row, row + block.num_rows)
                 blocks.append(pieces(block.column(0), numbers[ends[rows.start] : ends[rows.stop]], sizes[rows]))
                 row = rows.stop
-            return [pa.concat_arrays(columns) for columns in zip(*blocks, strict=True)]
+            return [pa.chunked_array(columns) for columns in zip(*blocks, strict=True)]
 
         def pieces(ids_of: pa.Array, numbers: np.ndarray, sizes: np.ndarray) -> list:
             # A unit of one id, numbered after all others, ends each document.

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import map_slices, slices, texts_of
+from mailweave.llm.common import map_slices, release, slices, texts_of
 
 MASK = "<SECRET>"
 KINDS = ("assign", "access", "hex", "novel")
@@ -240,6 +240,7 @@ def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     place, schema = df.columns.index(text_col), df.schema
 
     def run(batches):
+        release()  # what earlier stages left in this worker
         novelty = Novelty(words.value)
         for batch in batches:
             for part in slices(batch, place):
@@ -253,6 +254,8 @@ def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
                 columns = part.columns
                 columns[place] = pa.array(texts, part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                del texts, columns
+        release()
 
     return df.mapInArrow(run, schema)
 

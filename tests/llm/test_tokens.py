@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -203,3 +205,47 @@ def test_units_of_several_blocks_are_encoded_at_once(spark, monkeypatch):
         assert fill.get(s, 0) == o
         fill[s] = o + n
     assert max(fill.values()) <= 16
+
+
+def test_encoding_takes_little_memory_beside_its_bytes():
+    """Two tasks of the packing stage have to fit an executor beside its heap (4 bytes for most positions)."""
+    draw = random.Random(1)
+    words = list({"".join(draw.choices("etaoinshrdlu", k=draw.randint(4, 10))).encode() for _ in range(200_000)})
+    pairs = bpe.PairIndex(queries.vocabulary(queries.WORD_BPE))
+    tracemalloc.start()
+    try:
+        pairs.encode(words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 55 * sum(map(len, words))
+
+
+def test_a_full_table_of_pre_tokens_goes_before_the_blocks_are_packed():
+    units = bpe.Units(queries.vocabulary(queries.WORD_BPE), limit=3)
+    units.numbers(["one two three four five"])
+    assert len(units) == 5 and not units.known
+    assert units.encode(["six one two"])[0].tolist() == library(queries.WORD_BPE).encode(
+        "six one two", add_special_tokens=False
+    ).ids
+
+
+def test_pieces_go_out_block_by_block(spark, monkeypatch):
+    """A batch for the JVM is a block, not all that was encoded at a time."""
+    texts = [f"The cat sat on mat {i}. It left. " * 3 for i in range(9)]
+    monkeypatch.setattr(packing, "slices", lambda part: common.slices(part, limit=200))
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+
+    class Rows:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = packing.pack(Rows(), queries.vocabulary(queries.WORD_BPE), limit=16)
+    batches = list(run([pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["doc_id", "text"])]))
+    # Two texts fit 200 bytes.
+    assert [sorted(set(b["doc_id"].to_pylist())) for b in batches] == [[0, 1], [2, 3], [4, 5], [6, 7], [8]]
