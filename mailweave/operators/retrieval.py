@@ -27,7 +27,10 @@ SCORE_PLACES = 12
 # Bytes of query vectors sent to every task at a time: 2,048 queries of 3,072
 # dimensions in double precision.
 QUERY_BYTES = 50_331_648
-_SCORE_CELLS = 4_000_000
+# Scores of a block of chunks by a tile of queries, and queries of a tile: small enough for a core's caches, and
+# enough chunks at a time that the kept rows are seldom merged.
+_SCORE_CELLS = 2_097_152
+_TILE_QUERIES = 512
 # Rows scored in double precision at a time.
 _EXACT_ROWS = 8_192
 # Half the distance from 1 to the next number in single precision, and products (lengths of a chunk and
@@ -67,12 +70,13 @@ class _Best:
     """Running k best rows per query inside one task.
 
     Scores are first taken in single precision. Only rows that, with the largest error of such a
-    score, may still be among the k best are scored in double precision, and these decide.
+    score, may still be among the k best are scored in double precision, and these decide. A block of
+    chunks is scored by a tile of queries after the other.
     """
 
     def __init__(self, queries: np.ndarray, k: int) -> None:
         self.queries = np.ascontiguousarray(queries, dtype=np.float64)
-        self.rough_t = np.ascontiguousarray(self.queries.T, dtype=np.float32)
+        self.rough_t = self.queries.astype(np.float32).T
         self.reach = float(np.linalg.norm(self.queries, axis=1).max(initial=0.0))
         self.k = k
         self.floor = np.full(len(self.queries), -np.inf)
@@ -83,22 +87,18 @@ class _Best:
 
     def candidates(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, score) of all rows that may still be among the k best."""
-        n, dimension = matrix.shape
         size = float(np.linalg.norm(matrix, axis=1).max(initial=0.0)) * self.reach
         if not size < _ROUGH_SIZE:  # also where a value is no number
-            scores, slack = matrix @ self.queries.T, 0.0
+            given_t, rows, slack = self.queries.T, matrix, 0.0
         else:
-            scores = matrix.astype(np.float32) @ self.rough_t
-            slack = (dimension + 8) * _ROUGH_UNIT * size + _TINY
-        least = self.floor - slack - 10.0**-SCORE_PLACES
-        new = np.isneginf(self.floor)
-        if n > self.k and new.any():
-            open_scores = scores if new.all() else scores[:, new]
-            kth = np.partition(open_scores, n - self.k, axis=0)[n - self.k]
-            least[new] = kth - 2 * slack - 10.0**-SCORE_PLACES
-        # Rounded down, for a limit above the true one would lose rows.
-        limit = np.nextafter(least.astype(scores.dtype), scores.dtype.type(-np.inf))
-        row, query = np.divmod(np.flatnonzero(scores >= limit), scores.shape[1])
+            given_t, rows = self.rough_t, matrix.astype(np.float32)
+            slack = (matrix.shape[1] + 8) * _ROUGH_UNIT * size + _TINY
+        found = []
+        for start in range(0, len(self.queries), _TILE_QUERIES):
+            tile = slice(start, start + _TILE_QUERIES)
+            query, row = self._likely(given_t[:, tile], rows, self.floor[tile], slack)
+            found.append((query + start, row))
+        query, row = (np.concatenate(side) for side in zip(*found, strict=True))
         exact = np.empty(len(row))
         for start in range(0, len(row), _EXACT_ROWS):
             part = slice(start, start + _EXACT_ROWS)
@@ -107,6 +107,22 @@ class _Best:
         good = exact >= self.floor[query]
         return query[good], row[good], exact[good]
 
+    def _likely(
+        self, given_t: np.ndarray, rows: np.ndarray, floor: np.ndarray, slack: float
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of a tile whose scores, give or take ``slack``, may be among the k best."""
+        n = len(rows)
+        scores = given_t.T @ rows.T
+        least = floor - slack - 10.0**-SCORE_PLACES
+        new = np.isneginf(floor)
+        if n > self.k and new.any():
+            open_scores = scores if new.all() else scores[new]
+            kth = np.partition(open_scores, n - self.k, axis=1)[:, n - self.k]
+            least[new] = kth - 2 * slack - 10.0**-SCORE_PLACES
+        # Rounded down, for a limit above the true one would lose rows.
+        limit = np.nextafter(least.astype(scores.dtype), scores.dtype.type(-np.inf))
+        return np.divmod(np.flatnonzero(scores >= limit[:, None]), n)
+
     def merge(self, query: np.ndarray, score: np.ndarray, keys: list[np.ndarray]) -> None:
         if not len(query):
             return
@@ -138,7 +154,8 @@ class _Best:
         return np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
 
     def step(self) -> int:
-        return max(1, _SCORE_CELLS // max(1, len(self.queries)))
+        """Chunks of a block."""
+        return max(1, _SCORE_CELLS // max(1, min(len(self.queries), _TILE_QUERIES)))
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:

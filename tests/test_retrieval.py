@@ -159,3 +159,29 @@ def test_near_ties_are_decided_in_double_precision():
     got = [(-s, *k) for s, *k in zip(best.score, *best.keys)]
     assert [got[4 * q : 4 * q + 4] for q in range(9)] == want
     assert scored < 9 * 340 // 4
+
+
+def test_many_queries_are_scored_in_tiles(monkeypatch):
+    """Blocks of chunks stay large however many queries there are, and tiles find what the whole finds."""
+    assert retrieval._Best(np.ones((20_000, 2)), 4).step() >= 2_048
+    rng = np.random.default_rng(9)
+    queries, rows = rng.normal(size=(17, 6)), rng.integers(-2, 3, (240, 6)).astype(float)
+    queries[3:6] = rows[:3] + 1e-9
+    ids = np.array([f"s{i % 60:02d}" for i in range(240)], object)
+    index = np.array([i // 60 for i in range(240)], object)
+
+    def found():
+        best = retrieval._Best(queries, 4)
+        for start in range(0, 240, 50):
+            part = slice(start, start + 50)
+            query, row, score = best.candidates(rows[part])
+            best.merge(query, score, [ids[part][row], index[part][row]])
+        return sorted(zip(best.query, -best.score, *best.keys))
+
+    whole = found()
+    monkeypatch.setattr(retrieval, "_TILE_QUERIES", 5)
+    assert found() == whole
+    exact = np.round(np.einsum("ij,kj->ik", queries, rows), retrieval.SCORE_PLACES)
+    assert whole == [
+        (q, *hit) for q in range(17) for hit in sorted((-exact[q, i], ids[i], index[i]) for i in range(240))[:4]
+    ]
