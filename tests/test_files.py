@@ -116,3 +116,30 @@ def test_small_files_are_read_by_few_tasks(spark, tmp_path):
         assert {int(r.content) for r in found.select("content").collect()} == set(range(1200))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", put)
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds a table of the files, not the files, and the rows are those of Spark's reader."""
+    top = tmp_path / "my docs"
+    kinds = ["a.txt", "b%20.md", "é #1.HTML", "_hidden.txt", ".hidden", "_k=v.txt", "x._COPYING_", "noend", "_metadata"]
+    for below in ["", "deep/er", "_metadata_x/m", "_skipped/x", ".git", "k=1", "empty"]:
+        (top / below).mkdir(parents=True, exist_ok=True)
+        for kind in kinds if below != "empty" else []:
+            (top / below / kind).write_bytes(f"{below} {kind}\xff".encode("latin-1", "replace"))
+    (top / "deep" / "none.pdf").write_bytes(b"")
+    (top / "deep" / "large.bin").write_bytes(bytes(300_000))
+    monkeypatch.setattr(listing, "_READ_BYTES", 100_000)
+    found = listing.read_folder(spark, str(top))
+    assert not [p for p in found.inputFiles() if "my" in p]
+    assert found.select("file_id").where("file_id like '%large.bin'").count() == 1
+    flat = listing.read_folder(spark, str(top / "deep"), recursive=False)
+    assert [r.name for r in flat.collect()] == ["large.bin"]
+    keyed = listing.read_folder(spark, f"file:{top}/k=1/")
+    given = [sorted(map(tuple, df.collect())) for df in (found, flat, keyed)]
+    monkeypatch.setattr(listing, "_opener", lambda uri: None)
+    known = [listing.read_folder(spark, str(top)), listing.read_folder(spark, str(top / "deep"), recursive=False)]
+    known.append(listing.read_folder(spark, f"file:{top}/k=1/"))
+    assert [df.schema for df in known] == [df.schema for df in (found, flat, keyed)]
+    assert given == [sorted(map(tuple, df.collect())) for df in known] and len(given[0]) == 21
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        listing.read_folder(spark, str(tmp_path / "missing"))
